@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import simhash
+from . import chat_format, line_dedup, simhash
 
 
 def _over(table: str, operator: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -15,9 +15,14 @@ def _over(table: str, operator: Callable[[DataFrame], DataFrame]) -> Callable[[S
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_chat_format": _over("conversations", chat_format.op1),
+        "op6_line_dedup": _over("documents", line_dedup.op6),
         "op7_simhash": _over("documents", simhash.op7),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op1_chat_format": chat_format.SQL,
+        "op6_line_dedup": line_dedup.SQL,
+    }
