@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, line_dedup, simhash
+from . import chat_format, line_dedup, quality_rules, simhash
 
 
 def _over(table: str, operator: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -16,6 +16,7 @@ def _over(table: str, operator: Callable[[DataFrame], DataFrame]) -> Callable[[S
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_chat_format": _over("conversations", chat_format.op1),
+        "op3_quality_rules": lambda spark, d: quality_rules.op3(spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")),
         "op6_line_dedup": _over("documents", line_dedup.op6),
         "op7_simhash": _over("documents", simhash.op7),
     }
