@@ -29,7 +29,7 @@ SAMPLE, NODES = 20_000, 64
 STEPS, RATE, DECAY = 300, 1.0, 1e-3
 ROUNDS, SURE = 12, 0.9
 #: Prior mean of the skip potential between two words of the same kind; all other prior means are 0.
-AGREE = 4.0
+AGREE = 6.0
 CHUNK_BYTES = 8 << 20
 
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
