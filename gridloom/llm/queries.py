@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, line_dedup, pii_crf, quality_rules, simhash
+from . import bpe, chat_format, line_dedup, pii_crf, quality_rules, simhash
 
 
 def _over(table: str, operator: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -18,6 +18,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_chat_format": _over("conversations", chat_format.op1),
         "op2_pii": _over("documents", pii_crf.op2),
         "op3_quality_rules": lambda spark, d: quality_rules.op3(spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")),
+        "op4_bpe": _over("documents", bpe.op4),
         "op6_line_dedup": _over("documents", line_dedup.op6),
         "op7_simhash": _over("documents", simhash.op7),
     }
