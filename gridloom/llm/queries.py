@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat_format, line_dedup, pii_crf, quality_rules, simhash
+from . import bpe, chat_format, line_dedup, pii_crf, quality_rules, simhash, suffix_array, suffix_tree
 
 
 def _over(table: str, operator: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -21,6 +21,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_bpe": _over("documents", bpe.op4),
         "op6_line_dedup": _over("documents", line_dedup.op6),
         "op7_simhash": _over("documents", simhash.op7),
+        "op8_substring_dedup": _over("documents", suffix_tree.op8),
+        "op9_suffix_array": _over("documents", suffix_array.op9),
     }
 
 
