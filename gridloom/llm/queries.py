@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat_format, line_dedup, pii_crf, quality_rules, simhash, suffix_array, suffix_tree
+from . import bpe, chat_format, decontaminate, line_dedup, pii_crf, quality_rules, simhash, suffix_array, suffix_tree
 
 
 def _over(table: str, operator: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -19,6 +19,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_pii": _over("documents", pii_crf.op2),
         "op3_quality_rules": lambda spark, d: quality_rules.op3(spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")),
         "op4_bpe": _over("documents", bpe.op4),
+        "op5_decontaminate": lambda spark, d: decontaminate.op5(spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/benchmark.parquet")),
         "op6_line_dedup": _over("documents", line_dedup.op6),
         "op7_simhash": _over("documents", simhash.op7),
         "op8_substring_dedup": _over("documents", suffix_tree.op8),
@@ -29,5 +30,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_chat_format": chat_format.SQL,
+        "op5_decontaminate": decontaminate.SQL,
         "op6_line_dedup": line_dedup.SQL,
     }
