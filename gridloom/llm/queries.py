@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat_format, decontaminate, line_dedup, pii_crf, quality_rules, simhash, suffix_array, suffix_tree
+from . import bpe, chat_format, decontaminate, html_text, line_dedup, pii_crf, quality_rules, simhash, suffix_array, suffix_tree
 
 
 def _over(table: str, operator: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -24,6 +24,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_simhash": _over("documents", simhash.op7),
         "op8_substring_dedup": _over("documents", suffix_tree.op8),
         "op9_suffix_array": _over("documents", suffix_array.op9),
+        "op10_html_text": _over("pages", html_text.op10),
     }
 
 
