@@ -93,7 +93,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     from ._base import write
 
     gone = write(contaminated(docs.select("doc_id", "text"), benchmark).select("doc_id").distinct(), "contaminated")
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    return docs.join(gone.hint("shuffle_hash"), "doc_id", "left_anti").select(docs.columns)
 
 
 def op5(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -13,8 +13,15 @@ def _over(table: str, operator: Callable[[DataFrame], DataFrame]) -> Callable[[S
     return lambda spark, sf_dir: operator(spark.read.parquet(f"{sf_dir}/{table}.parquet"))
 
 
+def _pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "pipeline": _pipeline,
         "op1_chat_format": _over("conversations", chat_format.op1),
         "op2_pii": _over("documents", pii_crf.op2),
         "op3_quality_rules": lambda spark, d: quality_rules.op3(spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")),

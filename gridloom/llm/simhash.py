@@ -210,4 +210,4 @@ def op7(docs: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """``docs`` without the near-duplicates of a document with a smaller id: the least id of each component stays."""
     classes = near_duplicates(docs).where("doc_id is null or doc_id = component_id").select("doc_id").distinct()
-    return docs.join(classes, docs.doc_id.eqNullSafe(classes.doc_id), "left_semi")
+    return docs.join(classes.hint("shuffle_hash"), docs.doc_id.eqNullSafe(classes.doc_id), "left_semi")
