@@ -26,10 +26,13 @@ from pyspark.sql import functions as F
 from ._base import slices
 
 LONG = 256
-SEEN = 300_000
-WORDS = 20_000
-CHUNK_BYTES = 2 << 20
-SHIFT, MASK = 22, (1 << 22) - 1
+SEEN = 600_000
+WORDS = 60_000
+CHUNK_BYTES = 8 << 20
+#: Tokens that one query decodes.
+BLOCK = 1 << 19
+#: A candidate is its rank and its position, counted through all words of a query, in one number.
+SHIFT, MASK = 32, (1 << 32) - 1
 
 ENCODE = f"""
 WITH RECURSIVE state(word, pos, id, live) AS (
@@ -37,16 +40,16 @@ WITH RECURSIVE state(word, pos, id, live) AS (
   UNION ALL
   SELECT word, pos, CASE WHEN pos = best & {MASK} THEN (best >> {SHIFT})::INTEGER ELSE id END, best IS NOT NULL
   FROM (
-    SELECT *, min(candidate) OVER (PARTITION BY word) AS best
-    FROM (
-      SELECT p.word, p.pos, p.id, p.previous, (m.id::BIGINT << {SHIFT}) | p.pos AS candidate
-      FROM (SELECT word, pos, id, lead(id) OVER o AS following, lag(pos) OVER o AS previous FROM state WHERE live WINDOW o AS (PARTITION BY word ORDER BY pos)) p
-      LEFT JOIN merges m ON m.pair = p.id::BIGINT * 65536 + p.following
+    WITH pairs AS (
+      SELECT s.word, s.pos, s.id, s.previous, (m.id::BIGINT << {SHIFT}) | s.pos AS candidate
+      FROM (SELECT word, pos, id, lead(id) OVER o AS following, lead(word) OVER o AS beside, lag(pos) OVER o AS previous FROM state WHERE live WINDOW o AS (ORDER BY pos)) s
+      LEFT JOIN merges m ON m.pair = CASE WHEN s.word = s.beside THEN s.id::BIGINT * 65536 + s.following END
     )
+    SELECT pairs.word, pos, id, previous, best FROM pairs LEFT JOIN (SELECT word, min(candidate) AS best FROM pairs GROUP BY word) b ON b.word = pairs.word
   )
   WHERE best IS NULL OR previous IS NULL OR previous <> best & {MASK}
 )
-SELECT word, id FROM state WHERE NOT live ORDER BY word, pos
+SELECT word, id FROM state WHERE NOT live ORDER BY pos
 """
 DECODE = "SELECT doc, string_agg(bytes, '') AS text FROM (SELECT doc, pos, bytes FROM coded JOIN vocabulary USING (id) ORDER BY doc, pos) GROUP BY doc"
 
@@ -120,7 +123,7 @@ class Codec:
             part = data[k : k + WORDS]
             n = np.array([len(x) for x in part])
             flat = self.single[np.frombuffer(b"".join(part), np.uint8)]
-            pieces_rows = {"word": np.repeat(np.arange(len(part), dtype=np.int32), n), "pos": (np.arange(len(flat)) - np.repeat(np.cumsum(n) - n, n)).astype(np.int32), "id": flat}
+            pieces_rows = {"word": np.repeat(np.arange(len(part), dtype=np.int32), n), "pos": np.arange(len(flat)), "id": flat}
             self.db.register("pieces", pa.table(pieces_rows))
             out = self.db.sql(ENCODE).to_arrow_table()
             ids = out.column("id").to_numpy().astype("<u4")
@@ -140,6 +143,15 @@ class Codec:
         return [b"".join(map(seen.__getitem__, own)) for own in split]
 
     def decode(self, coded: list[bytes]) -> list[bytes]:
+        texts, start, held = [], 0, 0
+        for i, x in enumerate(coded):
+            if held and held + len(x) > 4 * BLOCK:
+                texts += self._decode(coded[start:i])
+                start, held = i, 0
+            held += len(x)
+        return texts + self._decode(coded[start:])
+
+    def _decode(self, coded: list[bytes]) -> list[bytes]:
         n = np.array([len(x) // 4 for x in coded], np.int64)
         ids = np.frombuffer(b"".join(coded), "<u4").astype(np.int32)
         self.db.register("coded", pa.table({"doc": np.repeat(np.arange(len(n), dtype=np.int32), n), "pos": np.arange(len(ids)), "id": ids}))
