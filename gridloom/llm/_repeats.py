@@ -263,11 +263,13 @@ def find(docs: DataFrame, plan: Plan) -> DataFrame:
     fetched.drop()
     # a segment says something if it has a mask or stands in several places
     telling = segments.df.join(masks.df, ["h", "s"], "left").select("h", "s", F.col("first.doc").alias("low"), F.col("n").alias("total"), F.coalesce("mask", F.lit(0)).alias("mask")).where("mask <> 0 or total > 1")
+    # written, so that both sides of the next join come straight from a shuffle and a hot segment's places are split
+    told = Table(telling, "telling")
     everywhere = F.col("total") > 1 if plan.anywhere else F.col("doc") > F.col("low")
-    hits = known.df.join(telling, ["h", "s"]).select("doc", "loc", F.when(everywhere, _full("loc")).otherwise(F.col("mask")).alias("mask")).where("mask <> 0")
+    hits = known.df.join(told.df, ["h", "s"]).select("doc", "loc", F.when(everywhere, _full("loc")).otherwise(F.col("mask")).alias("mask")).where("mask <> 0")
     hits = hits.groupBy("doc", F.shiftright("loc", 40).alias("th")).agg(F.collect_list(F.struct(F.expr("loc & 4294967295").alias("start"), "mask")).alias("hits"))
     out = Table(hits, "hits")
-    for table in (known, segments, masks):
+    for table in (known, segments, masks, told):
         table.drop()
     return out.df
 
