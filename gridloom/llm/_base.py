@@ -86,8 +86,9 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     def sign(df: DataFrame) -> tuple:
         return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
-    def least(df: DataFrame) -> DataFrame:
-        return df.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
+    def least(df: DataFrame) -> Table:
+        """Written, so that both sides of the joins below come straight from a shuffle and a hot node's edges are split."""
+        return Table(df.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m")), "least")
 
     table = Table(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
     was = sign(table.df)
@@ -96,15 +97,16 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
             break
         e = table.df
         both = e.select(F.col("a").alias("u"), F.col("b").alias("v")).union(e.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        large = both.join(least(both), "u").where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        low = least(both)
+        large = both.join(low.df, "u").where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         stage = Table(large, "edges")
         down = stage.df.select(F.col("a").alias("u"), F.col("b").alias("v"))
-        low = least(down)
-        small = down.join(low, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).union(low.select(F.col("u").alias("a"), F.col("m").alias("b")))
+        under = least(down)
+        small = down.join(under.df, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).union(under.df.select(F.col("u").alias("a"), F.col("m").alias("b")))
         following = Table(small.where("a <> b").distinct(), "edges")
         now = sign(following.df)
-        table.drop()
-        stage.drop()
+        for done in (table, stage, low, under):
+            done.drop()
         table = following
         if now == was:
             return table.df.select(F.col("a").alias("node"), F.col("b").alias("root")).union(table.df.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
