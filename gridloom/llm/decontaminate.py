@@ -34,32 +34,39 @@ def _words(text: str) -> Column:
     return F.when(inner == "", F.array().cast("array<string>")).otherwise(F.split(inner, r"[\x20\x09-\x0D]+"))
 
 
-def _token(w: Column, i: Column, words: Column) -> Column:
-    bare = F.trim(w, F.lit(OUTER))
-    low = F.lower(bare)
+def _ends(words: Column, i: Column) -> Column:
+    """Whether the word before ends a sentence, or there is none."""
+    return (i == 0) | F.substring(F.get(words, i - 1), -1, 1).isin(*STOPS)
+
+
+def _name(bare: Column, i: Column) -> Column:
+    """A capital within a sentence; words without any are told first."""
+    low = F.get("low", i)
     first = F.substring(bare, 1, 1)
-    sentence = (i == 0) | F.substring(F.get(words, i - 1), -1, 1).isin(*STOPS)
-    return (
-        F.when(w.rlike("[0-9]"), "<num>")
-        .when(low.isin(*UNITS.split()) & (i > 0) & F.get(words, i - 1).rlike("[0-9]"), "<unit>")
-        .when((first != F.lower(first)) & ~sentence, "<name>")
-        .otherwise(low)
-    )
+    return F.when(bare == low, low).when((first != F.lower(first)) & ~_ends(F.col("words"), i), "<name>").otherwise(low)
+
+
+def _token(bare: Column, i: Column) -> Column:
+    """As :func:`_name` for texts that hold digits."""
+    unit = F.get("low", i).isin(*UNITS.split()) & (i > 0)
+    return F.when(F.get("words", i).rlike("[0-9]"), "<num>").when(unit & F.get("words", i - 1).rlike("[0-9]"), "<unit>").otherwise(_name(bare, i))
 
 
 def windows(table: DataFrame, key: str, text: str = "text", size: int = WINDOW) -> DataFrame:
-    """(key, pos, hash, slots): every window of canonical tokens with ``LITERALS`` literal ones; slots: the words behind placeholders."""
+    """(key, pos, hash, slots): every window of canonical tokens; slots: the words behind placeholders, null elsewhere."""
     staged = (
-        table.select(F.col(key), _words(text).alias("words"))
+        table.select(F.col(key), _words(text).alias("words"), F.col(text).rlike("[0-9]").alias("digits"))
         .where(F.size("words") >= size)
-        .withColumn("tokens", F.transform("words", lambda w, i: _token(w, i, F.col("words"))))
-        .withColumn("values", F.zip_with("words", "tokens", lambda w, t: F.when(t.isin("<num>", "<unit>", "<name>"), F.trim(w, F.lit(OUTER)))))
+        .withColumn("bare", F.transform("words", lambda w: F.trim(w, F.lit(OUTER))))
+        .withColumn("low", F.transform("bare", lambda b: F.lower(b)))
+        .withColumn("tokens", F.when(F.col("digits"), F.transform("bare", _token)).otherwise(F.transform("bare", _name)))
+        .withColumn("values", F.zip_with("bare", "tokens", lambda b, t: F.when(t.isin("<num>", "<unit>", "<name>"), b)))
     )
     each = F.transform(
         F.sequence(F.lit(1), F.size("tokens") - (size - 1)),
-        lambda i: F.struct(F.xxhash64(F.slice("tokens", i, size)).alias("hash"), i.alias("pos"), F.array_compact(F.slice("values", i, size)).alias("slots")),
+        lambda i: F.struct(F.xxhash64(F.slice("tokens", i, size)).alias("hash"), i.alias("pos"), F.slice("values", i, size).alias("slots")),
     )
-    return staged.select(key, F.explode(each).alias("w")).select(key, "w.pos", "w.hash", "w.slots").where(F.size("slots") <= size - LITERALS)
+    return staged.select(key, F.explode(each).alias("w")).select(key, "w.pos", "w.hash", "w.slots")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, most: int = BROADCAST) -> DataFrame:
@@ -70,11 +77,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
     ones have no windows; repeated rows count once; rows with a null doc_id or item_id match nothing; other columns are
     ignored; an empty table on either side gives no rows.
     """
-    items = windows(benchmark.where("item_id is not null"), "item_id").select("item_id", F.col("pos").alias("item_pos"), "hash", F.col("slots").alias("item_slots")).distinct()
+    own = windows(benchmark.where("item_id is not null"), "item_id").withColumn("item_slots", F.array_compact("slots")).where(F.size("item_slots") <= WINDOW - LITERALS)
+    items = own.select("item_id", F.col("pos").alias("item_pos"), "hash", "item_slots").distinct()
     total = items.groupBy("item_id").agg(F.count_distinct("hash").alias("n_windows"))
     fits = items.limit(most + 1).count() <= most
     hint = "broadcast" if fits else "merge"
-    found = windows(docs.where("doc_id is not null"), "doc_id").join(items.hint(hint), "hash").where(F.size("slots") == F.size("item_slots"))
+    found = windows(docs.where("doc_id is not null"), "doc_id").join(items.hint(hint), "hash")
+    found = found.withColumn("slots", F.array_compact("slots")).where(F.size("slots") == F.size("item_slots"))
     found = found.select("doc_id", "item_id", (F.col("pos") - F.col("item_pos")).alias("shift"), "hash", F.arrays_zip(F.col("item_slots").alias("a"), F.col("slots").alias("b")).alias("pairs"))
     line = found.groupBy("doc_id", "item_id", "shift").agg(F.collect_set("hash").alias("hashes"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("bound"))
     names = F.array_distinct(F.transform("bound", lambda p: p["a"]))
