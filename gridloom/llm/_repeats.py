@@ -248,7 +248,8 @@ def find(docs: DataFrame, plan: Plan) -> DataFrame:
     grams.drop()
     segments = Table(known.df.groupBy("h", "s").agg(F.min(F.struct("doc", "loc")).alias("first"), F.count("*").alias("n")), "segments")
     several = segments.df.groupBy("h").agg(F.count("*").alias("segments")).where("segments > 1").select(F.col("h").alias("g"), (F.col("segments") > plan.hot).alias("hot"))
-    wanted = segments.df.join(several, F.col("h") == F.col("g")).select("h", "s", "n", "hot", F.col("first.doc").alias("doc"), F.col("first.loc").alias("loc"))
+    shared = Table(several, "shared")  # written for the same reason as below
+    wanted = segments.df.join(shared.df, F.col("h") == F.col("g")).select("h", "s", "n", "hot", F.col("first.doc").alias("doc"), F.col("first.loc").alias("loc"))
     by_doc = wanted.groupBy("doc", F.shiftright("loc", 40).alias("th")).agg(F.collect_list(F.struct("h", "s", "loc", "n", "hot")).alias("want"))
     texts = keyed.join(by_doc.hint("shuffle_hash"), ["doc", "th"])
     fetched = Table(texts.select("text", "doc", "want").mapInArrow(_fetch(plan), "k1 long, k2 long, h long, s long, o int, doc long, n long, segment binary"), "fetched")
@@ -269,7 +270,7 @@ def find(docs: DataFrame, plan: Plan) -> DataFrame:
     hits = known.df.join(told.df, ["h", "s"]).select("doc", "loc", F.when(everywhere, _full("loc")).otherwise(F.col("mask")).alias("mask")).where("mask <> 0")
     hits = hits.groupBy("doc", F.shiftright("loc", 40).alias("th")).agg(F.collect_list(F.struct(F.expr("loc & 4294967295").alias("start"), "mask")).alias("hits"))
     out = Table(hits, "hits")
-    for table in (known, segments, masks, told):
+    for table in (known, segments, shared, masks, told):
         table.drop()
     return out.df
 

@@ -197,7 +197,8 @@ def near_duplicates(docs: DataFrame, width: int = 4, half: int = 2, id_col: str
     distinct = write(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
     roots = write(components(links(distinct, half)), "roots")
     named = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
+    # written, so that the join below splits a hot component
+    least = write(named.groupBy("root").agg(F.min("least").alias("component_id")), "least")
     classes = named.select("fp", "root").join(least, "root").select("fp", "component_id")
     return prints.join(classes, "fp").select("doc_id", "fp", "component_id")
 
