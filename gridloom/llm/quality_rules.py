@@ -103,7 +103,7 @@ def _grow(x: dict[str, np.ndarray], bad: np.ndarray, on: np.ndarray) -> list[tup
     cuts = {f: np.unique(np.quantile(v[on], np.linspace(0, 1, CUTS))) for f, v in x.items()}
     while len(terms) < TERMS and (cover & ~bad).any():
         p0, n0 = (cover & bad).sum(), (cover & ~bad).sum()
-        base, best = np.log2(p0 / (p0 + n0)), (0.0, None, None)
+        base, best = np.log2(p0 / (p0 + n0)), (0.0, None)
         for f, v in x.items():
             pos, neg = np.sort(v[cover & bad]), np.sort(v[cover & ~bad])
             low_p, low_n = np.searchsorted(pos, cuts[f], "right"), np.searchsorted(neg, cuts[f], "right")
@@ -112,11 +112,14 @@ def _grow(x: dict[str, np.ndarray], bad: np.ndarray, on: np.ndarray) -> list[tup
                 gain = np.where(p > 0, p * (np.log2(np.maximum(p, 1) / np.maximum(p + n, 1)) - base), 0.0)
                 k = int(gain.argmax())
                 if gain[k] > best[0] + 1e-9:
-                    best = (gain[k], (f, above, float(cuts[f][k])), None)
+                    best = (gain[k], (f, above, float(cuts[f][k])))
         if best[1] is None:
             break
-        terms.append(best[1])
-        cover &= Rule((best[1],)).covers(x)
+        f, above, t = best[1]
+        low, high = x[f][cover & (x[f] <= t)], x[f][cover & (x[f] > t)]
+        # halfway between the values that the threshold parts
+        terms.append((f, above, float((low.max() + high.min()) / 2) if len(low) and len(high) else t))
+        cover &= Rule((terms[-1],)).covers(x)
     return terms
 
 
@@ -141,12 +144,15 @@ def learn_list(x: dict[str, np.ndarray], bad: np.ndarray) -> list[Rule]:
     return rules
 
 
-def learn(statistics: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> list[Rule]:
-    """A decision list from rows of :func:`with_statistics` whose ``doc_id`` is among the sampled ``labels`` (doc_id, quality)."""
+def sampled(labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """(doc_id, __quality) of at most ``sample`` labelled ids, those with the least hashes."""
     chosen = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("__quality"))
-    chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    # at most ``sample`` rows of two numbers
-    rows = statistics.join(F.broadcast(chosen), "doc_id").select(*(F.expr(e).alias(f) for f, e in RATES.items()), "__quality", F.xxhash64("doc_id").alias("__at"))
+    return chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+
+
+def learn(statistics: DataFrame, sample: int = SAMPLE) -> list[Rule]:
+    """A decision list from rows of :func:`with_statistics` joined with :func:`sampled` labels."""
+    rows = statistics.select(*(F.expr(e).alias(f) for f, e in RATES.items()), "__quality", F.xxhash64("doc_id").alias("__at"))
     rows = rows.orderBy("__at", *RATES).limit(sample).collect()
     if not rows:
         return []
@@ -177,9 +183,11 @@ def filter_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     Learning reads the texts once, for the sampled ids alone; the filter is one more projection, so texts never move.
     """
-    rules = learn(with_statistics(docs.select("doc_id", "text")), labels)
-    held = docs.select(F.struct("*").alias("__row"), F.col("text"))
-    return judge(with_statistics(held), rules).where("kept").select("__row.*")
+    chosen = F.broadcast(sampled(labels))  # at most SAMPLE rows of two numbers
+    rules = learn(with_statistics(docs.select("doc_id", "text").join(chosen, "doc_id")))
+    # a filter would move below the statistics and repeat them in every place that it names: the row number keeps it above
+    held = with_statistics(docs.select(F.struct("*").alias("__row"), F.col("text"))).withColumn("__place", F.monotonically_increasing_id())
+    return judge(held, rules).where("kept and __place >= 0").select("__row.*")
 
 
 def op3(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -189,4 +197,5 @@ def op3(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     statistics = write(with_statistics(docs.select("doc_id", "text")).drop("text"), "statistics")
     columns = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
-    return judge(statistics, learn(statistics, labels)).select(columns)
+    rules = learn(statistics.join(F.broadcast(sampled(labels)), "doc_id"))  # at most SAMPLE rows of two numbers
+    return judge(statistics, rules).select(columns)
