@@ -5,11 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .columns import column_of
+from .grid import Grid
+
 
 def insert(points: DataFrame, batch: DataFrame) -> DataFrame:
     return points.unionByName(batch)
 
 
+def insert_placed(placed: DataFrame, batch: DataFrame, grid: Grid, starts: list[float]) -> DataFrame:
+    """Keyed points in their columns with a batch keyed and placed alike; shards and pages follow from the new ranks."""
+    keyed = grid.keyed(batch)
+    keyed = keyed.withColumn("col_id", column_of(F.col("key"), starts))
+    return placed.drop("rank").unionByName(keyed, allowMissingColumns=True)
+
+
 def doomed(points: DataFrame, targets: DataFrame, dims: list[str], key: str = "pid", tolerance: float = 0.0) -> DataFrame:
     """(key) of the points that go: for each target row one point of the same coordinates, lowest ids first.
 

@@ -126,3 +126,8 @@ def borders(grid: Grid) -> DataFrame:
 def ordered(keyed: DataFrame, key: str = "pid") -> DataFrame:
     """Keyed points in their global order: ``rank`` from 1, ties by id. Physically: range partitions, sorted."""
     return ranked(keyed, ["key", key])
+
+
+def last_splits(points: DataFrame, config: GridConfig, key: str = "pid") -> DataFrame:
+    """(parent, part, lb, ub) of the last dimension over all points; the key does not use them."""
+    return equi_depth(points, config.axes[-1], config.parts, config.hi, key=key)

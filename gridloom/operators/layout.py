@@ -99,6 +99,18 @@ def page_of(found: DataFrame, bounds: DataFrame) -> DataFrame:
     return found.join(per, "shard_id", "left").withColumn("page_no", page).drop("p")
 
 
+def shards_per_column(table: DataFrame) -> DataFrame:
+    """(col_id, n_shards, first_shard) of the shards that hold points."""
+    return table.groupBy("col_id").agg(F.count("*").alias("n_shards"), F.min("shard_id").alias("first_shard"))
+
+
+def rebuilt(paged: DataFrame, key: str = "pid") -> DataFrame:
+    """Points in the order of shards, pages and keys: ``place`` from 1, the rank that they were paged by."""
+    from .order import ranked
+
+    return ranked(paged, ["shard_id", "page_no", "key", key], name="place")
+
+
 def save(paged: DataFrame, weights: DataFrame, table: DataFrame, splits: DataFrame, path: str) -> None:
     """The index as Parquet: points by column in key order, and its tables."""
     paged.repartitionByRange("col_id", "key").sortWithinPartitions("col_id", "key").write.mode("overwrite").partitionBy("col_id").parquet(f"{path}/points")

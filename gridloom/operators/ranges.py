@@ -154,3 +154,9 @@ def sphere_counts(points: DataFrame, spheres: DataFrame, dims: list[str]) -> Dat
     return spheres.select("qid").join(found, "qid", "left").select("qid", F.coalesce("n", F.lit(0).cast("long")).alias("n"))
 
 
+
+
+def dominated_counts(points: DataFrame, corners: DataFrame, dims: list[str]) -> DataFrame:
+    """(qid, n): points at or below each corner (qid, hi1..) in every dimension: boxes without a lower end."""
+    open_ = corners.withColumns({f"lo{k}": F.lit(float("-inf")) for k in range(1, len(dims) + 1)})
+    return range_counts(points, open_.select("qid", *(f"lo{k}" for k in range(1, len(dims) + 1)), *(f"hi{k}" for k in range(1, len(dims) + 1))), dims)

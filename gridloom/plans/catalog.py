@@ -205,6 +205,15 @@ def _q_metrics(s, d):
     return metrics.to_long(wide, ["n_regionkey"]).select("n_regionkey", "metric", F.round("value", 6).alias("value"))
 
 
+def _q_placed(s, d):
+    b = Built.of(s, d)
+    return dml.insert_placed(b.placed, _batch(s, d), b.grid, b.starts).groupBy("col_id").agg(F.count("*").alias("n"))
+
+
+def _q_report(s, d):
+    return metrics.report(_q_metrics(s, d).withColumn("value", F.when(F.col("metric") == "std", -1.0).otherwise(F.col("value"))), "n_regionkey", "metric", "value")
+
+
 def _q_text(s, d):
     own = _read(s, d, "nation").select("n_name", F.array(F.col("n_name"), F.lit(None).cast("string"), F.lit("x")).alias("items"))
     return own.select("n_name", text.join_items(F.col("items")).alias("joined"), text.strip_pound(F.concat(F.lit("#"), "n_name")).alias("stripped"), text.is_punctuation(F.lit("?!")).alias("marks"), text.matches(F.col("n_name"), "[A-M]").alias("early"))
@@ -255,6 +264,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "knn_box_variant": lambda s, d: knn.knn_box(ev(s, d), centers(s, d), K, XY, 100.0).select("qid", "rank", *_r("dist")),
         "knn_embeddings": _q_vectors,
         "recall_at_k": _q_recall,
+        "upper_bound_count": lambda s, d: ranges.dominated_counts(ordp(s, d), boxes(s, d, 20.0, 200).select("qid", "hi1", "hi2"), XY),
+        "knn_within_radius": lambda s, d: knn.within(ordp(s, d), spheres(s, d), 5, XY).select("qid", "rank", *_r("dist")),
+        "knn_doubling_radius": lambda s, d: knn.doubling_radius(ordp(s, d), centers(s, d), K, XY, 50.0),
         "rescale_minmax": lambda s, d: ev(s, d).select("pid", *_r(*XY)),
         "dedupe_points": lambda s, d: prep.dedupe(li(s, d), XY, 3),
         "clip_points": lambda s, d: prep.clip_points(ev(s, d), XY, 1000.0, 9000.0).select("pid", *_r(*XY)),
@@ -263,6 +275,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "axis_product": lambda s, d: prep.product([_read(s, d, "region").select("r_regionkey"), _read(s, d, "nation").select("n_nationkey")]),
         "grid_splits": lambda s, d: grid.build_grid(ev(s, d), CONFIG).splits.select("part", *_r("lb", "ub")),
         "grid_splits_3d": _q_splits3,
+        "last_dim_splits": lambda s, d: grid.last_splits(ev(s, d), CONFIG).select("part", *_r("lb", "ub")),
         "cell_borders": lambda s, d: grid.borders(grid.build_grid(ev(s, d), CONFIG)).select("cell", *_r("front_0", "back_0", "measure")),
         "monotone_key": lambda s, d: grid.build_grid(ev(s, d), CONFIG).keyed(ev(s, d)).select("pid", "cell", *_r("key")),
         "key_rank": lambda s, d: b(s, d).ranks.select("pid", "rank"),
@@ -276,6 +289,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "model_valid": lambda s, d: b(s, d).weights.select("col_id", columns.is_valid().alias("valid")),
         "shard_layout": _q_shards,
         "shard_assign": lambda s, d: b(s, d).numbered().select("pid", "shard_id"),
+        "shards_per_column": lambda s, d: layout.shards_per_column(layout.shard_table(b(s, d).numbered(), CONFIG)),
+        "rebuild_order": lambda s, d: layout.rebuilt(b(s, d).paged()).select("pid", "place"),
         "page_assign": lambda s, d: b(s, d).paged().select("pid", "page_no"),
         "page_split_keys": lambda s, d: layout.split_keys(b(s, d).paged()).select("shard_id", "page_no", *_r("split_key")),
         "page_lookup": _q_mappings,
@@ -287,6 +302,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "interval_union": _q_union,
         "insert_batch": lambda s, d: dml.insert(ev(s, d), _batch(s, d)).select("pid", *_r(*XY)),
         "insert_then_range": _q_insert_range,
+        "insert_placed": _q_placed,
         "delete_batch": lambda s, d: dml.delete(ev(s, d), ev(s, d).where("pid % 10 = 4"), XY).groupBy(*(F.round(c, 6).alias(c) for c in XY)).agg(F.count("*").alias("n")),
         "delete_batch_dups": lambda s, d: dml.delete(ev(s, d), _targets(s, d), XY).select("pid"),
         "insert_delete_roundtrip": _q_roundtrip,
@@ -298,5 +314,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "cdf_train": _q_train,
         "mlp_train": _q_mlp,
         "metrics_unpivot": _q_metrics,
+        "metrics_report": _q_report,
         "text_helpers": _q_text,
     }

@@ -132,6 +132,9 @@ def oracle_sql() -> dict[str, str]:
         "knn_box_variant": _q([ORD, EV, _centers(50), _BOX_ROUNDS], "SELECT qid, rank, round(dist, 6) AS dist FROM variant"),
         "knn_embeddings": "WITH asked AS (SELECT vec_id AS qid, embedding AS q FROM embeddings WHERE vec_id % 50 = 0), met AS (SELECT qid, vec_id, list_reduce(list_transform(list_zip(q, embedding), lambda z: (CAST(z[1] AS DOUBLE) - CAST(z[2] AS DOUBLE)) * (CAST(z[1] AS DOUBLE) - CAST(z[2] AS DOUBLE))), lambda a, b: a + b) AS dist2 FROM asked, embeddings) SELECT qid, rank, vec_id, round(dist2, 6) AS dist2 FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY dist2, vec_id) AS rank FROM met) WHERE rank <= 5",
         "recall_at_k": _q([ORD, EV, _centers(50), _BOX_ROUNDS, f"truth AS (SELECT * FROM ({_TOP.format(pts='ev')}) WHERE rank <= 10)"], "SELECT round(avg(CASE WHEN abs(v.dist - t.dist) <= 1e-3 + 1e-3 * abs(t.dist) THEN 1.0::DOUBLE ELSE 0 END), 6) AS recall FROM truth t LEFT JOIN variant v USING (qid, rank)"),
+        "upper_bound_count": _q([ORD, _boxes(20.0, 200)], "SELECT qid, count(x1) AS n FROM boxes LEFT JOIN ord ON x1 <= hi1 AND x2 <= hi2 GROUP BY qid"),
+        "knn_within_radius": _q([ORD, _centers(200), f"top AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY dist, pid) AS rank, count(*) OVER (PARTITION BY qid) AS held FROM (SELECT qid, pid, {DIST} AS dist FROM asked JOIN ord ON {DIST} <= r))"], "SELECT a.qid, k AS rank, round(dist, 6) AS dist FROM asked a CROSS JOIN generate_series(1, 5) g(k) LEFT JOIN top t ON t.qid = a.qid AND t.rank = k AND held >= 5"),
+        "knn_doubling_radius": _q([ORD, _centers(50), "radii AS (SELECT 50.0::DOUBLE * (1 << i) AS h FROM generate_series(0, 29) g(i))"], f"SELECT qid, min(h) AS r FROM (SELECT qid, h FROM asked, radii, ord WHERE {DIST} <= h GROUP BY ALL HAVING count(*) >= 10) GROUP BY qid"),
         "rescale_minmax": _q([EV], f"SELECT pid, {_r('x1', 'x2')} FROM ev"),
         "dedupe_points": _q([LI], "SELECT DISTINCT round(x1, 3) AS x1, round(x2, 3) AS x2 FROM li"),
         "clip_points": _q([EV], "SELECT pid, round(greatest(least(x1, 9000.0::DOUBLE), 1000.0::DOUBLE), 6) AS x1, round(greatest(least(x2, 9000.0::DOUBLE), 1000.0::DOUBLE), 6) AS x2 FROM ev"),
@@ -150,6 +153,7 @@ def oracle_sql() -> dict[str, str]:
             ],
             f"SELECT 0 AS level, 0::BIGINT AS parent, part, {_r('lb', 'ub')} FROM s0 UNION ALL SELECT 1, parent, part, {_r('lb', 'ub')} FROM s1",
         ),
+        "last_dim_splits": _q([EV, SPLITS.replace("x1", "x2")], f"SELECT part, {_r('lb', 'ub')} FROM splits"),
         "cell_borders": _q([EV, SPLITS], "SELECT part AS cell, round(lb, 6) AS front_0, round(ub, 6) AS back_0, round(ub - lb, 6) AS measure FROM splits"),
         "monotone_key": _q([EV, KEYED], f"SELECT pid, cell, {_r('key')} FROM keyed"),
         "key_rank": _q([EV, RANKS], "SELECT pid, rank FROM ranks"),
@@ -163,6 +167,8 @@ def oracle_sql() -> dict[str, str]:
         "model_valid": _q([EV, MODEL], "SELECT col_id, bool_and(next_beta > beta OR next_beta IS NULL OR next_pos IS NULL OR i = (SELECT max(i) FROM knots k WHERE k.col_id = slopes.col_id)) AND min(slope) >= -1e-9 AS valid FROM slopes GROUP BY col_id"),
         "shard_layout": _q([EV, SHARDS], "SELECT shard_id, col_id, n FROM shards"),
         "shard_assign": _q([EV, SHARDS], "SELECT pid, shard_id FROM sharded"),
+        "shards_per_column": _q([EV, SHARDS], "SELECT col_id, count(*) AS n_shards, min(shard_id) AS first_shard FROM shards GROUP BY col_id"),
+        "rebuild_order": _q([EV, RANKS], "SELECT pid, rank AS place FROM ranks"),
         "page_assign": _q([EV, SHARDS], "SELECT pid, page_no FROM paged"),
         "page_split_keys": _q([EV, SHARDS], "SELECT shard_id, page_no, round(min(key), 6) AS split_key FROM paged JOIN numbered USING (shard_id) WHERE page_no > first_page GROUP BY ALL"),
         "flat_offsets": _q([EV, SHARDS], "SELECT shard_id, start, stop FROM shards"),
@@ -176,6 +182,7 @@ def oracle_sql() -> dict[str, str]:
         ),
         "insert_batch": _q([EV, _BATCH], f"SELECT pid, {_r('x1', 'x2')} FROM ev UNION ALL SELECT pid, {_r('x1', 'x2')} FROM batch"),
         "insert_then_range": _q([EV, ORD, _BATCH, _boxes(100.0, 200), "everything AS (SELECT * FROM ev UNION ALL SELECT * FROM batch)"], _COUNTS.format(pts="everything")),
+        "insert_placed": _q([EV, PLACED, "batch_cells AS (SELECT pid, (SELECT count(*) FROM bounds WHERE boundary <= k.key) AS col_id FROM keyed k WHERE pid % 10 = 3)"], "SELECT col_id, count(*) AS n FROM (SELECT col_id FROM placed UNION ALL SELECT col_id FROM batch_cells) GROUP BY col_id"),
         "delete_batch": _q([EV], "SELECT round(x1, 6) AS x1, round(x2, 6) AS x2, count(*) AS n FROM (SELECT x1, x2 FROM ev EXCEPT ALL SELECT x1, x2 FROM ev WHERE pid % 10 = 4) GROUP BY ALL"),
         "delete_batch_dups": _q([EV, "targets AS (SELECT x1, x2, count(*) AS n FROM (SELECT x1, x2 FROM ev WHERE pid % 10 = 4 UNION ALL SELECT x1, x2 FROM ev WHERE pid % 50 = 4) GROUP BY ALL)"], "SELECT pid FROM (SELECT pid, n, row_number() OVER (PARTITION BY ev.x1, ev.x2 ORDER BY pid) AS i FROM ev LEFT JOIN targets t ON t.x1 = ev.x1 AND t.x2 = ev.x2) WHERE n IS NULL OR i > n"),
         "insert_delete_roundtrip": _q([EV], "SELECT count(*) AS n, count(DISTINCT (x1, x2)) AS n_distinct FROM ev"),
@@ -184,5 +191,6 @@ def oracle_sql() -> dict[str, str]:
         "corner_weights": _q([EV, LATTICE], "SELECT pid, node_id, round(w, 6) AS w FROM weights"),
         "lattice_predict": _q([EV, LATTICE], "SELECT pid, round(sum(w * (node_id % 11 * 2000 + node_id // 11 * 1000 + 1)), 4) AS y FROM weights WHERE pid % 20 = 0 GROUP BY pid"),
         "metrics_unpivot": "WITH w AS (SELECT n_regionkey, CAST(count(*) AS DOUBLE) AS n, avg(n_nationkey) AS mean, stddev_pop(n_nationkey) AS std FROM nation GROUP BY n_regionkey) SELECT n_regionkey, 'n' AS metric, round(n, 6) AS value FROM w UNION ALL SELECT n_regionkey, 'mean', round(mean, 6) FROM w UNION ALL SELECT n_regionkey, 'std', round(std, 6) FROM w",
+        "metrics_report": "WITH w AS (SELECT n_regionkey, CAST(count(*) AS DOUBLE) AS n, avg(n_nationkey) AS mean FROM nation GROUP BY n_regionkey) SELECT n_regionkey || ': mean=' || printf('%.3f', mean) || '  n=' || printf('%.3f', n) || '  std=n/a' AS line FROM w",
         "text_helpers": "SELECT n_name, n_name || ' x' AS joined, n_name AS stripped, true AS marks, regexp_matches(n_name, '^[A-M]') AS early FROM nation",
     }
