@@ -15,6 +15,7 @@ import base64
 import hashlib
 import heapq
 from collections.abc import Callable, Iterator
+from functools import cached_property
 
 import duckdb
 import numpy as np
@@ -23,12 +24,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._base import slices
+from ._base import release, slices
 
 LONG = 256
-SEEN = 600_000
-WORDS = 60_000
-CHUNK_BYTES = 8 << 20
+SEEN = 250_000
+WORDS = 25_000
+CHUNK_BYTES = 4 << 20
 #: Tokens that one query decodes.
 BLOCK = 1 << 19
 #: A candidate is its rank and its position, counted through all words of a query, in one number.
@@ -61,32 +62,32 @@ def read_ranks(path: str) -> bytes:
 
 
 class Codec:
-    """Encoder and decoder of one worker."""
-
-    held: dict = {}
+    """Encoder and decoder of one task; closed with it, as workers outlive their tasks."""
 
     def __init__(self, file: bytes, pattern: str):
         self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file.splitlines())}
         if max(self.ranks.values()) >= 1 << 16:
             raise ValueError("token ids must be below 65536")
         pairs = [(self.ranks[b[:k]] << 16 | self.ranks[b[k:]], i) for b, i in self.ranks.items() for k in range(1, len(b)) if b[:k] in self.ranks and b[k:] in self.ranks]
-        self.pairs = dict(pairs)
-        self.bytes = {i: b for b, i in self.ranks.items()}
+        vocabulary = {i: b for b, i in self.ranks.items()}
         self.single = np.array([self.ranks[bytes([i])] for i in range(256)], np.int32)
         self.split = regex.compile(pattern).findall
         self.seen: dict[str, bytes] = {}
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "300MB", "temp_directory": ""})
         merges = pa.table({"pair": pa.array([p for p, _ in pairs], pa.int64()), "id": pa.array([i for _, i in pairs], pa.int32())})  # noqa: F841
-        vocabulary = pa.table({"id": pa.array(self.bytes, pa.int32()), "bytes": [b.decode("latin-1") for b in self.bytes.values()]})  # noqa: F841
+        vocabulary = pa.table({"id": pa.array(vocabulary, pa.int32()), "bytes": [b.decode("latin-1") for b in vocabulary.values()]})  # noqa: F841
         self.db.execute("CREATE TABLE merges AS FROM merges")
         self.db.execute("CREATE TABLE vocabulary AS FROM vocabulary")
 
-    @classmethod
-    def of(cls, file: bytes, pattern: str) -> Codec:
-        key = hash((file, pattern))
-        if key not in cls.held:
-            cls.held[key] = cls(file, pattern)
-        return cls.held[key]
+    def close(self) -> None:
+        self.db.close()
+        self.__dict__.clear()
+        release()
+
+    @cached_property
+    def pairs(self) -> dict[int, int]:
+        """The merge table once more, for pieces that the recursion would take too long over."""
+        return dict(self.db.sql("SELECT pair, id FROM merges").fetchall())
 
     def _heap(self, piece: bytes) -> bytes:
         ids = self.single[np.frombuffer(piece, np.uint8)].tolist()
@@ -169,8 +170,9 @@ def _coded(docs: DataFrame, path: str, pattern: str, schema: str, finish: Callab
     at, names = plain.columns.index("text"), plain.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec.of(file, pattern)
+        codec = None
         for part in slices(batches, "text", CHUNK_BYTES):
+            codec = codec or Codec(file, pattern)
             texts = [t or "" for t in part.column(at).to_pylist()]
             coded = codec.encode(texts)
             decoded = codec.decode(coded)
@@ -178,6 +180,8 @@ def _coded(docs: DataFrame, path: str, pattern: str, schema: str, finish: Callab
                 raise ValueError("a text did not come back from its tokens")
             own = [part.column(i) for i in range(len(names)) if i != at]
             yield pa.RecordBatch.from_arrays([*own, *finish(coded, decoded)], names=[*(c for c in names if c != "text"), *new])
+        if codec:
+            codec.close()
 
     return plain.mapInArrow(run, ", ".join([*(f"`{c}` {k}" for c, k in plain.dtypes if c != "text"), schema]))
 

@@ -21,13 +21,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._base import Table, slices
+from ._base import Table, release, slices
 
 MIN_DOCS = 10
 MIN_CHARS = 1
 SHARD_KEYS = 200_000
 SHARDS_HELD = 8
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 4 << 20
 #: Keys of a displacement bucket, on average.
 LOAD = 4
 LOW = np.uint64(0xFFFFFFFF)
@@ -221,6 +221,7 @@ def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_
             lines, dropped, kept = drop_frequent(part.column("text").to_pylist(), index)
             own = [pa.array(kept, pa.string()) if c == "text" else part.column(i) for i, c in enumerate(names)]
             yield pa.RecordBatch.from_arrays([*own, pa.array(lines, pa.int64()), pa.array(dropped, pa.int64())], names=[*names, "n_lines", "n_dropped"])
+        release()
 
     schema = ", ".join(f"`{c}` {kind}" for c, kind in plain.dtypes) + ", n_lines long, n_dropped long"
     return plain.mapInArrow(run, schema)
