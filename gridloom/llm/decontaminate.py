@@ -3,7 +3,9 @@
 Words become canonical tokens: numbers, units and names turn into typed placeholders, all else is lower-cased without outer
 punctuation. Windows of ``WINDOW`` tokens of the documents meet those of the benchmark in a hash join, so a question whose
 numbers or names were changed still matches. The values behind the placeholders decide: along one alignment of document and
-item, a benchmark value must stand for one document value throughout.
+item, a benchmark value must stand for one document value throughout. Windows that are mostly placeholders, and items too short
+for windows, are compared word for word. ``SQL`` has neither of these two, nor the least numbers of matched windows: it gives
+the same rows where no benchmark window is dense and every item has four windows or more.
 
 DataFrame functions only. The benchmark's windows are broadcast while there are at most ``BROADCAST`` of them; beyond that the
 same join shuffles. The texts do not move: only matches are grouped, by document, item and alignment, and a group holds at
@@ -20,6 +22,13 @@ WINDOW = 5
 LITERALS = 3
 #: Share of an item's windows that a document holds if it is contaminated.
 COVERAGE = 0.5
+#: Matched windows, at least, for an item that has as many: 6 words in a row.
+FEWEST = 2
+#: Matched windows, at least, where only those count that are not dense in placeholders.
+FEWEST_TEMPLATES = 3
+#: Items of fewer words are also looked for as a whole; those of fewer than ``ALONE`` as whole documents only.
+SMALL = 8
+ALONE = 3
 #: Benchmark windows (two numbers and a few words each) that may be broadcast.
 BROADCAST = 200_000
 # Units of measure
@@ -52,49 +61,101 @@ def _token(bare: Column, i: Column) -> Column:
     return F.when(F.get("words", i).rlike("[0-9]"), "<num>").when(unit & F.get("words", i - 1).rlike("[0-9]"), "<unit>").otherwise(_name(bare, i))
 
 
-def windows(table: DataFrame, key: str, text: str = "text", size: int = WINDOW) -> DataFrame:
-    """(key, pos, hash, slots): every window of canonical tokens; slots: the words behind placeholders, null elsewhere."""
+def _staged(table: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """The words of each text, without outer punctuation (``bare``) and lower-cased (``low``)."""
+    staged = table.select(F.col(key), _words(text).alias("words"), F.col(text).rlike("[0-9]").alias("digits"))
+    return staged.withColumn("bare", F.transform("words", lambda w: F.trim(w, F.lit(OUTER)))).withColumn("low", F.transform("bare", lambda b: F.lower(b)))
+
+
+def windows(table: DataFrame, key: str, text: str = "text", size: int = WINDOW, exact: bool = False) -> DataFrame:
+    """(key, pos, hash, slots): every window of canonical tokens; slots: the words behind placeholders, null elsewhere.
+
+    With ``exact``, a window of more than ``WINDOW - LITERALS`` placeholders, whose template says little, has the hash of its
+    lower-cased words instead.
+    """
     staged = (
-        table.select(F.col(key), _words(text).alias("words"), F.col(text).rlike("[0-9]").alias("digits"))
+        _staged(table, key, text)
         .where(F.size("words") >= size)
-        .withColumn("bare", F.transform("words", lambda w: F.trim(w, F.lit(OUTER))))
-        .withColumn("low", F.transform("bare", lambda b: F.lower(b)))
         .withColumn("tokens", F.when(F.col("digits"), F.transform("bare", _token)).otherwise(F.transform("bare", _name)))
         .withColumn("values", F.zip_with("bare", "tokens", lambda b, t: F.when(t.isin("<num>", "<unit>", "<name>"), b)))
     )
+
+    def hashed(i: Column) -> Column:
+        template = F.xxhash64(F.slice("tokens", i, size))
+        return F.when(_dense(F.slice("values", i, size)), F.xxhash64(F.lit("="), F.slice("low", i, size))).otherwise(template) if exact else template
+
     each = F.transform(
         F.sequence(F.lit(1), F.size("tokens") - (size - 1)),
-        lambda i: F.struct(F.xxhash64(F.slice("tokens", i, size)).alias("hash"), i.alias("pos"), F.slice("values", i, size).alias("slots")),
+        lambda i: F.struct(hashed(i).alias("hash"), i.alias("pos"), F.slice("values", i, size).alias("slots")),
     )
     return staged.select(key, F.explode(each).alias("w")).select(key, "w.pos", "w.hash", "w.slots")
 
 
+def _dense(slots: Column) -> Column:
+    return F.size(F.array_compact(slots)) > WINDOW - LITERALS
+
+
+def _whole(docs: DataFrame, benchmark: DataFrame, most: int) -> DataFrame | None:
+    """(doc_id, item_id) for items of fewer than ``SMALL`` words that the document holds word for word; None: no such items."""
+    items = _staged(benchmark.where("item_id is not null"), "item_id").select("item_id", "low", F.size("low").alias("size")).where(F.col("size").between(1, SMALL - 1))
+    items = items.select("item_id", "size", F.xxhash64("low").alias("hash")).distinct()
+    sizes = [r["size"] for r in items.select("size").distinct().collect()]
+    if not sizes:
+        return None
+    staged = _staged(docs.where("doc_id is not null"), "doc_id")
+
+    def runs(n: int) -> DataFrame:
+        held = staged.where(F.size("low") == n if n < ALONE else F.size("low") >= n)
+        each = F.transform(F.sequence(F.lit(1), F.size("low") - (n - 1)), lambda i: F.xxhash64(F.slice("low", i, n)))
+        return held.select("doc_id", F.explode(each).alias("hash"), F.lit(n).alias("size"))
+
+    every = runs(sizes[0])
+    for n in sizes[1:]:
+        every = every.union(runs(n))
+    hint = "broadcast" if items.limit(most + 1).count() <= most else "merge"
+    return every.join(items.hint(hint), ["size", "hash"]).select("doc_id", "item_id").distinct()
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, most: int = BROADCAST) -> DataFrame:
     """(doc_id, item_id, n_windows, n_matched, n_slots, verbatim) for each pair in which the document holds the item.
 
     ``n_windows`` counts the distinct windows of the item, ``n_matched`` those found along consistent alignments, ``n_slots``
-    the benchmark values rebound there; ``verbatim``: no value differs. Texts of fewer than ``WINDOW`` words, null and empty
-    ones have no windows; repeated rows count once; rows with a null doc_id or item_id match nothing; other columns are
-    ignored; an empty table on either side gives no rows.
+    the benchmark values rebound there; ``verbatim``: no value differs. Windows dense in placeholders match word for word, in
+    any case. An item is held if a share ``coverage`` of all its windows is matched, and ``FEWEST`` of them if it has as many; or
+    that share of its windows that are not dense, and ``FEWEST_TEMPLATES`` of them, so that changed values still match. Items
+    of fewer than ``SMALL`` words are also found as a whole, word for word, those of fewer than ``ALONE`` only where the
+    document is nothing else: one window if they have none, ``n_slots`` 0.
+
+    Null and empty texts hold nothing; repeated rows count once; rows with a null doc_id or item_id match nothing; other
+    columns are ignored; an empty table on either side gives no rows.
     """
-    own = windows(benchmark.where("item_id is not null"), "item_id").withColumn("item_slots", F.array_compact("slots")).where(F.size("item_slots") <= WINDOW - LITERALS)
-    items = own.select("item_id", F.col("pos").alias("item_pos"), "hash", "item_slots").distinct()
-    total = items.groupBy("item_id").agg(F.count_distinct("hash").alias("n_windows"))
+    own = windows(benchmark.where("item_id is not null"), "item_id", exact=True).withColumn("item_slots", F.array_compact("slots"))
+    items = own.select("item_id", F.col("pos").alias("item_pos"), "hash", "item_slots", _dense(F.col("slots")).alias("dense")).distinct()
+    total = items.groupBy("item_id").agg(F.count_distinct("hash").alias("n_windows"), F.count_distinct(F.when(~F.col("dense"), F.col("hash"))).alias("n_templates"))
     fits = items.limit(most + 1).count() <= most
+    exact = bool(items.where("dense").limit(1).count())  # documents hash words only where an item needs it
     hint = "broadcast" if fits else "merge"
-    found = windows(docs.where("doc_id is not null"), "doc_id").join(items.hint(hint), "hash")
+    found = windows(docs.where("doc_id is not null"), "doc_id", exact=exact).join(items.hint(hint), "hash")
     found = found.withColumn("slots", F.array_compact("slots")).where(F.size("slots") == F.size("item_slots"))
-    found = found.select("doc_id", "item_id", (F.col("pos") - F.col("item_pos")).alias("shift"), "hash", F.arrays_zip(F.col("item_slots").alias("a"), F.col("slots").alias("b")).alias("pairs"))
-    line = found.groupBy("doc_id", "item_id", "shift").agg(F.collect_set("hash").alias("hashes"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("bound"))
+    found = found.select("doc_id", "item_id", (F.col("pos") - F.col("item_pos")).alias("shift"), "hash", F.when(~F.col("dense"), F.col("hash")).alias("template"), F.arrays_zip(F.col("item_slots").alias("a"), F.col("slots").alias("b")).alias("pairs"))
+    line = found.groupBy("doc_id", "item_id", "shift").agg(F.collect_set("hash").alias("hashes"), F.collect_set("template").alias("templates"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("bound"))
     names = F.array_distinct(F.transform("bound", lambda p: p["a"]))
     line = line.where(F.size(names) == F.size("bound"))
     pair = line.groupBy("doc_id", "item_id").agg(
         F.size(F.array_distinct(F.flatten(F.collect_set("hashes")))).cast("long").alias("n_matched"),
+        F.size(F.array_distinct(F.flatten(F.collect_set("templates")))).alias("n_alike"),
         F.size(F.array_distinct(F.flatten(F.collect_set(F.transform("bound", lambda p: p["a"]))))).cast("long").alias("n_slots"),
         F.every(F.forall("bound", lambda p: p["a"] == p["b"])).alias("verbatim"),
     )
-    total = total.hint(hint)
-    return pair.join(total, "item_id").where(F.col("n_matched") >= coverage * F.col("n_windows")).select("doc_id", "item_id", "n_windows", "n_matched", "n_slots", "verbatim")
+    share = (F.col("n_matched") >= coverage * F.col("n_windows")) & (F.col("n_matched") >= F.least(F.lit(FEWEST), "n_windows"))
+    alike = (F.col("n_alike") >= coverage * F.col("n_templates")) & (F.col("n_alike") >= FEWEST_TEMPLATES)
+    pairs = pair.join(total.hint(hint), "item_id").where(share | alike).select("doc_id", "item_id", "n_windows", "n_matched", "n_slots", "verbatim")
+    whole = _whole(docs, benchmark, most)
+    if whole is None:
+        return pairs
+    rest = whole.join(pairs.select("doc_id", "item_id"), ["doc_id", "item_id"], "left_anti").join(total.select("item_id", "n_windows").hint(hint), "item_id", "left")
+    n = F.coalesce("n_windows", F.lit(1).cast("long"))
+    return pairs.unionByName(rest.select("doc_id", "item_id", n.alias("n_windows"), n.alias("n_matched"), F.lit(0).cast("long").alias("n_slots"), F.lit(True).alias("verbatim")))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -25,3 +25,32 @@ def test_catches_verbatim_and_reparameterised(spark):
 def test_empty_tables(spark):
     docs, items = tables(spark, [(1, ITEM, 0)], [(9, ITEM, "x")])
     assert d.op5(docs.limit(0), items).count() == d.op5(docs, items.limit(0)).count() == 0
+
+
+def test_dense_and_short_items(spark):
+    numbers = "Sort these: 4 9 2 7 1 8 3 12 15 6"
+    people = "the list: Anna Berta Clara Dora Emma Frieda Gerda Hanna Ida Jana"
+    items = [(1, numbers, "x"), (2, people, "x"), (3, "Define osmosis briefly", "x"), (4, "yes", "x"), (5, "Name the Capital of France now", "x"), (6, "red cars like Anna and Berta", "x")]
+    rows = [
+        (1, "well then. " + numbers + " is what it said", 0),
+        (2, "so here is " + people + " and so on", 0),
+        (3, "please define OSMOSIS, briefly. ok", 0),
+        (4, "yes", 0),
+        (5, "yes it was the list of all these", 0),
+        (6, "he said Name the Capital of France now or never", 0),
+        (7, "see the list: Karl Ludwig Moritz Norbert Otto Paul Quirin Rolf Sven Theo and so on", 0),
+        (8, "few red cars like Otto and that is all", 0),
+    ]
+    docs, bench = tables(spark, rows, items)
+    want = {(1, 1), (2, 2), (3, 3), (4, 4), (6, 5)}
+    for most in (d.BROADCAST, 0):
+        got = d.contaminated(docs, bench, most=most).collect()
+        assert {(r.doc_id, r.item_id) for r in got} == want and len(got) == len(want)
+    assert {r.item_id: r.n_windows for r in got} == {1: 8, 2: 8, 3: 1, 4: 1, 5: 2}
+
+
+def test_changed_values_of_a_partly_dense_item(spark):
+    item = "she wrote down the whole list of numbers again: 4 9 2 7 1 8 3 12 15 6 11 13 17 19 21 23 25"
+    changed = "she wrote down the whole list of numbers again: " + " ".join(str(k) for k in range(40, 57))
+    docs, bench = tables(spark, [(1, changed, 0)], [(1, item, "x")])
+    assert [r.verbatim for r in d.op5(docs, bench).collect()] == [False]
