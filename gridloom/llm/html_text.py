@@ -23,9 +23,13 @@ DEPTH = 200
 # Element sets of the HTML standard
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-UNSEEN = frozenset("head script style title template noscript iframe noembed noframes object audio video canvas svg math datalist area base link meta param source track col colgroup rp".split())
+UNSEEN = frozenset("head script style title template noscript iframe noembed noframes object audio video canvas datalist area base link meta param source track col colgroup rp".split())
 BLOCK = frozenset("html body address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr legend li listing main menu nav ol optgroup option p plaintext pre search section summary table tbody td tfoot th thead tr caption ul xmp".split())
 SPACED = frozenset("blockquote dl figure h1 h2 h3 h4 h5 h6 menu ol p pre table ul fieldset listing dir hr".split())
+SVG_UNSEEN = frozenset("title desc defs metadata symbol clippath mask pattern marker lineargradient radialgradient filter".split())
+MATH_UNSEEN = frozenset("annotation annotation-xml mphantom".split())
+#: What stands between the parts of a formula that are not in one line.
+MATH_BETWEEN = {"mfrac": "/", "msup": "^", "mover": "^", "msub": "_", "munder": "_", "msubsup": "_^", "munderover": "_^", "mtr": "  ", "mtable": "  "}
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li dd dt listing main menu nav ol p plaintext pre search section summary table ul xmp".split())
 LISTS = frozenset("ul ol menu dir".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -51,7 +55,11 @@ TAG = re.compile(r"""<!--(?:>|->|.*?(?:--!?>|\Z))|<(/?)([A-Za-z][^\s/>]*)((?:[^>
 ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 SPACE = re.compile(r"[ \t\n\r\f]+")
 HIDDEN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))\b", re.I)
-RULE = re.compile(r"([^{}]+)\{([^{}]*)\}")
+CSS_COMMENT = re.compile(r"/\*.*?(?:\*/|\Z)|<!--|-->", re.S)
+CSS_MARK = re.compile(r"""[{};]|"(?:\\.|[^"\\\n])*"|'(?:\\.|[^'\\\n])*'""", re.S)
+AT_RULE = re.compile(r"@([\w-]+)\s*(.*)", re.S)
+#: A media query that every screen meets; with a condition on its size or the like, some screens show the text.
+SCREEN = re.compile(r"(?:(?:only\s+)?(?:all|screen)|not\s+(?!all\b|screen\b)[\w-]+)?\Z", re.I)
 SIMPLE = re.compile(r"[.#]?[A-Za-z_][\w-]*\Z")
 
 
@@ -70,6 +78,43 @@ class Node:
         return out
 
 
+def _screen(media: str) -> bool:
+    return any(SCREEN.match(x.strip()) for x in media.split(","))
+
+
+def _applies(at_rule: str) -> bool:
+    """Whether the rules in the block of an at-rule hold on every screen."""
+    m = AT_RULE.match(at_rule)
+    name, rest = (m[1].lower(), m[2].strip()) if m else ("", "")
+    return name == "layer" or (name == "media" and _screen(rest)) or (name == "supports" and not rest.lower().startswith("not"))
+
+
+def hides(css: str) -> set[str]:
+    """The simple selectors of rules that hide on every screen; rules nested in others, which hold for some elements only, do not."""
+    out: set[str] = set()
+    css = CSS_COMMENT.sub("", css)
+    css += "}" * css.count("{")
+    # of each open block: whether its rules count, its selectors if it is a rule, its declarations
+    open_: list[tuple[bool, str, list[str]]] = [(True, "", [])]
+    start = 0
+    for m in CSS_MARK.finditer(css):
+        if m[0] not in "{};":
+            continue
+        part, start = css[start : m.start()].strip(), m.end()
+        if m[0] == "{":
+            if part.startswith("@"):
+                open_.append((open_[-1][0] and _applies(part), "", []))
+            else:
+                open_.append((False, part if open_[-1][0] else "", []))
+            continue
+        open_[-1][2].append(part)
+        if m[0] == "}" and len(open_) > 1:
+            _, names, body = open_.pop()
+            if names and HIDDEN.search(";".join(body)):
+                out.update(s for s in (x.strip() for x in names.split(",")) if SIMPLE.match(s))
+    return out
+
+
 def parse(page: str) -> tuple[Node, set[str]]:
     """The tree of a page, with implied tags, and the simple selectors (tag, .class, #id) that its styles hide."""
     root = Node("html")
@@ -85,6 +130,10 @@ def parse(page: str) -> tuple[Node, set[str]]:
             if open_[i].tag in stops:
                 return
 
+    def foreign() -> bool:
+        """Whether the innermost of these is svg or math, where a slash ends an element."""
+        return next((n.tag for n in reversed(open_) if n.tag in ("svg", "math", "foreignobject")), "foreignobject") != "foreignobject"
+
     def put(node: Node, holds: bool = True) -> None:
         open_[-1].kids.append(node)
         if holds and len(open_) < DEPTH:
@@ -123,16 +172,15 @@ def parse(page: str) -> tuple[Node, set[str]]:
         if tag in ("td", "th") and open_[-1].tag in ("table", "tbody", "thead", "tfoot"):
             put(Node("tr"))
         node = Node(tag, m[3])
-        put(node, tag not in VOID and not (m[3].endswith("/") and tag in ("svg", "math")))
+        put(node, tag not in VOID and not (m[3].endswith("/") and (tag in ("svg", "math") or foreign())))
         if tag in RAW and open_[-1] is node:
             low = low or page.lower()
             end = low.find("</" + tag, at)
             text = page[at:] if end < 0 else page[at:end]
             at = len(page) if end < 0 else end
             if tag == "style":
-                for names, body in RULE.findall(text):
-                    if HIDDEN.search(body):
-                        hidden.update(s for s in (x.strip() for x in names.split(",")) if SIMPLE.match(s))
+                if _screen(node.get().get("media", "")):
+                    hidden |= hides(text)
             elif tag == "textarea":
                 node.kids.append(text)
     if at < len(page):
@@ -246,6 +294,10 @@ def _fill(out: Lines, node: Node, hidden: set[str], pre: bool) -> None:
             attrs = kid.get()
             if attrs.get("type", "text").lower() in ("submit", "button", "reset", "text", "search"):
                 out.text(html.escape(" " + attrs.get("value", "") + " ", quote=False), pre)
+        elif tag == "svg":
+            _svg(out, kid, hidden, pre)
+        elif tag == "math":
+            _math(out, kid, hidden)
         elif tag == "q":
             out.now.append('"')
             _fill(out, kid, hidden, pre)
@@ -254,6 +306,41 @@ def _fill(out: Lines, node: Node, hidden: set[str], pre: bool) -> None:
             _fill(out, kid, hidden, pre)
 
 
+def _svg(out: Lines, node: Node, hidden: set[str], pre: bool, shown: bool = False) -> None:
+    """The text elements of a drawing and the HTML in it, spaces around each; other character data is not drawn."""
+    for kid in node.kids:
+        if isinstance(kid, str):
+            if shown:
+                out.text(kid, False)
+            continue
+        attrs = kid.get()
+        if kid.tag in SVG_UNSEEN or _unseen(kid, hidden) or attrs.get("display") == "none" or attrs.get("visibility") in ("hidden", "collapse"):
+            continue
+        if kid.tag == "foreignobject":
+            out.block(render(kid, hidden, pre), False)
+        elif kid.tag == "text":
+            out.text(" ", False)
+            _svg(out, kid, hidden, pre, True)
+            out.text(" ", False)
+        else:
+            _svg(out, kid, hidden, pre, shown)
+
+
+def _math(out: Lines, node: Node, hidden: set[str]) -> None:
+    """A formula in one line."""
+    between, n = MATH_BETWEEN.get(node.tag, ""), 0
+    for kid in node.kids:
+        if isinstance(kid, str):
+            out.text(kid.strip() if between else kid, False)
+            continue
+        if kid.tag in MATH_UNSEEN or _unseen(kid, hidden):
+            continue
+        if between and n:
+            out.text(between[min(n, len(between)) - 1], False)
+        n += 1
+        _math(out, kid, hidden)
+
+
 def _rows(node: Node, hidden: set[str]) -> tuple[list[Node], list[Node]]:
     """Rows and everything else (captions, stray content) of a table."""
     rows, other = [], []

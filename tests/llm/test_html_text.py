@@ -107,3 +107,28 @@ def test_all_visible_words_in_order(spark):
         else:
             assert sorted(marks) == sorted(want.words)
     assert html_text.op10(frame.limit(0)).count() == 0
+
+
+def test_rules_that_do_not_hide_on_screens():
+    from gridloom.llm.html_text import extract
+
+    body = "<body><div class=nav>menu</div><aside>note</aside><p class=x>text</p>"
+    shown = "menu\nnote\n\ntext"
+    for css in (
+        "@media print{.nav{display:none} aside{display:none}}",
+        "@media (max-width:600px){.nav,aside{display:none}}",
+        "@media screen and (max-width:600px){@supports (x:y){.nav{display:none}}}",
+        "/* .nav{display:none} */ @import 'a.css'; .y{content:'}.nav{display:none}'}",
+        ".z{color:red; .nav{display:none}}",
+    ):
+        assert extract(f"<style>{css}</style>{body}") == shown, css
+    assert extract(f"<style media=print>.nav{{display:none}}</style>{body}") == shown
+    for css in ("@media screen{.nav{display:none}}", "@media print, all{.nav{display:none}}", "@media not print{@layer a{.nav{display:none", "@media print{.x{display:none}} .nav{display:none}", "<!-- .nav{display:none} -->"):
+        assert extract(f"<style>{css}</style>{body}") == "note\n\ntext", css
+
+
+def test_text_of_drawings_and_formulas():
+    from gridloom.llm.html_text import extract
+
+    page = "<p>see <svg><title>T</title><defs><text>no</text></defs><desc>D</desc><desc/>stray<rect width='3'/><g><text>Axis <tspan>one</tspan></text><text>two</text><text display='none'>no</text></g></svg> and <math><mi>x</mi><mo>=</mo><mfrac><mn>1</mn> <mn>2</mn></mfrac><msubsup><mi>y</mi><mi>i</mi><mn>3</mn></msubsup><annotation>tex</annotation></math>.</p>"
+    assert extract(page) == "see Axis one two and x=1/2y_i^3."
