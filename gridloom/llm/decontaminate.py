@@ -159,13 +159,22 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` without the documents that hold a benchmark item."""
+    """``docs`` without the documents that hold a benchmark item; by ``doc_id``, so rows whose id is null stay."""
     from ._base import write
 
     gone = write(contaminated(docs.select("doc_id", "text"), benchmark).select("doc_id").distinct(), "contaminated")
     return docs.join(gone.hint("shuffle_hash"), "doc_id", "left_anti").select(docs.columns)
 
 
+def drop_held(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """``docs`` without the rows that hold a benchmark item, each by a key of its own, whatever its ``doc_id``."""
+    from ._base import write
+
+    keyed = write(docs.withColumn("row", F.monotonically_increasing_id()), "keyed")
+    gone = write(contaminated(keyed.select(F.col("row").alias("doc_id"), "text"), benchmark).select(F.col("doc_id").alias("row")).distinct(), "contaminated")
+    return keyed.join(gone.hint("shuffle_hash"), "row", "left_anti").select(docs.columns)
+
+
 def op5(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """:func:`contaminated` with production parameters."""
     return contaminated(docs.select("doc_id", "text"), benchmark.select("item_id", "text"))

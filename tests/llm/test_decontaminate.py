@@ -1,3 +1,4 @@
+import corpus_pipeline
 from gridloom.llm import decontaminate as d
 
 ITEM = "Maria buys 12 apples for 3 dollars each and then Maria gives 12 of them to her brother Paul before lunch on the way home"
@@ -54,3 +55,11 @@ def test_changed_values_of_a_partly_dense_item(spark):
     changed = "she wrote down the whole list of numbers again: " + " ".join(str(k) for k in range(40, 57))
     docs, bench = tables(spark, [(1, changed, 0)], [(1, item, "x")])
     assert [r.verbatim for r in d.op5(docs, bench).collect()] == [False]
+
+
+def test_stage_drops_rows_whatever_their_id(spark, tmp_path):
+    _, bench = tables(spark, [(1, ITEM, 0)], [(9, ITEM, "x")])
+    bench.write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(None, ITEM), (5, "see " + ITEM), (5, "other text"), (None, "clean text"), (6, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(str(r.text) for r in corpus_pipeline.drop_leaks(spark, docs, str(tmp_path)).collect()) == ["None", "clean text", "other text"]
