@@ -20,9 +20,12 @@ CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or an own one where it is unset (tests)."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Where it is unset, a local session (tests) gets one
+    of its own; on a cluster that would be a folder of one machine, so it is an error."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="gridloom-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path
@@ -43,11 +46,15 @@ def _conf(spark: SparkSession, **pairs: str) -> Iterator[None]:
 class Table:
     """A DataFrame written to the shared folder: a cut in the lineage that survives lost executors."""
 
-    def __init__(self, df: DataFrame, name: str):
+    #: Tables that are still there: results may read them until :func:`clean`.
+    held: list[Table] = []
+
+    def __init__(self, df: DataFrame, name: str, compression: str = "snappy"):
         spark = df.sparkSession
         self.spark, self.path = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        Table.held.append(self)
         with _conf(spark, **{CLEANUP: "true"}):
-            df.write.parquet(self.path)
+            df.write.option("compression", compression).parquet(self.path)
         self.schema = df.schema
 
     @property
@@ -58,6 +65,13 @@ class Table:
         """Delete the files, once nothing unread depends on them."""
         path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        Table.held.remove(self)
+
+
+def clean() -> None:
+    """Delete every table that the operators have written and not dropped; results not yet read are lost with them."""
+    for table in list(Table.held):
+        table.drop()
 
 
 def write(df: DataFrame, name: str) -> DataFrame:

@@ -1,24 +1,25 @@
 """Repeated windows over all documents, for the two substring operators.
 
-A window is ``width`` consecutive items (words or bytes) of one document. Each window picks an anchor: the item position in it
+A window is ``width`` consecutive items (words or bytes) of one document: a suffix cut at that length. Sorting all suffixes of a
+corpus is out of reach, so windows are looked at where their anchors repeat. Each window picks an anchor: the item position in it
 whose ``gram``-item hash is least, leftmost on ties, so equal windows pick the same anchor. The windows of one anchor are
-consecutive; together they span a segment, and every window lies in exactly one segment. Only segments can tell where a
-window repeats, and one anchor in about ``(width - gram) / 2`` items stands for all of them:
-
-1. anchors are counted by gram hash; grams that cannot repeat go (aggregate with map-side combine, then a hash join that
-   adaptive execution splits for hot grams);
-2. equal segments become one row with their count and least document, before anything else looks at them;
-3. the text of distinct segments that share a gram is fetched from their first documents, and the operator's own structure
-   (suffix tree, suffix array) is built over groups of them, bounded by ``HOT`` segments each. A gram with more distinct
-   segments is keyed by longer content instead: its single windows, by hash, again aggregated before they meet;
-4. what is found goes back to every place of a segment, and from there to the documents.
-
-Documents with null ids count as the largest id. Rows are told apart by id and a hash of the text.
+consecutive; together they span a segment, and every window lies in exactly one segment.
+
+1. Every row gets a key of its own, written once with its text; nothing else tells rows apart.
+2. Anchors are counted by gram. They travel packed, one row for a chunk of text and a bucket of grams, so that a frequent gram
+   is one entry of a chunk; grams that cannot repeat go. Anchors meet the grams that are left in buckets dealt ``SALTS`` times.
+3. Equal segments become one row with their count and least document before anything else looks at them.
+4. Suffixes are split by prefixes of variable length: those of the segments of a gram form a group. If a gram leads to more than
+   ``HOT`` different segments, its suffixes are split further by their first ``deeper`` items, and groups that are still too
+   large by all ``width`` items. Over every group stands the operator's own structure (suffix tree, suffix array), and what it
+   finds is what repeats. A group split by all its items is a single node of that depth: its leaves are only counted.
+5. What is found goes back to every place of a segment, and from there to the rows.
+
+Documents with null ids count as the largest id.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
@@ -31,16 +32,19 @@ from pyspark.sql import functions as F
 
 from ._base import Table, slices
 
-#: Distinct segments of a gram that are compared in one group, at most.
-HOT = 20_000
+#: Different segments (or suffixes) of a prefix that are compared in one group, at most; longer prefixes split the others.
+HOT = 1000
 CHUNK_BYTES = 2 << 20
 #: Bytes of segments that are compared at once; a group stays whole.
 GROUP_BYTES = 2 << 20
+#: Anchors that a bucket of grams should hold; each bucket is dealt to ``SALTS`` tasks where anchors meet grams.
+BUCKET, SALTS = 1 << 20, 8
+#: Rows that a task gives back at once.
+OUT_ROWS = 1 << 16
 BASE, LAST = 0x9E3779B97F4A7C15, (1 << 63) - 1
-#: Of the text's hash, beside its id; a place is this, windows (8 bits) and first window (32) in one number.
-TEXT_BITS = (1 << 23) - 1
 PLACE = np.uint64((1 << 24) - 1)
 M1, M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
+LOW32 = (1 << 32) - 1
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -109,10 +113,14 @@ class Plan:
 
     width: int
     gram: int
+    #: Items of the longer prefixes that split the suffixes of a hot gram.
+    deeper: int
     #: Items of a text as one byte string, ``size`` bytes each, and the hashed items of such a string.
     encode: Callable[[str], bytes]
     hashed: Callable[[bytes], np.ndarray]
     size: int
+    #: Bytes of text for an anchor, roughly.
+    spread: int
     #: Whether another place in the same document counts (every place is then repeated), or only a smaller document.
     anywhere: bool
     #: Repeated windows of a group: (segments, windows of each, least documents, counts) -> a bit mask for each segment.
@@ -120,75 +128,178 @@ class Plan:
     hot: int = HOT
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"), (F.crc32(text).bitwiseAND(TEXT_BITS)).alias("th"), text.alias("text"))
+def _pack(*columns: np.ndarray) -> bytes:
+    """Columns of 64-bit numbers as one string, byte planes apart, which compress."""
+    rows = np.stack([c.view(np.uint64) for c in columns])
+    return rows.view(np.uint8).reshape(*rows.shape, 8).transpose(0, 2, 1).tobytes()
 
 
-def _anchor_rows(plan: Plan):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "text", CHUNK_BYTES):
-            ids = part.column("doc").to_numpy()
-            own, items, ends, crc = [], [], [], []
-            total = 0
-
-            def close():
-                h, s, d, first, count = anchors(np.concatenate(items), np.array(ends), plan.width, plan.gram)
-                loc = (np.array(crc, np.int64)[d] << 40) | (count.astype(np.int64) << 32) | first
-                return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(s.view(np.int64)), pa.array(ids[np.array(own)[d]]), pa.array(loc)], names=["h", "s", "doc", "loc"])
-
-            for i, text in enumerate(part.column("text").to_pylist()):
-                x = plan.hashed(plan.encode(text))
-                if len(x) < plan.width:
+def _unpack(packed: pa.Scalar | bytes, columns: int) -> np.ndarray:
+    planes = np.frombuffer(packed.as_buffer() if isinstance(packed, pa.Scalar) else packed, np.uint8).reshape(columns, 8, -1)
+    return np.ascontiguousarray(planes.transpose(0, 2, 1)).view(np.uint64).reshape(columns, -1)
+
+
+def _chunks(plan: Plan, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
+    """Anchors of chunks of text, by gram: gram hash, segment hash, row, document, and place: windows << 32 | first window."""
+    most = 1 << 23
+    for part in slices(batches, "text", CHUNK_BYTES):
+        rows, ids = part.column("row").to_numpy(), part.column("doc").to_numpy()
+        own, items, ends, total = [], [], [], 0
+
+        def close() -> tuple[np.ndarray, ...]:
+            h, s, d, first, count = anchors(np.concatenate(items), np.array(ends), plan.width, plan.gram)
+            order, at = np.argsort(h, kind="stable"), np.array(own)[d]
+            return h[order], s[order], rows[at][order], ids[at][order], (count << 32 | first)[order]
+
+        for i, text in enumerate(part.column("text").to_pylist()):
+            x = plan.hashed(plan.encode(text))
+            # a document of 2^23 items or more is cut into pieces that overlap by all but one item of a window
+            for at in range(0, len(x) - plan.width + 1, most):
+                piece = x[at : at + most + plan.width - 1]
+                if len(piece) < len(x):
+                    h, s, _, first, count = anchors(piece, np.array([len(piece)]), plan.width, plan.gram)
+                    order = np.argsort(h, kind="stable")
+                    yield h[order], s[order], np.full(len(h), rows[i]), np.full(len(h), ids[i]), (count << 32 | first + at)[order]
                     continue
-                # a document of 2^23 items or more is cut into pieces that overlap by all but one item of a window
-                for at in range(0, max(1, len(x) - plan.width + 1), 1 << 23):
-                    piece = x[at : at + (1 << 23) + plan.width - 1]
-                    if at or len(piece) < len(x):
-                        yield from _long(plan, piece, at, ids[i], zlib.crc32(text.encode()) & TEXT_BITS)
-                        continue
-                    if total and total + len(piece) >= 1 << 23:
-                        yield close()
-                        own, items, ends, crc, total = [], [], [], [], 0
-                    own.append(i)
-                    items.append(piece)
-                    total += len(piece)
-                    ends.append(total)
-                    crc.append(zlib.crc32(text.encode()) & TEXT_BITS)
-            if own:
-                yield close()
+                if total and total + len(piece) >= most:
+                    yield close()
+                    own, items, ends, total = [], [], [], 0
+                own.append(i)
+                items.append(piece)
+                total += len(piece)
+                ends.append(total)
+        if own:
+            yield close()
+
+
+def _by_bucket(h: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of sorted hashes, and where each begins and the last one ends."""
+    bucket = ((h >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int32)
+    cuts = np.append(np.flatnonzero(np.diff(bucket, prepend=-1)), len(h))
+    return bucket[cuts[:-1]], cuts
+
+
+def _runs(h: np.ndarray) -> np.ndarray:
+    """Where each value of sorted ``h`` begins."""
+    return np.flatnonzero(np.append(True, h[1:] != h[:-1])[: len(h)])
+
+
+def _grams(plan: Plan, buckets: int):
+    """Grams of chunks with their counts, or their least and greatest documents, packed by bucket."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for h, _, _, doc, _ in _chunks(plan, batches):
+            if not len(h):
+                continue
+            at = _runs(h)
+            if plan.anywhere:
+                own = (h[at], np.diff(np.append(at, len(h))))
+            else:
+                own = (h[at], np.minimum.reduceat(doc, at), np.maximum.reduceat(doc, at))
+            bucket, cuts = _by_bucket(own[0], buckets)
+            packed = [_pack(*(c[a:b] for c in own)) for a, b in zip(cuts, cuts[1:])]
+            yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(packed, pa.binary())], names=["bucket", "packed"])
 
     return run
 
 
-def _long(plan: Plan, piece: np.ndarray, at: int, doc: int, crc: int) -> Iterator[pa.RecordBatch]:
-    h, s, _, first, count = anchors(piece, np.array([len(piece)]), plan.width, plan.gram)
-    loc = (np.int64(crc) << 40) | (count.astype(np.int64) << 32) | (first + at)
-    yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(s.view(np.int64)), pa.array(np.full(len(h), doc)), pa.array(loc)], names=["h", "s", "doc", "loc"])
+def _repeated(plan: Plan):
+    """The grams of each bucket that may repeat, sorted."""
+
+    def close(held: list[np.ndarray]) -> bytes:
+        own = np.concatenate(held, axis=1)
+        own = own[:, np.argsort(own[0], kind="stable")]
+        at = _runs(own[0])
+        if plan.anywhere:
+            keep = np.add.reduceat(own[1], at) > 1
+        else:
+            keep = np.minimum.reduceat(own[1].view(np.int64), at) < np.maximum.reduceat(own[2].view(np.int64), at)
+        return own[0][at][keep].tobytes()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket, held = None, []
+        for batch in batches:
+            for b, packed in zip(batch.column("bucket").to_pylist(), batch.column("packed")):
+                if b != bucket and held:
+                    yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([close(held)], pa.binary())], names=["bucket", "packed"])
+                    held = []
+                bucket = b
+                held.append(_unpack(packed, 2 if plan.anywhere else 3))
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([close(held)], pa.binary())], names=["bucket", "packed"])
+
+    return run
+
+
+def _places(plan: Plan, buckets: int):
+    """All anchors, packed by bucket."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for own in _chunks(plan, batches):
+            if not len(own[0]):
+                continue
+            bucket, cuts = _by_bucket(own[0], buckets)
+            packed = [_pack(*(c[a:b] for c in own)) for a, b in zip(cuts, cuts[1:])]
+            salt = np.full(len(bucket), int(own[2][0] ^ own[4][0]) % SALTS, np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(salt), pa.array(packed, pa.binary())], names=["bucket", "salt", "packed"])
+
+    return run
+
+
+def _known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The anchors whose gram may repeat: the grams of a bucket and a salt come first, then its anchors, chunk by chunk."""
+    names = ["h", "s", "row", "doc", "loc"]
+    of, grams, held, n = None, np.zeros(0, np.uint64), [], 0
+
+    def close() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c.view(np.int64)) for c in np.concatenate(held, axis=1)], names=names)
+
+    for batch in batches:
+        keys = zip(batch.column("bucket").to_pylist(), batch.column("salt").to_pylist())
+        for key, anchor, packed in zip(keys, batch.column("anchor").to_pylist(), batch.column("packed")):
+            if not anchor:
+                of, grams = key, np.frombuffer(packed.as_buffer(), np.uint64).copy()
+                continue
+            if key != of or not len(grams):
+                continue
+            own = _unpack(packed, 5)
+            at = np.minimum(np.searchsorted(grams, own[0]), len(grams) - 1)
+            own = own[:, grams[at] == own[0]]
+            if own.shape[1]:
+                held.append(own)
+                n += own.shape[1]
+            if n >= OUT_ROWS:
+                yield close()
+                held, n = [], 0
+    if held:
+        yield close()
 
 
 def _fetch(plan: Plan):
-    """Segments of the wanted places, whole or, for hot grams, as window hashes."""
-    size, width = plan.size, plan.width
+    """Segments of the wanted places: whole, or, for hot grams, suffix by suffix with the keys of longer prefixes."""
+    size, width, deeper = plan.size, plan.width, plan.deeper
+    names = ("g", "k1", "k2", "h", "s", "base", "windows", "doc", "n", "segment")
+    kinds = {"base": pa.int32(), "windows": pa.int32(), "segment": pa.binary()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text", CHUNK_BYTES):
-            out: dict[str, list] = {k: [] for k in ("k1", "k2", "h", "s", "o", "doc", "n", "segment")}
-            for text, doc, want in zip(part.column("text").to_pylist(), part.column("doc").to_pylist(), part.column("want")):
+            out: dict[str, list] = {k: [] for k in names}
+            for text, want in zip(part.column("text").to_pylist(), part.column("want")):
                 data = plan.encode(text)
                 fields = want.values
-                for h, s, loc, n, hot in zip(*(fields.field(k).to_pylist() for k in ("h", "s", "loc", "n", "hot"))):
-                    first, count = loc & 0xFFFFFFFF, loc >> 32 & 0xFF
-                    if hot:
-                        for o in range(count):
-                            digest = xxhash.xxh3_128_digest(data[(first + o) * size : (first + o + width) * size])
-                            k1, k2 = int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True)
-                            for k, v in zip(out, (k1, k2, h, s, o, doc, n, None)):
-                                out[k].append(v)
-                    else:
-                        for k, v in zip(out, (h, None, h, s, count, doc, n, data[first * size : (first + count + width - 1) * size])):
+                for h, s, doc, loc, n, hot in zip(*(fields.field(k).to_pylist() for k in ("h", "s", "doc", "loc", "n", "hot"))):
+                    first, count = loc & LOW32, loc >> 32
+                    if not hot:
+                        for k, v in zip(out, (h, None, None, h, s, 0, count, doc, n, data[first * size : (first + count + width - 1) * size])):
+                            out[k].append(v)
+                        continue
+                    for o in range(count):
+                        whole = data[(first + o) * size : (first + o + width) * size]
+                        digest = xxhash.xxh3_128_digest(whole)
+                        k1, k2 = int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True)
+                        g = int.from_bytes(xxhash.xxh3_64_digest(whole[: deeper * size]), "little", signed=True)
+                        for k, v in zip(out, (g, k1, k2, h, s, o, 1, doc, n, whole)):
                             out[k].append(v)
-            kinds = {"o": pa.int32(), "segment": pa.binary()}
             yield pa.RecordBatch.from_arrays([pa.array(v, kinds.get(k, pa.int64())) for k, v in out.items()], names=list(out))
 
     return run
@@ -204,17 +315,17 @@ def _compare(plan: Plan):
         def close(parts: list[pa.RecordBatch]):
             rows = pa.Table.from_batches(parts)
             col = lambda c: rows.column(c).to_numpy()
-            masks = plan.compare(rows.column("segment").to_pylist(), col("o").astype(np.int64), col("doc"), col("n"))
+            masks = plan.compare(rows.column("segment").to_pylist(), col("windows").astype(np.int64), col("doc"), col("n")) << col("base").astype(np.int64)
             found = np.flatnonzero(masks)
             return pa.RecordBatch.from_arrays([pa.array(col("h")[found]), pa.array(col("s")[found]), pa.array(masks[found])], names=["h", "s", "mask"])
 
         for batch in batches:
-            keys = batch.column("h").to_numpy()
+            keys = batch.column("g").to_numpy()
             if not len(keys):
                 continue
             sizes = pc.binary_length(batch.column("segment")).to_numpy(zero_copy_only=False)
             cuts = [*np.flatnonzero(np.diff(keys) != 0) + 1, len(keys)]
-            if held and held[-1].column("h")[-1].as_py() != keys[0] and holds >= GROUP_BYTES:
+            if held and held[-1].column("g")[-1].as_py() != keys[0] and holds >= GROUP_BYTES:
                 yield close(held)
                 held, holds = [], 0
             start = 0
@@ -234,45 +345,64 @@ def _compare(plan: Plan):
 
 
 def _full(loc: Column) -> Column:
-    return F.expr(f"shiftleft(1L, cast(shiftright({loc}, 32) & 255 as int)) - 1")
+    return F.expr(f"shiftleft(1L, cast(shiftright({loc}, 32) as int)) - 1")
 
 
-def find(docs: DataFrame, plan: Plan) -> DataFrame:
-    """(doc, th, hits): for each document with repeated windows, array<struct<start, mask>>: window start + i where bit i is set."""
-    spark = docs.sparkSession
-    keyed = _keyed(docs)
-    places = lambda: keyed.select("doc", "text").mapInArrow(_anchor_rows(plan), "h long, s long, doc long, loc long")
-    counted = places().groupBy("h").agg(F.min("doc").alias("low"), F.max("doc").alias("high"), F.count("*").alias("n"))
-    grams = Table(counted.where("n > 1" if plan.anywhere else "low < high").select("h"), "grams")
-    known = Table(places().join(grams.df.hint("shuffle_hash"), "h"), "places")
-    grams.drop()
-    segments = Table(known.df.groupBy("h", "s").agg(F.min(F.struct("doc", "loc")).alias("first"), F.count("*").alias("n")), "segments")
-    several = segments.df.groupBy("h").agg(F.count("*").alias("segments")).where("segments > 1").select(F.col("h").alias("g"), (F.col("segments") > plan.hot).alias("hot"))
-    shared = Table(several, "shared")  # written for the same reason as below
-    wanted = segments.df.join(shared.df, F.col("h") == F.col("g")).select("h", "s", "n", "hot", F.col("first.doc").alias("doc"), F.col("first.loc").alias("loc"))
-    by_doc = wanted.groupBy("doc", F.shiftright("loc", 40).alias("th")).agg(F.collect_list(F.struct("h", "s", "loc", "n", "hot")).alias("want"))
-    texts = keyed.join(by_doc.hint("shuffle_hash"), ["doc", "th"])
-    fetched = Table(texts.select("text", "doc", "want").mapInArrow(_fetch(plan), "k1 long, k2 long, h long, s long, o int, doc long, n long, segment binary"), "fetched")
+def keyed(docs: DataFrame) -> Table:
+    """(row, doc, doc_id, text), written: ``row`` is a key of its own for each row of ``docs``."""
+    own = docs.select(F.monotonically_increasing_id().alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"), "doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    return Table(own, "texts", compression="zstd")
+
+
+def find(texts: DataFrame, plan: Plan) -> Table:
+    """(row, hits) of the rows of :func:`keyed` with repeated windows; hits: array<struct<start, mask>>: window start + i where bit i is set."""
+    spark = texts.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cold = fetched.df.where("segment is not null").select("h", "s", "o", "doc", "n", "segment").repartition(parts, "h").sortWithinPartitions("h", "s")
-    cold = cold.mapInArrow(_compare(plan), "h long, s long, mask long")
-    single = fetched.df.where("segment is null").drop("segment").distinct()
-    met = single.groupBy("k1", "k2").agg(F.min("doc").alias("low"), F.sum("n").alias("total"))
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(parts, size // plan.spread // BUCKET)
+    own = texts.select("row", "doc", "text")
+    dealt = own.mapInArrow(_grams(plan, buckets), "bucket int, packed binary").repartition(parts, "bucket").sortWithinPartitions("bucket")
+    grams = Table(dealt.mapInArrow(_repeated(plan), "bucket int, packed binary"), "grams")
+    every = own.mapInArrow(_places(plan, buckets), "bucket int, salt int, packed binary").select("bucket", "salt", F.lit(True).alias("anchor"), "packed")
+    first = grams.df.select("bucket", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"), F.lit(False).alias("anchor"), "packed")
+    met = first.union(every).repartition(parts, "bucket", "salt").sortWithinPartitions("bucket", "salt", "anchor")
+    known = Table(met.mapInArrow(_known, "h long, s long, row long, doc long, loc long"), "places")
+    grams.drop()
+
+    equal = known.df.groupBy("h", "s").agg(F.min(F.struct("doc", "row", "loc")).alias("first"), F.max("doc").alias("high"), F.count("*").alias("n"))
+    again = F.col("n") > 1 if plan.anywhere else F.col("doc") < F.col("high")
+    segments = Table(equal.select("h", "s", "first.*", "high", "n").withColumn("again", again).drop("high"), "segments")
+    groups = segments.df.groupBy("h").agg(F.count("*").alias("segments"), F.max("again").alias("any")).where("segments > 1 or any")
+    # written, so that both sides of the joins below come straight from a shuffle and a hot key's rows are split
+    shared = Table(groups.select(F.col("h").alias("g"), (F.col("segments") > plan.hot).alias("hot")), "shared")
+    wanted = segments.df.join(shared.df, F.col("h") == F.col("g")).groupBy("row").agg(F.collect_list(F.struct("h", "s", "doc", "loc", "n", "hot")).alias("want"))
+    schema = "g long, k1 long, k2 long, h long, s long, base int, windows int, doc long, n long, segment binary"
+    fetched = Table(own.join(wanted.hint("shuffle_hash"), "row").select("text", "want").mapInArrow(_fetch(plan), schema), "fetched", compression="zstd")
+
+    columns = ["g", "h", "s", "base", "windows", "doc", "n", "segment"]
+    groups = fetched.df.where("k1 is null").select(columns)
+    split = fetched.df.where("k1 is not null")
+    large = Table(split.groupBy("g").agg(F.count("*").alias("c")).where(F.col("c") > plan.hot).select(F.col("g").alias("large")), "large")
+    prefixed = Table(split.join(large.df, F.col("g") == F.col("large"), "left").select("*"), "prefixed", compression="zstd")
+    groups = groups.union(prefixed.df.where("large is null").select(columns))
+    masks = groups.repartition(parts, "g").sortWithinPartitions("g", "h", "s", "base").mapInArrow(_compare(plan), "h long, s long, mask long")
+    # groups of one full prefix each: a node as deep as a window, its leaves counted before they meet
+    rest = prefixed.df.where("large is not null").select("k1", "k2", "h", "s", "base", "doc", "n")
+    nodes = Table(rest.groupBy("k1", "k2").agg(F.min("doc").alias("low"), F.sum("n").alias("total")), "nodes")
     repeated = F.col("total") > 1 if plan.anywhere else F.col("low") < F.col("doc")
-    hot = single.join(met, ["k1", "k2"]).where(repeated).select("h", "s", F.expr("shiftleft(1L, o)").alias("mask"))
-    masks = Table(cold.union(hot).groupBy("h", "s").agg(F.bit_or("mask").alias("mask")), "masks")
-    fetched.drop()
-    # a segment says something if it has a mask or stands in several places
-    telling = segments.df.join(masks.df, ["h", "s"], "left").select("h", "s", F.col("first.doc").alias("low"), F.col("n").alias("total"), F.coalesce("mask", F.lit(0)).alias("mask")).where("mask <> 0 or total > 1")
-    # written, so that both sides of the next join come straight from a shuffle and a hot segment's places are split
+    deep = rest.join(nodes.df, ["k1", "k2"]).where(repeated).select("h", "s", F.expr("shiftleft(1L, base)").alias("mask"))
+    found = Table(masks.union(deep).groupBy("h", "s").agg(F.bit_or("mask").alias("mask")), "masks")
+    for table in (fetched, shared, large, prefixed, nodes):
+        table.drop()
+
+    telling = segments.df.join(found.df, ["h", "s"], "left").select("h", "s", F.col("doc").alias("low"), "again", F.coalesce("mask", F.lit(0)).alias("mask")).where("mask <> 0 or again")
     told = Table(telling, "telling")
-    everywhere = F.col("total") > 1 if plan.anywhere else F.col("doc") > F.col("low")
-    hits = known.df.join(told.df, ["h", "s"]).select("doc", "loc", F.when(everywhere, _full("loc")).otherwise(F.col("mask")).alias("mask")).where("mask <> 0")
-    hits = hits.groupBy("doc", F.shiftright("loc", 40).alias("th")).agg(F.collect_list(F.struct(F.expr("loc & 4294967295").alias("start"), "mask")).alias("hits"))
-    out = Table(hits, "hits")
-    for table in (known, segments, shared, masks, told):
+    everywhere = F.lit(False) if plan.anywhere else F.col("doc") > F.col("low")
+    hits = known.df.join(told.df, ["h", "s"]).select("row", "loc", F.when(everywhere, _full("loc")).otherwise(F.col("mask")).alias("mask")).where("mask <> 0")
+    out = Table(hits.groupBy("row").agg(F.collect_list(F.struct(F.expr(f"loc & {LOW32}").alias("start"), "mask")).alias("hits")), "hits")
+    for table in (known, segments, found, told):
         table.drop()
-    return out.df
+    return out
 
 
 def covered(starts: np.ndarray, masks: np.ndarray, width: int, n: int) -> np.ndarray:
@@ -288,11 +418,10 @@ def covered(starts: np.ndarray, masks: np.ndarray, width: int, n: int) -> np.nda
 
 def apply(docs: DataFrame, plan: Plan, finish: Callable[[str, np.ndarray | None], list], schema: str) -> DataFrame:
     """(doc_id, ...): ``finish(text, flags of covered items or None)`` for every row of ``docs``."""
-    hits = find(docs, plan)
+    texts = keyed(docs)
+    hits = find(texts.df, plan)
     kinds = dict(docs.dtypes)
-    text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select("doc_id", text.alias("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"), F.crc32(text).bitwiseAND(TEXT_BITS).alias("th"))
-    joined = rows.join(hits.hint("shuffle_hash"), ["doc", "th"], "left").select("doc_id", "text", "hits")
+    joined = texts.df.join(hits.df.hint("shuffle_hash"), "row", "left").select("doc_id", "text", "hits")
     names = [c.split()[0] for c in schema.split(", ")]
     types = {"long": pa.int64(), "string": pa.string()}
     arrow = [types[c.split()[1]] for c in schema.split(", ")]

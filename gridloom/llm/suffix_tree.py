@@ -1,9 +1,9 @@
 """Substring dedup of word sequences by prefix-partitioned suffix trees.
 
-``_repeats`` splits all suffixes by prefixes of variable length: those with a common gram, or, where a gram leads to more than
-fits, with a common window. Over each group of prefixes stands one suffix tree, cut at the depth of a window: suffixes are
-ranked by prefixes of 1, 2, 4, ... words, common prefixes of neighbours follow from the ranks, and the intervals that hold
-together at a depth are the internal nodes. The windows below a node as deep as a window are what repeats.
+``_repeats`` brings suffixes that may repeat together and splits them into groups that fit in memory: by a common gram, and, where
+that leads to too many, by prefixes of 16 and of 35 words. Over each group stands one suffix tree, cut at the depth of a window:
+suffixes are ranked by prefixes of 1, 2, 4, ... words, common prefixes of neighbours follow from the ranks, and a stack turns
+them into internal nodes. The suffixes below a node as deep as a window, and leaves of several equal suffixes, are what repeats.
 """
 
 from __future__ import annotations
@@ -18,6 +18,8 @@ from . import _repeats
 
 WIDTH = 35
 GRAM = 8
+#: Words of the longer prefixes that split the suffixes of a frequent gram.
+DEEPER = 16
 
 
 def encode(text: str) -> bytes:
@@ -53,10 +55,38 @@ def common_prefixes(ranks: list[tuple[int, np.ndarray]], order: np.ndarray, widt
     return np.append(0, np.minimum(lcp, width))
 
 
-def deep_nodes(lcp: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """[start, stop) in suffix order of the subtrees below depth ``depth``: internal nodes and single leaves."""
-    start = np.flatnonzero(lcp < depth)
-    return start, np.append(start[1:], len(lcp))
+def deep_nodes(lcp: np.ndarray, depth: int) -> list[tuple[int, int, int, int]]:
+    """The internal nodes of the tree at string depth ``depth`` or more: (depth, start, stop, parent), parents after children.
+
+    ``lcp`` are common prefixes of neighbouring leaves; a node spans the leaves [start, stop). ``parent`` is the number of the
+    node above in the list, -1 where that is not as deep as ``depth``. Leaves of no node differ from all others before it.
+    """
+    nodes: list[list[int]] = []
+    held = np.flatnonzero(lcp >= depth)
+    runs = np.split(held, np.flatnonzero(np.diff(held) > 1) + 1) if len(held) else []
+    for run in runs:
+        # nodes under construction: depth, first leaf, finished children
+        open_: list[tuple[int, int, list[int]]] = []
+        for k, d in zip(run.tolist(), lcp[run].tolist()):
+            start, below = k - 1, []
+            while open_ and open_[-1][0] > d:
+                deep, start, kids = open_.pop()
+                for kid in [*kids, *below]:
+                    nodes[kid][3] = len(nodes)
+                nodes.append([deep, start, k, -1])
+                below = [len(nodes) - 1]
+            if open_ and open_[-1][0] == d:
+                open_[-1][2].extend(below)
+            else:
+                open_.append((d, start, below))
+        stop, below = int(run[-1]) + 1, []
+        while open_:
+            deep, start, kids = open_.pop()
+            for kid in [*kids, *below]:
+                nodes[kid][3] = len(nodes)
+            nodes.append([deep, start, stop, -1])
+            below = [len(nodes) - 1]
+    return [tuple(n) for n in nodes]
 
 
 def compare(segments: list[bytes], windows: np.ndarray, doc: np.ndarray, n: np.ndarray, width: int = WIDTH) -> np.ndarray:
@@ -69,23 +99,24 @@ def compare(segments: list[bytes], windows: np.ndarray, doc: np.ndarray, n: np.n
     starts = first[of] + offset
     ranks = prefix_ranks(items, width)
     leaves = np.argsort(ranks[-1][1][starts], kind="stable")
-    start, stop = deep_nodes(common_prefixes(ranks, starts[leaves], width), width)
-    total = np.repeat(np.add.reduceat(n[of[leaves]], start), stop - start)
-    hit = leaves[total > 1]
+    hit = n[of] > 1  # a leaf of several equal suffixes
+    for _, start, stop, parent in deep_nodes(common_prefixes(ranks, starts[leaves], width), width):
+        if parent < 0:
+            hit[leaves[start:stop]] = True
     masks = np.zeros(len(segments), np.int64)
     np.bitwise_or.at(masks, of[hit], np.int64(1) << offset[hit])
     return masks
 
 
-PLAN = _repeats.Plan(width=WIDTH, gram=GRAM, encode=encode, hashed=lambda b: np.frombuffer(b, np.uint64), size=8, anywhere=True, compare=compare)
-
-
 def _finish(text: str, flags: np.ndarray | None) -> list:
     words = text.encode().split()
     kept = words if flags is None else [w for w, f in zip(words, flags.tolist()) if not f]
     return [len(words), len(words) - len(kept), b" ".join(kept).decode()]
 
 
+PLAN = _repeats.Plan(width=WIDTH, gram=GRAM, deeper=DEEPER, encode=encode, hashed=lambda b: np.frombuffer(b, np.uint64), size=8, spread=84, anywhere=True, compare=compare)
+
+
 def drop_repeats(docs: DataFrame) -> DataFrame:
     """(doc_id, n_words, n_removed, text): the words no repeated window covers, joined by one space.
 

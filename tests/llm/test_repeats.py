@@ -132,3 +132,41 @@ def test_equal_windows_pick_equal_anchors():
             window[docs[d[k]][first[k] + o : first[k] + o + 50].tobytes()].add(h[k])
     assert sum(count) == sum(max(0, len(x) - 49) for x in docs)
     assert all(len(v) == 1 for v in window.values())
+
+
+def test_rows_are_told_apart_whatever_their_ids(spark):
+    r = random.Random(5)
+    prose = lambda: "".join(r.choice("abcdefghij klm") for _ in range(400))
+    same = prose()
+    rows = [(None, "x" * 60), (None, "y"), (1, "x" * 60), *((i, prose()) for i in (7, 7, 7, None, None)), *((9, same) for _ in range(30)), *((None, same) for _ in range(30)), (12, "pre" + same)]
+    docs = spark.createDataFrame([(i, t, 1, "x") for i, t in rows], SCHEMA)
+    assert sorted(map(tuple, suffix_array.op9(docs).collect()), key=str) == brute_bytes(rows)
+    assert sorted(map(tuple, suffix_tree.op8(docs).collect()), key=str) == brute_words(rows)
+
+
+def test_very_long_texts(spark, monkeypatch):
+    r = random.Random(6)
+    long = " ".join(r.choice(["ab", "cde", "f", "ghij", "k"]) + str(r.randrange(50)) for _ in range(40_000))
+    rows = [(2, long), (1, long[5000:9000]), (3, "q" + long[100_000:100_300] + "z")]
+    monkeypatch.setattr(_repeats, "CHUNK_BYTES", 1000)
+    docs = spark.createDataFrame([(i, t, 1, "x") for i, t in rows], SCHEMA)
+    assert sorted(map(tuple, suffix_array.op9(docs).collect()), key=str) == brute_bytes(rows)
+    assert sorted(map(tuple, suffix_tree.op8(docs).collect()), key=str) == brute_words(rows)
+
+
+def test_nodes_of_the_tree():
+    r = random.Random(7)
+    for _ in range(200):
+        n = r.randrange(2, 30)
+        lcp = np.array([0, *(r.randrange(0, 7) for _ in range(n - 1))])
+        want = set()
+        for a in range(n):
+            for b in range(a + 2, n + 1):
+                low = min(lcp[a + 1 : b])
+                if low >= 3 and lcp[a] < low and (b == n or lcp[b] < low):
+                    want.add((low, a, b))
+        nodes = suffix_tree.deep_nodes(lcp, 3)
+        assert {x[:3] for x in nodes} == want and len(nodes) == len(want)
+        for d, a, b, parent in nodes:
+            above = [x for x in want if x[1] <= a and x[2] >= b and x[0] < d]
+            assert (parent < 0 and not above) or nodes[parent][:3] == max(above)
