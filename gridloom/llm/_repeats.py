@@ -5,10 +5,11 @@ corpus is out of reach, so windows are looked at where their anchors repeat. Eac
 whose ``gram``-item hash is least, leftmost on ties, so equal windows pick the same anchor. The windows of one anchor are
 consecutive; together they span a segment, and every window lies in exactly one segment.
 
-1. Every row gets a key of its own, written once with its text; nothing else tells rows apart.
+1. Rows are told apart by their ids where these are unique, else by a key of their own that is written once with the text.
 2. Anchors are counted by gram. They travel packed, one row for a chunk of text and a bucket of grams, so that a frequent gram
    is one entry of a chunk; grams that cannot repeat go. Anchors meet the grams that are left in buckets dealt ``SALTS`` times.
-3. Equal segments become one row with their count and least document before anything else looks at them.
+3. Equal segments become one row with their count and least document before anything else looks at them. The suffixes of a gram
+   with one segment differ from each other, so each is a leaf of its own, counted as often as the segment.
 4. Suffixes are split by prefixes of variable length: those of the segments of a gram form a group. If a gram leads to more than
    ``HOT`` different segments, its suffixes are split further by their first ``deeper`` items, and groups that are still too
    large by all ``width`` items. Over every group stands the operator's own structure (suffix tree, suffix array), and what it
@@ -27,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -129,13 +131,13 @@ class Plan:
 
 
 def _pack(*columns: np.ndarray) -> bytes:
-    """Columns of 64-bit numbers as one string, byte planes apart, which compress."""
+    """Columns of 64-bit numbers as one compressed string, byte planes apart."""
     rows = np.stack([c.view(np.uint64) for c in columns])
-    return rows.view(np.uint8).reshape(*rows.shape, 8).transpose(0, 2, 1).tobytes()
+    return zstandard.compress(rows.view(np.uint8).reshape(*rows.shape, 8).transpose(0, 2, 1).tobytes(), 1)
 
 
-def _unpack(packed: pa.Scalar | bytes, columns: int) -> np.ndarray:
-    planes = np.frombuffer(packed.as_buffer() if isinstance(packed, pa.Scalar) else packed, np.uint8).reshape(columns, 8, -1)
+def _unpack(packed: pa.Scalar, columns: int) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(packed.as_buffer()), np.uint8).reshape(columns, 8, -1)
     return np.ascontiguousarray(planes.transpose(0, 2, 1)).view(np.uint64).reshape(columns, -1)
 
 
@@ -231,48 +233,52 @@ def _repeated(plan: Plan):
     return run
 
 
-def _places(plan: Plan, buckets: int):
-    """All anchors, packed by bucket."""
+def _places(plan: Plan, buckets: int, unique: bool):
+    """All anchors, packed by bucket; without the document where it is the row's key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for own in _chunks(plan, batches):
             if not len(own[0]):
                 continue
             bucket, cuts = _by_bucket(own[0], buckets)
-            packed = [_pack(*(c[a:b] for c in own)) for a, b in zip(cuts, cuts[1:])]
             salt = np.full(len(bucket), int(own[2][0] ^ own[4][0]) % SALTS, np.int32)
+            sent = own[:3] + own[4:] if unique else own
+            packed = [_pack(*(c[a:b] for c in sent)) for a, b in zip(cuts, cuts[1:])]
             yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(salt), pa.array(packed, pa.binary())], names=["bucket", "salt", "packed"])
 
     return run
 
 
-def _known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _known(columns: list[str]):
     """The anchors whose gram may repeat: the grams of a bucket and a salt come first, then its anchors, chunk by chunk."""
-    names = ["h", "s", "row", "doc", "loc"]
-    of, grams, held, n = None, np.zeros(0, np.uint64), [], 0
 
-    def close() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c.view(np.int64)) for c in np.concatenate(held, axis=1)], names=names)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, grams, held, n = None, np.zeros(0, np.uint64), [], 0
 
-    for batch in batches:
-        keys = zip(batch.column("bucket").to_pylist(), batch.column("salt").to_pylist())
-        for key, anchor, packed in zip(keys, batch.column("anchor").to_pylist(), batch.column("packed")):
-            if not anchor:
-                of, grams = key, np.frombuffer(packed.as_buffer(), np.uint64).copy()
-                continue
-            if key != of or not len(grams):
-                continue
-            own = _unpack(packed, 5)
-            at = np.minimum(np.searchsorted(grams, own[0]), len(grams) - 1)
-            own = own[:, grams[at] == own[0]]
-            if own.shape[1]:
-                held.append(own)
-                n += own.shape[1]
-            if n >= OUT_ROWS:
-                yield close()
-                held, n = [], 0
-    if held:
-        yield close()
+        def close() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c.view(np.int64)) for c in np.concatenate(held, axis=1)], names=columns)
+
+        for batch in batches:
+            keys = zip(batch.column("bucket").to_pylist(), batch.column("salt").to_pylist())
+            for key, anchor, packed in zip(keys, batch.column("anchor").to_pylist(), batch.column("packed")):
+                if not anchor:
+                    of, grams = key, np.frombuffer(packed.as_buffer(), np.uint64).copy()
+                    continue
+                if key != of or not len(grams):
+                    continue
+                own = _unpack(packed, len(columns))
+                at = np.minimum(np.searchsorted(grams, own[0]), len(grams) - 1)
+                own = own[:, grams[at] == own[0]]
+                if own.shape[1]:
+                    held.append(own)
+                    n += own.shape[1]
+                if n >= OUT_ROWS:
+                    yield close()
+                    held, n = [], 0
+        if held:
+            yield close()
+
+    return run
 
 
 def _fetch(plan: Plan):
@@ -348,14 +354,25 @@ def _full(loc: Column) -> Column:
     return F.expr(f"shiftleft(1L, cast(shiftright({loc}, 32) as int)) - 1")
 
 
-def keyed(docs: DataFrame) -> Table:
-    """(row, doc, doc_id, text), written: ``row`` is a key of its own for each row of ``docs``."""
-    own = docs.select(F.monotonically_increasing_id().alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"), "doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    return Table(own, "texts", compression="zstd")
+@dataclass(frozen=True)
+class Texts:
+    """(row, doc, doc_id, text): ``row`` is unique; ``unique``: it is the document's id itself."""
+
+    df: DataFrame
+    unique: bool
+
+    @staticmethod
+    def of(docs: DataFrame) -> Texts:
+        own = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"), "doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
+        unique = not own.groupBy("doc").agg(F.count("*").alias("n")).where("n > 1").limit(1).count()
+        if unique:
+            return Texts(own.withColumn("row", F.col("doc")), True)
+        return Texts(Table(own.withColumn("row", F.monotonically_increasing_id()), "texts", compression="zstd").df, False)
 
 
-def find(texts: DataFrame, plan: Plan) -> Table:
-    """(row, hits) of the rows of :func:`keyed` with repeated windows; hits: array<struct<start, mask>>: window start + i where bit i is set."""
+def find(texts: Texts, plan: Plan) -> Table:
+    """(row, hits) of the rows with repeated windows; hits: array<struct<start, mask>>: window start + i where bit i is set."""
+    unique, texts = texts.unique, texts.df
     spark = texts.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -363,16 +380,18 @@ def find(texts: DataFrame, plan: Plan) -> Table:
     own = texts.select("row", "doc", "text")
     dealt = own.mapInArrow(_grams(plan, buckets), "bucket int, packed binary").repartition(parts, "bucket").sortWithinPartitions("bucket")
     grams = Table(dealt.mapInArrow(_repeated(plan), "bucket int, packed binary"), "grams")
-    every = own.mapInArrow(_places(plan, buckets), "bucket int, salt int, packed binary").select("bucket", "salt", F.lit(True).alias("anchor"), "packed")
+    every = own.mapInArrow(_places(plan, buckets, unique), "bucket int, salt int, packed binary").select("bucket", "salt", F.lit(True).alias("anchor"), "packed")
     first = grams.df.select("bucket", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"), F.lit(False).alias("anchor"), "packed")
     met = first.union(every).repartition(parts, "bucket", "salt").sortWithinPartitions("bucket", "salt", "anchor")
-    known = Table(met.mapInArrow(_known, "h long, s long, row long, doc long, loc long"), "places")
+    columns = ["h", "s", "row", "loc"] if unique else ["h", "s", "row", "doc", "loc"]
+    known = Table(met.mapInArrow(_known(columns), ", ".join(f"{c} long" for c in columns)), "places", compression="zstd")
     grams.drop()
+    places = known.df.withColumn("doc", F.col("row" if unique else "doc"))
 
-    equal = known.df.groupBy("h", "s").agg(F.min(F.struct("doc", "row", "loc")).alias("first"), F.max("doc").alias("high"), F.count("*").alias("n"))
+    equal = places.groupBy("h", "s").agg(F.min(F.struct("doc", "row", "loc")).alias("first"), F.max("doc").alias("high"), F.count("*").alias("n"))
     again = F.col("n") > 1 if plan.anywhere else F.col("doc") < F.col("high")
-    segments = Table(equal.select("h", "s", "first.*", "high", "n").withColumn("again", again).drop("high"), "segments")
-    groups = segments.df.groupBy("h").agg(F.count("*").alias("segments"), F.max("again").alias("any")).where("segments > 1 or any")
+    segments = Table(equal.select("h", "s", "first.*", "high", "n").withColumn("again", again).drop("high"), "segments", compression="zstd")
+    groups = segments.df.groupBy("h").agg(F.count("*").alias("segments")).where("segments > 1")
     # written, so that both sides of the joins below come straight from a shuffle and a hot key's rows are split
     shared = Table(groups.select(F.col("h").alias("g"), (F.col("segments") > plan.hot).alias("hot")), "shared")
     wanted = segments.df.join(shared.df, F.col("h") == F.col("g")).groupBy("row").agg(F.collect_list(F.struct("h", "s", "doc", "loc", "n", "hot")).alias("want"))
@@ -397,8 +416,8 @@ def find(texts: DataFrame, plan: Plan) -> Table:
 
     telling = segments.df.join(found.df, ["h", "s"], "left").select("h", "s", F.col("doc").alias("low"), "again", F.coalesce("mask", F.lit(0)).alias("mask")).where("mask <> 0 or again")
     told = Table(telling, "telling")
-    everywhere = F.lit(False) if plan.anywhere else F.col("doc") > F.col("low")
-    hits = known.df.join(told.df, ["h", "s"]).select("row", "loc", F.when(everywhere, _full("loc")).otherwise(F.col("mask")).alias("mask")).where("mask <> 0")
+    everywhere = F.col("again") if plan.anywhere else F.col("doc") > F.col("low")
+    hits = places.join(told.df, ["h", "s"]).select("row", "loc", F.when(everywhere, _full("loc")).otherwise(F.col("mask")).alias("mask")).where("mask <> 0")
     out = Table(hits.groupBy("row").agg(F.collect_list(F.struct(F.expr(f"loc & {LOW32}").alias("start"), "mask")).alias("hits")), "hits")
     for table in (known, segments, found, told):
         table.drop()
@@ -418,8 +437,8 @@ def covered(starts: np.ndarray, masks: np.ndarray, width: int, n: int) -> np.nda
 
 def apply(docs: DataFrame, plan: Plan, finish: Callable[[str, np.ndarray | None], list], schema: str) -> DataFrame:
     """(doc_id, ...): ``finish(text, flags of covered items or None)`` for every row of ``docs``."""
-    texts = keyed(docs)
-    hits = find(texts.df, plan)
+    texts = Texts.of(docs)
+    hits = find(texts, plan)
     kinds = dict(docs.dtypes)
     joined = texts.df.join(hits.df.hint("shuffle_hash"), "row", "left").select("doc_id", "text", "hits")
     names = [c.split()[0] for c in schema.split(", ")]
