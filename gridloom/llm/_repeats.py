@@ -41,6 +41,8 @@ CHUNK_BYTES = 2 << 20
 GROUP_BYTES = 2 << 20
 #: Anchors that a bucket of grams should hold; each bucket is dealt to ``SALTS`` tasks where anchors meet grams.
 BUCKET, SALTS = 1 << 20, 8
+#: Anchors that are packed together, and buckets for each partition, so that partitions are even.
+CHUNK, FEWEST = 1 << 19, 4
 #: Rows that a task gives back at once.
 OUT_ROWS = 1 << 16
 BASE, LAST = 0x9E3779B97F4A7C15, (1 << 63) - 1
@@ -141,8 +143,8 @@ def _unpack(packed: pa.Scalar, columns: int) -> np.ndarray:
     return np.ascontiguousarray(planes.transpose(0, 2, 1)).view(np.uint64).reshape(columns, -1)
 
 
-def _chunks(plan: Plan, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
-    """Anchors of chunks of text, by gram: gram hash, segment hash, row, document, and place: windows << 32 | first window."""
+def _anchored(plan: Plan, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
+    """Anchors of chunks of text: gram hash, segment hash, row, document, and place: windows << 32 | first window."""
     most = 1 << 23
     for part in slices(batches, "text", CHUNK_BYTES):
         rows, ids = part.column("row").to_numpy(), part.column("doc").to_numpy()
@@ -150,8 +152,8 @@ def _chunks(plan: Plan, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.
 
         def close() -> tuple[np.ndarray, ...]:
             h, s, d, first, count = anchors(np.concatenate(items), np.array(ends), plan.width, plan.gram)
-            order, at = np.argsort(h, kind="stable"), np.array(own)[d]
-            return h[order], s[order], rows[at][order], ids[at][order], (count << 32 | first)[order]
+            at = np.array(own, np.int64)[d]
+            return h, s, rows[at], ids[at], count << 32 | first
 
         for i, text in enumerate(part.column("text").to_pylist()):
             x = plan.hashed(plan.encode(text))
@@ -160,8 +162,7 @@ def _chunks(plan: Plan, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.
                 piece = x[at : at + most + plan.width - 1]
                 if len(piece) < len(x):
                     h, s, _, first, count = anchors(piece, np.array([len(piece)]), plan.width, plan.gram)
-                    order = np.argsort(h, kind="stable")
-                    yield h[order], s[order], np.full(len(h), rows[i]), np.full(len(h), ids[i]), (count << 32 | first + at)[order]
+                    yield h, s, np.full(len(h), rows[i]), np.full(len(h), ids[i]), count << 32 | first + at
                     continue
                 if total and total + len(piece) >= most:
                     yield close()
@@ -174,6 +175,25 @@ def _chunks(plan: Plan, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.
             yield close()
 
 
+def _chunks(plan: Plan, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
+    """The same, by gram, in chunks of ``CHUNK`` anchors or a little more."""
+    held, n = [], 0
+
+    def close() -> tuple[np.ndarray, ...]:
+        columns = [np.concatenate(c) for c in zip(*held)]
+        order = np.argsort(columns[0], kind="stable")
+        return tuple(c[order] for c in columns)
+
+    for own in _anchored(plan, batches):
+        held.append(own)
+        n += len(own[0])
+        if n >= CHUNK:
+            yield close()
+            held, n = [], 0
+    if n:
+        yield close()
+
+
 def _by_bucket(h: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of sorted hashes, and where each begins and the last one ends."""
     bucket = ((h >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int32)
@@ -191,8 +211,6 @@ def _grams(plan: Plan, buckets: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for h, _, _, doc, _ in _chunks(plan, batches):
-            if not len(h):
-                continue
             at = _runs(h)
             if plan.anywhere:
                 own = (h[at], np.diff(np.append(at, len(h))))
@@ -238,8 +256,6 @@ def _places(plan: Plan, buckets: int, unique: bool):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for own in _chunks(plan, batches):
-            if not len(own[0]):
-                continue
             bucket, cuts = _by_bucket(own[0], buckets)
             salt = np.full(len(bucket), int(own[2][0] ^ own[4][0]) % SALTS, np.int32)
             sent = own[:3] + own[4:] if unique else own
@@ -376,7 +392,7 @@ def find(texts: Texts, plan: Plan) -> Table:
     spark = texts.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(parts, size // plan.spread // BUCKET)
+    buckets = max(FEWEST * parts, size // plan.spread // BUCKET)
     own = texts.select("row", "doc", "text")
     dealt = own.mapInArrow(_grams(plan, buckets), "bucket int, packed binary").repartition(parts, "bucket").sortWithinPartitions("bucket")
     grams = Table(dealt.mapInArrow(_repeated(plan), "bucket int, packed binary"), "grams")

@@ -5,8 +5,10 @@ become rows (word, position, token); a recursive query joins neighbours to the m
 pair of least rank until no word has one. Documents are then strung together from their pieces, and an ordered aggregate over
 (document, position, token) rows decodes them; a text that does not come back byte for byte is an error.
 
-The recursion costs the square of a piece's length, so pieces over ``LONG`` bytes follow the same rule with a heap. The memory
-of pieces seen is emptied at ``SEEN`` entries; batches are cut by bytes.
+A word of n bytes leaves at most n (n + 1) / 2 rows in the recursion, so a query takes words up to ``ROWS`` of them, and a decode
+takes ``BLOCK`` tokens, cutting documents where it must: memory does not depend on how long words or texts are. As the time
+grows with that square, too, pieces over ``LONG`` bytes follow the same rule with a heap. The memory of pieces seen is emptied at
+``SEEN`` entries; batches are cut by bytes.
 """
 
 from __future__ import annotations
@@ -28,10 +30,11 @@ from ._base import release, slices
 
 LONG = 256
 SEEN = 250_000
-WORDS = 25_000
+#: Words of a query, and rows that their recursion may leave.
+WORDS, ROWS = 25_000, 4_000_000
 CHUNK_BYTES = 4 << 20
 #: Tokens that one query decodes.
-BLOCK = 1 << 19
+BLOCK = 1 << 18
 #: A candidate is its rank and its position, counted through all words of a query, in one number.
 SHIFT, MASK = 32, (1 << 32) - 1
 
@@ -52,7 +55,7 @@ WITH RECURSIVE state(word, pos, id, live) AS (
 )
 SELECT word, id FROM state WHERE NOT live ORDER BY pos
 """
-DECODE = "SELECT doc, string_agg(bytes, '') AS text FROM (SELECT doc, pos, bytes FROM coded JOIN vocabulary USING (id) ORDER BY doc, pos) GROUP BY doc"
+DECODE = "SELECT doc, string_agg(bytes, '' ORDER BY pos) AS text FROM coded JOIN vocabulary USING (id) GROUP BY doc"
 
 
 def read_ranks(path: str) -> bytes:
@@ -120,9 +123,13 @@ class Codec:
             else:
                 todo.append(piece)
                 data.append(raw)
-        for k in range(0, len(todo), WORDS):
-            part = data[k : k + WORDS]
-            n = np.array([len(x) for x in part])
+        sizes = np.array([len(x) for x in data], np.int64)
+        grown = np.cumsum(sizes * (sizes + 1) // 2)
+        k = 0
+        while k < len(todo):
+            done = grown[k - 1] if k else 0
+            stop = min(k + WORDS, max(k + 1, int(np.searchsorted(grown, done + ROWS, "right"))))
+            part, n = data[k:stop], sizes[k:stop]
             flat = self.single[np.frombuffer(b"".join(part), np.uint8)]
             pieces_rows = {"word": np.repeat(np.arange(len(part), dtype=np.int32), n), "pos": np.arange(len(flat)), "id": flat}
             self.db.register("pieces", pa.table(pieces_rows))
@@ -130,7 +137,8 @@ class Codec:
             ids = out.column("id").to_numpy().astype("<u4")
             cuts = np.searchsorted(out.column("word").to_numpy(), np.arange(len(part) + 1)).tolist()
             raw = ids.tobytes()
-            self.seen.update(zip(todo[k : k + WORDS], (raw[4 * a : 4 * b] for a, b in zip(cuts, cuts[1:]))))
+            self.seen.update(zip(todo[k:stop], (raw[4 * a : 4 * b] for a, b in zip(cuts, cuts[1:]))))
+            k = stop
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
@@ -144,13 +152,27 @@ class Codec:
         return [b"".join(map(seen.__getitem__, own)) for own in split]
 
     def decode(self, coded: list[bytes]) -> list[bytes]:
-        texts, start, held = [], 0, 0
+        """The bytes of each document; one query holds at most ``BLOCK`` tokens, of one document or of several."""
+        texts: list[list[bytes]] = [[] for _ in coded]
+        held, of, room = [], [], 4 * BLOCK
+
+        def close() -> None:
+            for i, t in zip(of, self._decode(held)):
+                texts[i].append(t)
+
         for i, x in enumerate(coded):
-            if held and held + len(x) > 4 * BLOCK:
-                texts += self._decode(coded[start:i])
-                start, held = i, 0
-            held += len(x)
-        return texts + self._decode(coded[start:])
+            at = 0
+            while at < len(x):
+                held.append(x[at : at + room])
+                of.append(i)
+                at += room
+                room -= len(held[-1])
+                if not room:
+                    close()
+                    held, of, room = [], [], 4 * BLOCK
+        if held:
+            close()
+        return [b"".join(t) for t in texts]
 
     def _decode(self, coded: list[bytes]) -> list[bytes]:
         n = np.array([len(x) // 4 for x in coded], np.int64)

@@ -1,17 +1,21 @@
 """Personal data: base patterns, and a skip-chain conditional random field that adds what they miss.
 
 Nodes are the words that hold a digit or ``@``; a hard factor labels every other word as nothing, so it drops out of the
-graph exactly. Chain edges join neighbouring nodes; skip edges join each node to the next one with the same key (the last
-seven digits, or the word in lower case), so a group of repeats costs one edge each. Words that a base match covers are
-clamped to its kind. Loopy belief propagation runs over all documents of a batch at once; words outside base matches whose
-marginal for a kind reaches ``SURE`` become spans.
-
-The potentials are fitted by pseudo-likelihood on a bounded sample (``SAMPLE`` documents, ``NODES`` words of each) in which
-the base matches are the labels.
+graph exactly. Chain edges join neighbouring nodes. Skip edges join words of one key (the last seven digits, or the word in
+lower case): each to the next one, but words outside base matches to the nearest one inside where the group has any, so that a
+repeat costs an edge and evidence need not travel through a long group. All skip edges share one potential, as do all chain
+edges: of one kind, both nothing, of different kinds, one nothing. Words that a base match covers are clamped to its kind.
+Loopy belief propagation runs over the documents of a batch at once, each until its messages settle; words outside base matches
+whose marginal for a kind reaches ``SURE`` become spans.
+
+The potentials are fitted by pseudo-likelihood over all documents, as counts of equal cases. The base matches are the labels.
+What they miss is not known to be nothing, so words that share a key with a base match are left out, and for every base match a
+repeat is added whose label is hidden from the patterns: the same word in another notation, to be told by its skip edge alone.
 """
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -24,17 +28,17 @@ from pyspark.sql import functions as F
 from ._base import slices
 
 KINDS = ("email", "ip", "card", "phone")
-#: Documents (those with the least hashed ids) and words of each that the potentials are fitted on.
-SAMPLE, NODES = 20_000, 64
-STEPS, RATE, DECAY = 300, 1.0, 1e-3
-ROUNDS, SURE = 12, 0.9
-#: Prior mean of the skip potential between two words of the same kind; all other prior means are 0.
-AGREE = 6.0
+#: Steps of the fit, its rate, and the pull of all weights towards 0.
+STEPS, RATE, DECAY = 2000, 0.5, 1e-4
+#: Messages have settled when none changes by more; a document that has not after ``ROUNDS`` is marked.
+SETTLED, ROUNDS = 1e-5, 2000
+SURE = 0.9
 CHUNK_BYTES = 8 << 20
 
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
-IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+# a run of digits matches from its first one or not at all
+IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 MARK = re.compile("[0-9@]")
@@ -70,7 +74,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     out = [(0, a, b) for a, b in _emails(text)]
     if DIGIT.search(text):
         if "." in text:
-            out += [(1, m.start(), m.end()) for m in IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split("."))]
+            out += [(1, m.start(), m.end()) for m in IP.finditer(text) if all(len(p := part.lstrip("0")) <= 3 and int(p or 0) <= 255 for part in m[0].split("."))]
         for m in CARD.finditer(text):
             if m.end() - m.start() >= 16 and 16 <= len(d := re.sub("[^0-9]", "", m[0])) <= 19 and luhn(d):
                 out.append((2, m.start(), m.end()))
@@ -112,40 +116,96 @@ def _key(word: str) -> str | None:
     return digits[-7:] if len(digits) >= 7 else low if len(low) >= 4 else None
 
 
+def _bits(word: str) -> int:
+    return sum(1 << i for i, f in enumerate(_shape(word)) if f)
+
+
+def _renoted(word: str, kind: int) -> str:
+    """A base match's word as its pattern would not find it: an address without its end, other numbers with dashes only."""
+    if kind == 1:
+        return word.rpartition(".")[0] or word
+    return "-".join(re.findall("[0-9]+", word)) or word
+
+
 @dataclass
 class Graph:
-    """The nodes of some documents: place, shape, base kind (0: none, else 1 + kind); edges of both sorts."""
+    """The nodes of some documents: document, place, word, base kind (0: none, else 1 + kind); edges of both sorts."""
 
     doc: list
     place: list
-    shape: list
+    word: list
     base: list
+    key: list
     chain: list
     skip: list
 
     @staticmethod
-    def of(texts: list[tuple[str, list]], most: int | None = None) -> Graph:
-        g = Graph([], [], [], [], [], [])
+    def of(texts: list[tuple[str, list]]) -> Graph:
+        g = Graph([], [], [], [], [], [], [])
         for d, (text, spans) in enumerate(texts):
-            keys, before = {}, None
-            for k, (a, b) in enumerate(_words(text)):
-                if most and k >= most:
-                    break
-                i, word = len(g.doc), text[a:b]
+            first, before, spans = len(g.doc), None, sorted((x, y, kind) for kind, x, y in spans)
+            at, groups = 0, {}
+            for a, b in _words(text):
+                i = len(g.doc)
+                while at < len(spans) and spans[at][1] <= a:
+                    at += 1
+                kind, key = 0, _key(text[a:b])
+                for x, y, k in itertools.islice(spans, at, None):
+                    if x >= b:
+                        break
+                    if y > a and (not kind or k + 1 < kind):
+                        kind = k + 1
+                        # a match of several words is known by its last one
+                        key = _key(text[x:y]) if y <= b else None
                 g.doc.append(d)
                 g.place.append((a, b))
-                g.shape.append(_shape(word))
-                g.base.append(next((kind + 1 for kind, x, y in spans if x < b and a < y), 0))
-                beside = before is not None and GAP.match(text, before).end() == a
-                if beside:
+                g.word.append(text[a:b])
+                g.base.append(kind)
+                g.key.append(key)
+                if before is not None and GAP.fullmatch(text, before, a):
                     g.chain.append((i - 1, i))
                 before = b
-                if (key := _key(word)) is not None:
-                    if key in keys and not (beside and keys[key] == i - 1):
-                        g.skip.append((keys[key], i))
-                    keys[key] = i
+                if key is not None:
+                    groups.setdefault(key, []).append(i)
+            near = {e for e in g.chain if e[0] >= first}
+            for own in groups.values():
+                held = [i for i in own if g.base[i]]
+                edges = set(zip(held, held[1:]) if held else zip(own, own[1:]))
+                if held:
+                    for i, k in zip(own, np.searchsorted(held, own).tolist()):
+                        if not g.base[i]:
+                            beside = [held[j] for j in (k - 1, k) if 0 <= j < len(held)]
+                            hub = min(beside, key=lambda j: (abs(j - i), j))
+                            edges.add((min(i, hub), max(i, hub)))
+                g.skip += sorted(edges - near)
         return g
 
+    def cases(self) -> tuple[np.ndarray, np.ndarray]:
+        """What the fit sees: (shape, label, labels of chain neighbours, of skip neighbours) as rows of numbers, and their counts."""
+        size = len(KINDS) + 1
+        told = {(d, k) for d, k, y in zip(self.doc, self.key, self.base) if y and k is not None}
+        hidden = [not y and (d, k) in told for d, k, y in zip(self.doc, self.key, self.base)]
+        near = np.zeros((2, len(self.doc), size), np.int64)
+        for n, edges in zip(near, (self.chain, self.skip)):
+            for i, j in edges:
+                if not hidden[i] and not hidden[j]:
+                    n[i, self.base[j]] = min(n[i, self.base[j]] + 1, 2)
+                    n[j, self.base[i]] = min(n[j, self.base[i]] + 1, 2)
+        rows = []
+        for i, (word, y) in enumerate(zip(self.word, self.base)):
+            if hidden[i]:
+                continue
+            rows.append((_bits(word), y, *near[0, i], *near[1, i]))
+            if self.key[i] is not None:
+                alone, repeat = [0] * size, [0] * size
+                repeat[y] = 1
+                bits = _bits(_renoted(word, y) if y else word)
+                rows.append((bits, y, *alone, *repeat))
+                if y:
+                    # without a match to tell it by, such a word is nothing, be it repeated or not
+                    rows += [(bits, 0, *alone, n, *alone[1:]) for n in (0, 1, 2)]
+        return np.unique(np.array(rows, np.int64).reshape(len(rows), 2 + 2 * size), axis=0, return_counts=True)
+
 
 @dataclass(frozen=True)
 class Potentials:
@@ -154,58 +214,79 @@ class Potentials:
     skip: np.ndarray
 
 
-def fit(g: Graph) -> Potentials:
-    """Pseudo-likelihood: each label given its word's shape and its neighbours' labels, by gradient ascent."""
+def _ties(near: np.ndarray) -> np.ndarray:
+    """For counts of neighbours by label, what the four shared weights of an edge add to each label: (cases, labels, weights)."""
+    kinds = near[:, 1:].sum(axis=1)
+    out = np.zeros((len(near), near.shape[1], 4))
+    out[:, 0, 1], out[:, 0, 3] = near[:, 0], kinds
+    out[:, 1:, 0], out[:, 1:, 2], out[:, 1:, 3] = near[:, 1:], kinds[:, None] - near[:, 1:], near[:, :1]
+    return out
+
+
+def fit(cases: np.ndarray, counts: np.ndarray) -> Potentials:
+    """Pseudo-likelihood: each label given its word's shape and its neighbours' labels, by accelerated gradient ascent."""
     size = len(KINDS) + 1
-    if not g.doc:
-        return Potentials(np.zeros((FEATURES, size)), np.zeros((size, size)), np.zeros((size, size)))
-    y, near = np.array(g.base), []
-    hot = np.eye(size)[y]
-    for edges in (g.chain, g.skip):
-        n = np.zeros((len(y), size))
-        if edges:
-            e = np.array(edges)
-            np.add.at(n, e[:, 0], hot[e[:, 1]])
-            np.add.at(n, e[:, 1], hot[e[:, 0]])
-        near.append(n)
-    x = np.hstack([np.array(g.shape, float), *near])
-    prior = np.zeros((x.shape[1], size))
-    prior[FEATURES + size + np.arange(1, size), np.arange(1, size)] = AGREE
-    w = prior.copy()
-    for _ in range(STEPS):
-        z = x @ w
-        p = np.exp(z - z.max(axis=1, keepdims=True))
-        p /= p.sum(axis=1, keepdims=True)
-        w += RATE * (x.T @ (hot - p) / len(y) - DECAY * (w - prior))
-    pair = [w[FEATURES : FEATURES + size], w[FEATURES + size :]]
-    return Potentials(w[:FEATURES], *((m + m.T) / 2 for m in pair))
-
-
-def infer(g: Graph, w: Potentials) -> np.ndarray:
-    """Marginals by synchronous loopy belief propagation, nodes in base matches clamped."""
-    unary = np.array(g.shape, float) @ w.shape
-    fixed = np.array(g.base)
+    w, edge = np.zeros((FEATURES, size)), np.zeros(8)
+    if len(cases):
+        x = (cases[:, :1] >> np.arange(FEATURES) & 1).astype(float)
+        hot = np.eye(size)[cases[:, 1]]
+        ties = np.concatenate((_ties(cases[:, 2 : 2 + size]), _ties(cases[:, 2 + size :])), axis=2)
+        mass = counts / counts.sum()
+        v, ve = np.zeros_like(w), np.zeros_like(edge)
+        for _ in range(STEPS):
+            z = x @ w + ties @ edge
+            p = np.exp(z - z.max(axis=1, keepdims=True))
+            p /= p.sum(axis=1, keepdims=True)
+            miss = (hot - p) * mass[:, None]
+            v = 0.9 * v + RATE * (x.T @ miss - DECAY * w)
+            ve = 0.9 * ve + RATE * (np.einsum("cl,clw->w", miss, ties) - DECAY * edge)
+            w, edge = w + v, edge + ve
+    pair = []
+    for same, none, differ, mixed in edge.reshape(2, 4):
+        m = np.full((size, size), differ)
+        np.fill_diagonal(m, same)
+        m[0, :] = m[:, 0] = mixed
+        m[0, 0] = none
+        pair.append(m)
+    return Potentials(w, *pair)
+
+
+def infer(g: Graph, w: Potentials) -> tuple[np.ndarray, np.ndarray]:
+    """Marginals by synchronous loopy belief propagation, nodes in base matches clamped; which nodes' documents have settled."""
+    shape = np.array([_bits(x) for x in g.word])[:, None] >> np.arange(FEATURES) & 1
+    unary = shape @ w.shape
+    fixed, doc = np.array(g.base), np.array(g.doc)
     held = np.flatnonzero(fixed)
-    unary[held] = -50.0
-    unary[held, fixed[held]] = 50.0
+    unary[held] = -1e9
+    unary[held, fixed[held]] = 1e9
+    open_ = np.zeros(len(doc), bool)
     edges = [(np.array(e), m) for e, m in ((g.chain, w.chain), (g.skip, w.skip)) if e]
     if edges:
-        src = np.concatenate([np.concatenate((e[:, 0], e[:, 1])) for e, _ in edges])
-        dst = np.concatenate([np.concatenate((e[:, 1], e[:, 0])) for e, _ in edges])
-        back = np.concatenate([np.concatenate((np.arange(len(e), 2 * len(e)), np.arange(len(e)))) + at for (e, _), at in zip(edges, np.cumsum([0, *(2 * len(e) for e, _ in edges)]))])
-        pair = np.concatenate([np.broadcast_to(m, (2 * len(e), *m.shape)) for e, m in edges])
+        ends = np.concatenate([e for e, _ in edges])
+        src, dst = np.concatenate((ends[:, 0], ends[:, 1])), np.concatenate((ends[:, 1], ends[:, 0]))
+        pair = np.concatenate([np.broadcast_to(m, (len(e), *m.shape)) for e, m in edges] * 2)
+        back = np.concatenate((np.arange(len(ends), len(src)), np.arange(len(ends))))
         sent = np.zeros((len(src), unary.shape[1]))
+        active = np.arange(len(src))
         for _ in range(ROUNDS):
             belief = unary.copy()
-            np.add.at(belief, dst, sent)
-            out = belief[src] - sent[back]
-            z = out[:, :, None] + pair
+            np.add.at(belief, dst[active], sent[active])
+            out = belief[src[active]] - sent[back[active]]
+            z = out[:, :, None] + pair[active]
             top = z.max(axis=1)
             new = top + np.log(np.exp(z - top[:, None, :]).sum(axis=1))
-            sent = 0.5 * sent + 0.5 * (new - new.max(axis=1, keepdims=True))
+            new = 0.5 * sent[active] + 0.5 * (new - new.max(axis=1, keepdims=True))
+            moved = np.zeros(doc[-1] + 1)
+            np.maximum.at(moved, doc[src[active]], np.abs(new - sent[active]).max(axis=1))
+            sent[active] = new
+            # a document is done on its own, whatever else is in the batch
+            active = active[moved[doc[src[active]]] > SETTLED]
+            if not len(active):
+                break
+        open_ = np.isin(doc, doc[src[active]])
         np.add.at(unary, dst, sent)
     p = np.exp(unary - unary.max(axis=1, keepdims=True))
-    return p / p.sum(axis=1, keepdims=True)
+    return p / p.sum(axis=1, keepdims=True), ~open_
 
 
 def added_spans(g: Graph, marginals: np.ndarray, texts: list[str]) -> list[list[tuple[int, int, int]]]:
@@ -229,38 +310,31 @@ def added_spans(g: Graph, marginals: np.ndarray, texts: list[str]) -> list[list[
     return out
 
 
-def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _cases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in slices(batches, "text", CHUNK_BYTES):
-        texts = [(t or "", base_spans(t or "")) for t in part.column("text").to_pylist() if t and MARK.search(t)]
-        g = Graph.of(texts, NODES)
+        g = Graph.of([(t, base_spans(t)) for t in part.column("text").to_pylist() if t and MARK.search(t)])
         if g.doc:
-            yield pa.RecordBatch.from_arrays([pa.array([x], kind) for x, kind in ((g.shape, pa.list_(pa.list_(pa.float64()))), (g.base, pa.list_(pa.int32())), (g.chain, pa.list_(pa.list_(pa.int32()))), (g.skip, pa.list_(pa.list_(pa.int32()))))], names=["shape", "base", "chain", "skip"])
+            rows, counts = g.cases()
+            yield pa.RecordBatch.from_arrays([pa.array(rows.tolist(), pa.list_(pa.int64())), pa.array(counts, pa.int64())], names=["case", "n"])
 
 
-def train(docs: DataFrame, sample: int = SAMPLE) -> Potentials:
-    """Potentials from at most ``sample`` documents, in the order of hashed ids, and ``NODES`` words of each."""
-    ids = docs.select("doc_id").where("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    # at most ``sample`` ids
-    rows = docs.join(F.broadcast(ids), "doc_id").select("text").mapInArrow(_sampled, "shape array<array<double>>, base array<int>, chain array<array<int>>, skip array<array<int>>").collect()
-    g = Graph([], [], [], [], [], [])
-    for r in rows:
-        at = len(g.doc)
-        g.doc += [0] * len(r["base"])
-        g.shape += r["shape"]
-        g.base += r["base"]
-        g.chain += [(a + at, b + at) for a, b in r["chain"]]
-        g.skip += [(a + at, b + at) for a, b in r["skip"]]
-    return fit(g)
+def train(docs: DataFrame) -> Potentials:
+    """Potentials from all documents: equal cases are counted, and as many rows as there are different ones reach the driver,
+    a number that shapes, labels and at most two neighbours of a label bound, whatever the corpus."""
+    rows = docs.select("text").mapInArrow(_cases, "case array<bigint>, n bigint").groupBy("case").agg(F.sum("n").alias("n")).orderBy("case").collect()
+    size = 2 + 2 * (len(KINDS) + 1)
+    return fit(np.array([r["case"] for r in rows], np.int64).reshape(len(rows), size), np.array([float(r["n"]) for r in rows]))
 
 
-def find(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """(doc_id, spans): spans array<struct<kind, start, stop, base>> by kind, then start; offsets in code points, stop exclusive.
+def find(docs: DataFrame) -> DataFrame:
+    """(doc_id, spans, settled): spans array<struct<kind, start, stop, base>> by kind, then start; offsets in code points, stop exclusive.
 
     Every row is searched whole; null and empty texts have no spans; repeated rows repeat; other columns are ignored; an
-    empty table gives an empty one. A base match is never dropped or changed.
+    empty table gives an empty one. A base match is never dropped or changed. ``settled`` is false where messages still changed
+    after ``ROUNDS``.
     """
     plain = docs.select("doc_id", "text")
-    weights = train(plain, sample)
+    weights = train(plain)
     item = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("stop", pa.int32()), ("base", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -268,21 +342,26 @@ def find(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
             texts = [t or "" for t in part.column("text").to_pylist()]
             found = [[(k, a, b, True) for k, a, b in base_spans(t)] for t in texts]
             marked = [i for i, t in enumerate(texts) if MARK.search(t)]
+            settled = [True] * len(texts)
             g = Graph.of([(texts[i], [x[:3] for x in found[i]]) for i in marked])
             if g.doc:
-                for i, more in zip(marked, added_spans(g, infer(g, weights), [texts[i] for i in marked])):
+                marginals, done = infer(g, weights)
+                for i, more in zip(marked, added_spans(g, marginals, [texts[i] for i in marked])):
                     found[i] += [(*x, False) for x in more]
+                for d in {g.doc[k] for k in np.flatnonzero(~done)}:
+                    settled[marked[d]] = False
             rows = [[{"kind": KINDS[k], "start": a, "stop": b, "base": base} for k, a, b, base in sorted(own)] for own in found]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(rows, pa.list_(item))], names=["doc_id", "spans"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(rows, pa.list_(item)), pa.array(settled)], names=["doc_id", "spans", "settled"])
 
-    return plain.mapInArrow(run, f"doc_id {dict(plain.dtypes)['doc_id']}, spans array<struct<kind:string,start:int,stop:int,base:boolean>>")
+    return plain.mapInArrow(run, f"doc_id {dict(plain.dtypes)['doc_id']}, spans array<struct<kind:string,start:int,stop:int,base:boolean>>, settled boolean")
 
 
 def op2(docs: DataFrame) -> DataFrame:
-    """The contract's columns of :func:`find`; the counts are of base matches, ``n_added`` counts the others."""
+    """The contract's columns of :func:`find`; the counts are of base matches, ``n_added`` counts the others, ``n_spans`` all."""
     joined = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["stop"].cast("string"))), ",")
     base = F.filter("spans", lambda s: s["base"])
     counts = [F.expr(f"cast(size(filter(base, s -> s.kind = '{k}')) as long)").alias(f"n_{k}") for k in KINDS]
+    n = F.size("spans").cast("long")
     return find(docs).withColumn("base", base).select(
-        "doc_id", *counts, F.sha2(joined("base"), 256).alias("base_sha256"), joined("spans").alias("spans"), (F.size("spans") - F.size("base")).cast("long").alias("n_added")
+        "doc_id", *counts, F.sha2(joined("base"), 256).alias("base_sha256"), joined("spans").alias("spans"), (n - F.size("base")).cast("long").alias("n_added"), n.alias("n_spans"), "settled"
     )

@@ -47,3 +47,23 @@ def test_memory_of_pieces_is_bounded(theirs, monkeypatch):
     for t in texts()[:60]:
         assert codec.encode([t])[0] == struct.pack(f"<{len(i := theirs.encode_ordinary(t))}I", *i)
         assert codec.decode(codec.encode([t])) == [t.encode()]
+
+
+def test_long_words_and_texts_fit_in_memory(theirs):
+    r = random.Random(3)
+    letters = lambda n: "".join(r.choice("aeintrslou") for _ in range(n))
+    words = " ".join(letters(240) for _ in range(600))
+    prose = " ".join(letters(r.randrange(1, 9)) for _ in range(4000))
+    texts = [words, "", prose * 100, "x"]
+    codec = bpe.Codec(bpe.read_ranks(PATH), public_tokenizers.PATTERN)
+    coded = codec.encode(texts)
+    assert [list(struct.unpack(f"<{len(c) // 4}I", c)) for c in coded] == [theirs.encode_ordinary(t) for t in texts]
+    assert len(coded[2]) // 4 > 2 * bpe.BLOCK
+    assert codec.decode(coded) == [t.encode() for t in texts]
+
+
+def test_decoding_cuts_anywhere(theirs, monkeypatch):
+    monkeypatch.setattr(bpe, "BLOCK", 3)
+    codec = bpe.Codec(bpe.read_ranks(PATH), public_tokenizers.PATTERN)
+    texts = ["", "漢字かな🙂 déjà vu", "a", "", "one two three four five six seven"]
+    assert codec.decode(codec.encode(texts)) == [t.encode() for t in texts]

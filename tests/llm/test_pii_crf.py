@@ -1,6 +1,12 @@
 import hashlib
+import itertools
 import random
 import re
+import time
+
+import numpy as np
+import pyarrow.parquet as pq
+import pytest
 
 from gridloom.llm import pii_crf
 
@@ -50,3 +56,66 @@ def test_query_and_consistency(spark):
     text = rows[-1][1]
     assert f"phone:{text.index('1-312')}:{text.index('1-312') + 14}" in one.spans.split(",")
     assert pii_crf.op2(docs.limit(0)).count() == 0
+
+
+@pytest.fixture(scope="module")
+def weights():
+    texts = [t for t in pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"]).column(0).to_pylist() if t]
+    return pii_crf.fit(*pii_crf.Graph.of([(t, pii_crf.base_spans(t)) for t in texts]).cases())
+
+
+def added(text, weights):
+    g = pii_crf.Graph.of([(text, pii_crf.base_spans(text))])
+    marginals, settled = pii_crf.infer(g, weights)
+    assert settled.all()
+    return [(pii_crf.KINDS[k], text[a:b]) for k, a, b in pii_crf.added_spans(g, marginals, [text])[0]]
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 5, 40, 400])
+@pytest.mark.parametrize("kind, match, other", [("phone", "+1 (312) 555-7788", "1-312-555-7788"), ("card", "4111 1111 1111 1111", "4111.1111.1111.1111"), ("ip", "192.168.100.17", "192-168-100-17")])
+def test_all_repeats_of_a_match_get_its_kind(weights, n, kind, match, other):
+    assert added(f"see {match} now. " + f"then {other}, say, " * n, weights) == [(kind, other)] * n
+    assert added(f"then {other}, say", weights) == []
+
+
+def test_hidden_matches_are_told_by_their_repeats(weights):
+    r = random.Random(2)
+    digits = lambda n: "".join(r.choice("123456789") for _ in range(n))
+    caught = wrong = 0
+    for _ in range(200):
+        a, b, c = digits(3), digits(3), digits(4)
+        text = f"x +1 ({a}) {b}-{c} y {digits(16)} z 1-{a}-{b}-{c}, {digits(10)} order {digits(5)}"
+        found = added(text, weights)
+        caught += ("phone", f"1-{a}-{b}-{c}") in found
+        wrong += len(found) - (("phone", f"1-{a}-{b}-{c}") in found)
+    assert caught >= 190 and wrong <= 2
+
+
+def test_marginals_on_trees_are_exact():
+    r = np.random.default_rng(4)
+    size = len(pii_crf.KINDS) + 1
+    for _ in range(20):
+        n = 5
+        w = pii_crf.Potentials(r.normal(size=(pii_crf.FEATURES, size)), *((m + m.T) / 2 for m in r.normal(size=(2, size, size))))
+        parent = [(int(r.integers(0, k)), k) for k in range(1, n)]
+        words = ["12", "a@b", "1.2.3.4", "+1", "x9"]
+        base = [0, 0, 2, 0, 0]
+        g = pii_crf.Graph([0] * n, [(0, 1)] * n, words, base, [None] * n, parent[::2], parent[1::2])
+        unary = np.array([pii_crf._shape(x) for x in words], float) @ w.shape
+        want = np.zeros((n, size))
+        for y in itertools.product(range(size), repeat=n):
+            if any(b and v != b for b, v in zip(base, y)):
+                continue
+            score = sum(unary[i, v] for i, v in enumerate(y)) + sum(w.chain[y[i], y[j]] for i, j in g.chain) + sum(w.skip[y[i], y[j]] for i, j in g.skip)
+            for i, v in enumerate(y):
+                want[i, v] += np.exp(score)
+        got, settled = pii_crf.infer(g, w)
+        assert settled.all()
+        assert np.allclose(got, want / want.sum(axis=1, keepdims=True), atol=1e-3)
+
+
+def test_long_digit_runs():
+    began = time.perf_counter()
+    assert [x for x in pii_crf.base_spans("0" * 5000 + ".1.1.1") if x[0] == 1] == [(1, 0, 5006)]
+    pii_crf.base_spans("1" * 500_000 + " " + "1." * 100_000)
+    assert time.perf_counter() - began < 5
