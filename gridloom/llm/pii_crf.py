@@ -200,10 +200,12 @@ class Graph:
                 alone, repeat = [0] * size, [0] * size
                 repeat[y] = 1
                 bits = _bits(_renoted(word, y) if y else word)
-                rows.append((bits, y, *alone, *repeat))
-                if y:
-                    # without a match to tell it by, such a word is nothing, be it repeated or not
-                    rows += [(bits, 0, *alone, n, *alone[1:]) for n in (0, 1, 2)]
+                # beside up to two words that are nothing
+                for beside in ([n, *alone[1:]] for n in range(3)):
+                    rows.append((bits, y, *beside, *repeat))
+                    if y:
+                        # without a match to tell it by, such a word is nothing, be it repeated or not
+                        rows += [(bits, 0, *beside, n, *alone[1:]) for n in range(3)]
         return np.unique(np.array(rows, np.int64).reshape(len(rows), 2 + 2 * size), axis=0, return_counts=True)
 
 
