@@ -10,10 +10,11 @@ consecutive; together they span a segment, and every window lies in exactly one
    is one entry of a chunk; grams that cannot repeat go. Anchors meet the grams that are left in buckets dealt ``SALTS`` times.
 3. Equal segments become one row with their count and least document before anything else looks at them. The suffixes of a gram
    with one segment differ from each other, so each is a leaf of its own, counted as often as the segment.
-4. Suffixes are split by prefixes of variable length: those of the segments of a gram form a group. If a gram leads to more than
-   ``HOT`` different segments, its suffixes are split further by their first ``deeper`` items, and groups that are still too
-   large by all ``width`` items. Over every group stands the operator's own structure (suffix tree, suffix array), and what it
-   finds is what repeats. A group split by all its items is a single node of that depth: its leaves are only counted.
+4. Suffixes are split by prefixes of variable length. A window holds its gram and, of what is left, at least half on one side:
+   the windows of a segment with more on the left are keyed by that half and the gram, the others by the gram and the half after
+   it. What shares such a prefix forms a group; prefixes of more than ``HOT`` segments are lengthened to all ``width`` items.
+   Over every group stands the operator's own structure (suffix tree, suffix array), and what it finds is what repeats. A group
+   split by all its items is a single node of that depth: its leaves are only counted.
 5. What is found goes back to every place of a segment, and from there to the rows.
 
 Documents with null ids count as the largest id.
@@ -34,15 +35,15 @@ from pyspark.sql import functions as F
 
 from ._base import Table, slices
 
-#: Different segments (or suffixes) of a prefix that are compared in one group, at most; longer prefixes split the others.
-HOT = 1000
+#: Segments of a prefix that are compared in one group, at most; longer prefixes split the others.
+HOT = 5000
 CHUNK_BYTES = 2 << 20
 #: Bytes of segments that are compared at once; a group stays whole.
 GROUP_BYTES = 2 << 20
 #: Anchors that a bucket of grams should hold; each bucket is dealt to ``SALTS`` tasks where anchors meet grams.
 BUCKET, SALTS = 1 << 20, 8
 #: Anchors that are packed together, and buckets for each partition, so that partitions are even.
-CHUNK, FEWEST = 1 << 19, 4
+CHUNK, FEWEST = 1 << 19, 8
 #: Rows that a task gives back at once.
 OUT_ROWS = 1 << 16
 BASE, LAST = 0x9E3779B97F4A7C15, (1 << 63) - 1
@@ -71,7 +72,7 @@ class Powers:
 
 
 def anchors(items: np.ndarray, ends: np.ndarray, width: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Gram hash, segment hash, document number, first window and number of windows of each anchor.
+    """Gram hash, segment hash, document number, first window, and items before the gram in it << 8 | windows, of each anchor.
 
     ``items`` are the hashed items of documents one after the other (fewer than 2^24), ``ends`` where each document ends.
     """
@@ -108,7 +109,7 @@ def anchors(items: np.ndarray, ends: np.ndarray, width: int, gram: int) -> tuple
     whole = (sums[stop] - sums[first]) * down[first]
     segment = mix(whole + mix((anchor - first).astype(np.uint64) << np.uint64(32) | count.astype(np.uint64)))
     doc = np.searchsorted(ends, first, "right")
-    return hashes[anchor], segment, doc, first - starts[doc], count
+    return hashes[anchor], segment, doc, first - starts[doc], anchor - first << 8 | count
 
 
 @dataclass(frozen=True)
@@ -117,8 +118,6 @@ class Plan:
 
     width: int
     gram: int
-    #: Items of the longer prefixes that split the suffixes of a hot gram.
-    deeper: int
     #: Items of a text as one byte string, ``size`` bytes each, and the hashed items of such a string.
     encode: Callable[[str], bytes]
     hashed: Callable[[bytes], np.ndarray]
@@ -144,7 +143,7 @@ def _unpack(packed: pa.Scalar, columns: int) -> np.ndarray:
 
 
 def _anchored(plan: Plan, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
-    """Anchors of chunks of text: gram hash, segment hash, row, document, and place: windows << 32 | first window."""
+    """Anchors of chunks of text: gram hash, segment hash, row, document, and place: items before the gram (8 bits), windows (8), first window (32)."""
     most = 1 << 23
     for part in slices(batches, "text", CHUNK_BYTES):
         rows, ids = part.column("row").to_numpy(), part.column("doc").to_numpy()
@@ -298,31 +297,48 @@ def _known(columns: list[str]):
 
 
 def _fetch(plan: Plan):
-    """Segments of the wanted places: whole, or, for hot grams, suffix by suffix with the keys of longer prefixes."""
-    size, width, deeper = plan.size, plan.width, plan.deeper
-    names = ("g", "k1", "k2", "h", "s", "base", "windows", "doc", "n", "segment")
+    """The segments of the wanted places, each in up to two parts: windows with more before the gram, and the others."""
+    size, width, gram = plan.size, plan.width, plan.gram
+    half = (width - gram + 1) // 2
+    names = ("g", "h", "s", "base", "windows", "doc", "n", "segment")
     kinds = {"base": pa.int32(), "windows": pa.int32(), "segment": pa.binary()}
+    digest = xxhash.xxh3_64_intdigest
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text", CHUNK_BYTES):
-            out: dict[str, list] = {k: [] for k in names}
+            out: list[list] = [[] for _ in names]
             for text, want in zip(part.column("text").to_pylist(), part.column("want")):
                 data = plan.encode(text)
                 fields = want.values
-                for h, s, doc, loc, n, hot in zip(*(fields.field(k).to_pylist() for k in ("h", "s", "doc", "loc", "n", "hot"))):
-                    first, count = loc & LOW32, loc >> 32
-                    if not hot:
-                        for k, v in zip(out, (h, None, None, h, s, 0, count, doc, n, data[first * size : (first + count + width - 1) * size])):
-                            out[k].append(v)
-                        continue
-                    for o in range(count):
-                        whole = data[(first + o) * size : (first + o + width) * size]
-                        digest = xxhash.xxh3_128_digest(whole)
-                        k1, k2 = int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True)
-                        g = int.from_bytes(xxhash.xxh3_64_digest(whole[: deeper * size]), "little", signed=True)
-                        for k, v in zip(out, (g, k1, k2, h, s, o, 1, doc, n, whole)):
-                            out[k].append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(v, kinds.get(k, pa.int64())) for k, v in out.items()], names=list(out))
+                for h, s, doc, loc, n in zip(*(fields.field(k).to_pylist() for k in ("h", "s", "doc", "loc", "n"))):
+                    first, count, before = loc & LOW32, loc >> 32 & 255, loc >> 40
+                    at = first + before
+                    left = min(max(before - (width - gram - half), 0), count)
+                    for side, base, stop in ((0, 0, left), (1, left, count)):
+                        if base < stop:
+                            key = data[(at - half) * size : (at + gram) * size] if side == 0 else data[at * size : (at + gram + half) * size]
+                            row = (digest(key, side) - (1 << 63), h, s, base, stop - base, doc, n, data[(first + base) * size : (first + stop + width - 1) * size])
+                            for column, v in zip(out, row):
+                                column.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(v, kinds.get(k, pa.int64())) for k, v in zip(names, out)], names=list(names))
+
+    return run
+
+
+def _single(plan: Plan):
+    """The windows of segments one by one, each with the hash of all its items."""
+    size, width = plan.size, plan.width
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            windows = batch.column("windows").to_numpy()
+            at = np.repeat(np.arange(batch.num_rows), windows)
+            offset = np.arange(len(at)) - np.repeat(np.cumsum(windows) - windows, windows)
+            segments = batch.column("segment").to_pylist()
+            keys = np.frombuffer(b"".join(xxhash.xxh3_128_digest(segments[i][o * size : (o + width) * size]) for i, o in zip(at.tolist(), offset.tolist())), np.int64).reshape(-1, 2)
+            own = {c: batch.column(c).to_numpy()[at] for c in ("h", "s", "base", "doc", "n")}
+            own["base"] = (own["base"] + offset).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(keys[:, 0]), pa.array(keys[:, 1]), *map(pa.array, own.values())], names=["k1", "k2", *own])
 
     return run
 
@@ -367,7 +383,7 @@ def _compare(plan: Plan):
 
 
 def _full(loc: Column) -> Column:
-    return F.expr(f"shiftleft(1L, cast(shiftright({loc}, 32) as int)) - 1")
+    return F.expr(f"shiftleft(1L, cast(shiftright({loc}, 32) & 255 as int)) - 1")
 
 
 @dataclass(frozen=True)
@@ -409,25 +425,22 @@ def find(texts: Texts, plan: Plan) -> Table:
     segments = Table(equal.select("h", "s", "first.*", "high", "n").withColumn("again", again).drop("high"), "segments", compression="zstd")
     groups = segments.df.groupBy("h").agg(F.count("*").alias("segments")).where("segments > 1")
     # written, so that both sides of the joins below come straight from a shuffle and a hot key's rows are split
-    shared = Table(groups.select(F.col("h").alias("g"), (F.col("segments") > plan.hot).alias("hot")), "shared")
-    wanted = segments.df.join(shared.df, F.col("h") == F.col("g")).groupBy("row").agg(F.collect_list(F.struct("h", "s", "doc", "loc", "n", "hot")).alias("want"))
-    schema = "g long, k1 long, k2 long, h long, s long, base int, windows int, doc long, n long, segment binary"
+    shared = Table(groups.select(F.col("h").alias("gram")), "shared")
+    wanted = segments.df.join(shared.df, F.col("h") == F.col("gram")).groupBy("row").agg(F.collect_list(F.struct("h", "s", "doc", "loc", "n")).alias("want"))
+    schema = "g long, h long, s long, base int, windows int, doc long, n long, segment binary"
     fetched = Table(own.join(wanted.hint("shuffle_hash"), "row").select("text", "want").mapInArrow(_fetch(plan), schema), "fetched", compression="zstd")
-
-    columns = ["g", "h", "s", "base", "windows", "doc", "n", "segment"]
-    groups = fetched.df.where("k1 is null").select(columns)
-    split = fetched.df.where("k1 is not null")
-    large = Table(split.groupBy("g").agg(F.count("*").alias("c")).where(F.col("c") > plan.hot).select(F.col("g").alias("large")), "large")
-    prefixed = Table(split.join(large.df, F.col("g") == F.col("large"), "left").select("*"), "prefixed", compression="zstd")
-    groups = groups.union(prefixed.df.where("large is null").select(columns))
-    masks = groups.repartition(parts, "g").sortWithinPartitions("g", "h", "s", "base").mapInArrow(_compare(plan), "h long, s long, mask long")
+    prefixes = Table(fetched.df.groupBy("g").agg(F.count("*").alias("c")).where("c > 1").select(F.col("g").alias("prefix"), (F.col("c") > plan.hot).alias("large")), "prefixes")
+    met = Table(fetched.df.join(prefixes.df, F.col("g") == F.col("prefix")).drop("prefix"), "met", compression="zstd")
+    fetched.drop()
+    groups = met.df.where("not large").repartition(parts, "g").sortWithinPartitions("g", "h", "s")
+    masks = groups.mapInArrow(_compare(plan), "h long, s long, mask long")
     # groups of one full prefix each: a node as deep as a window, its leaves counted before they meet
-    rest = prefixed.df.where("large is not null").select("k1", "k2", "h", "s", "base", "doc", "n")
-    nodes = Table(rest.groupBy("k1", "k2").agg(F.min("doc").alias("low"), F.sum("n").alias("total")), "nodes")
+    single = met.df.where("large").drop("g", "large").mapInArrow(_single(plan), "k1 long, k2 long, h long, s long, base int, doc long, n long")
+    nodes = Table(single.groupBy("k1", "k2").agg(F.min("doc").alias("low"), F.sum("n").alias("total")), "nodes")
     repeated = F.col("total") > 1 if plan.anywhere else F.col("low") < F.col("doc")
-    deep = rest.join(nodes.df, ["k1", "k2"]).where(repeated).select("h", "s", F.expr("shiftleft(1L, base)").alias("mask"))
+    deep = single.join(nodes.df, ["k1", "k2"]).where(repeated).select("h", "s", F.expr("shiftleft(1L, base)").alias("mask"))
     found = Table(masks.union(deep).groupBy("h", "s").agg(F.bit_or("mask").alias("mask")), "masks")
-    for table in (fetched, shared, large, prefixed, nodes):
+    for table in (shared, prefixes, met, nodes):
         table.drop()
 
     telling = segments.df.join(found.df, ["h", "s"], "left").select("h", "s", F.col("doc").alias("low"), "again", F.coalesce("mask", F.lit(0)).alias("mask")).where("mask <> 0 or again")

@@ -17,8 +17,6 @@ from . import _repeats
 
 WIDTH = 50
 GRAM = 16
-#: Bytes of the longer prefixes that split the suffixes of a frequent gram.
-DEEPER = 32
 #: Hashes of the byte values: a fixed pseudo-random table from a rule.
 TABLE = _repeats.mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(_repeats.BASE))
 
@@ -137,7 +135,7 @@ def compare(segments: list[bytes], windows: np.ndarray, doc: np.ndarray, n: np.n
 
 
 PLAN = _repeats.Plan(
-    width=WIDTH, gram=GRAM, deeper=DEEPER, encode=str.encode, hashed=lambda b: TABLE[np.frombuffer(b, np.uint8)], size=1, spread=16, anywhere=False, compare=compare
+    width=WIDTH, gram=GRAM, encode=str.encode, hashed=lambda b: TABLE[np.frombuffer(b, np.uint8)], size=1, spread=16, anywhere=False, compare=compare
 )
 
 

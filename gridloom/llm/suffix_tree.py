@@ -1,9 +1,10 @@
 """Substring dedup of word sequences by prefix-partitioned suffix trees.
 
-``_repeats`` brings suffixes that may repeat together and splits them into groups that fit in memory: by a common gram, and, where
-that leads to too many, by prefixes of 16 and of 35 words. Over each group stands one suffix tree, cut at the depth of a window:
-suffixes are ranked by prefixes of 1, 2, 4, ... words, common prefixes of neighbours follow from the ranks, and a stack turns
-them into internal nodes. The suffixes below a node as deep as a window, and leaves of several equal suffixes, are what repeats.
+``_repeats`` brings suffixes that may repeat together and splits them into groups that fit in memory, by a common gram and half
+of the rest of a window, and, where that leads to too many, by prefixes of 35 words. Over each group stands one suffix tree, cut
+at the depth of a window: suffixes are ranked by prefixes of 1, 2, 4, ... words, common prefixes of neighbours follow from the
+ranks, and a stack turns them into internal nodes. The suffixes below a node as deep as a window, and leaves of several equal
+suffixes, are what repeats.
 """
 
 from __future__ import annotations
@@ -18,8 +19,6 @@ from . import _repeats
 
 WIDTH = 35
 GRAM = 8
-#: Words of the longer prefixes that split the suffixes of a frequent gram.
-DEEPER = 16
 
 
 def encode(text: str) -> bytes:
@@ -114,7 +113,7 @@ def _finish(text: str, flags: np.ndarray | None) -> list:
     return [len(words), len(words) - len(kept), b" ".join(kept).decode()]
 
 
-PLAN = _repeats.Plan(width=WIDTH, gram=GRAM, deeper=DEEPER, encode=encode, hashed=lambda b: np.frombuffer(b, np.uint64), size=8, spread=84, anywhere=True, compare=compare)
+PLAN = _repeats.Plan(width=WIDTH, gram=GRAM, encode=encode, hashed=lambda b: np.frombuffer(b, np.uint64), size=8, spread=84, anywhere=True, compare=compare)
 
 
 def drop_repeats(docs: DataFrame) -> DataFrame:

@@ -128,9 +128,9 @@ def test_equal_windows_pick_equal_anchors():
     h, s, d, first, count = _repeats.anchors(_repeats.mix(np.concatenate(docs)), ends, 50, 20)
     window = defaultdict(set)
     for k in range(len(h)):
-        for o in range(count[k]):
+        for o in range(count[k] & 255):
             window[docs[d[k]][first[k] + o : first[k] + o + 50].tobytes()].add(h[k])
-    assert sum(count) == sum(max(0, len(x) - 49) for x in docs)
+    assert sum(count & 255) == sum(max(0, len(x) - 49) for x in docs)
     assert all(len(v) == 1 for v in window.values())
 
 
