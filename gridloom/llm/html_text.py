@@ -10,6 +10,7 @@ from __future__ import annotations
 import html
 import re
 import sys
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -18,8 +19,6 @@ from pyspark.sql import DataFrame
 from ._base import slices
 
 CHUNK_BYTES = 4 << 20
-#: Elements nested deeper than this become siblings, as in browsers.
-DEPTH = 200
 # Element sets of the HTML standard
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
@@ -53,21 +52,27 @@ ENDS = {
 
 TAG = re.compile(r"""<!--(?:>|->|.*?(?:--!?>|\Z))|<(/?)([A-Za-z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?/][^>]*(?:>|\Z)|<[A-Za-z][^>]*\Z""", re.S)
 ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+#: Where the text of an element of ``RAW`` ends.
+RAW_END = {t: re.compile(f"</{t}(?=[\\s/>]|\\Z)", re.I | re.A) for t in RAW}
 SPACE = re.compile(r"[ \t\n\r\f]+")
-HIDDEN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))\b", re.I)
+SHOWING = re.compile(r"(?:^|;)\s*(display|visibility)\s*:\s*([\w-]+)[^;!]*(!\s*important)?", re.I)
 CSS_COMMENT = re.compile(r"/\*.*?(?:\*/|\Z)|<!--|-->", re.S)
 CSS_MARK = re.compile(r"""[{};]|"(?:\\.|[^"\\\n])*"|'(?:\\.|[^'\\\n])*'""", re.S)
 AT_RULE = re.compile(r"@([\w-]+)\s*(.*)", re.S)
 #: A media query that every screen meets; with a condition on its size or the like, some screens show the text.
 SCREEN = re.compile(r"(?:(?:only\s+)?(?:all|screen)|not\s+(?!all\b|screen\b)[\w-]+)?\Z", re.I)
-SIMPLE = re.compile(r"[.#]?[A-Za-z_][\w-]*\Z")
+COMPOUND = re.compile(r"(\*|[A-Za-z][\w-]*)?((?:[.#]-?[A-Za-z_][\w-]*)*)\Z")
+PART = re.compile(r"[.#][\w-]+")
+INHERITED = ("inherit", "unset", "revert")
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "kids")
+    """An element; ``gone``: it and all in it are not rendered; ``veiled``: its own text is not."""
+
+    __slots__ = ("tag", "attrs", "kids", "gone", "veiled")
 
     def __init__(self, tag: str, attrs: str = ""):
-        self.tag, self.attrs, self.kids = tag, attrs, []
+        self.tag, self.attrs, self.kids, self.gone, self.veiled = tag, attrs, [], False, False
 
     def get(self) -> dict[str, str]:
         if not self.attrs:
@@ -89,55 +94,158 @@ def _applies(at_rule: str) -> bool:
     return name == "layer" or (name == "media" and _screen(rest)) or (name == "supports" and not rest.lower().startswith("not"))
 
 
-def hides(css: str) -> set[str]:
-    """The simple selectors of rules that hide on every screen; rules nested in others, which hold for some elements only, do not."""
-    out: set[str] = set()
-    css = CSS_COMMENT.sub("", css)
-    css += "}" * css.count("{")
-    # of each open block: whether its rules count, its selectors if it is a rule, its declarations
-    open_: list[tuple[bool, str, list[str]]] = [(True, "", [])]
-    start = 0
-    for m in CSS_MARK.finditer(css):
-        if m[0] not in "{};":
-            continue
-        part, start = css[start : m.start()].strip(), m.end()
-        if m[0] == "{":
-            if part.startswith("@"):
-                open_.append((open_[-1][0] and _applies(part), "", []))
-            else:
-                open_.append((False, part if open_[-1][0] else "", []))
-            continue
-        open_[-1][2].append(part)
-        if m[0] == "}" and len(open_) > 1:
-            _, names, body = open_.pop()
-            if names and HIDDEN.search(";".join(body)):
-                out.update(s for s in (x.strip() for x in names.split(",")) if SIMPLE.match(s))
-    return out
+class Styles:
+    """The rules on display and visibility that hold on every screen, by what the last part of their selectors names.
 
+    Selectors are made of tags, classes and ids, joined by blanks and ``>``; rules with others are left out, as are those nested
+    in rules, which hold for some elements only.
+    """
 
-def parse(page: str) -> tuple[Node, set[str]]:
-    """The tree of a page, with implied tags, and the simple selectors (tag, .class, #id) that its styles hide."""
+    def __init__(self):
+        self.rules: dict[str, list[tuple]] = {}
+        self.n = 0
+
+    def read(self, css: str) -> None:
+        css = CSS_COMMENT.sub("", css)
+        css += "}" * css.count("{")
+        # of each open block: whether its rules count, its selectors if it is a rule, its declarations
+        open_: list[tuple[bool, str, list[str]]] = [(True, "", [])]
+        start = 0
+        for m in CSS_MARK.finditer(css):
+            if m[0] not in "{};":
+                continue
+            part, start = css[start : m.start()].strip(), m.end()
+            if m[0] == "{":
+                if part.startswith("@"):
+                    open_.append((open_[-1][0] and _applies(part), "", []))
+                else:
+                    open_.append((False, part if open_[-1][0] else "", []))
+                continue
+            open_[-1][2].append(part)
+            if m[0] == "}" and len(open_) > 1:
+                _, names, body = open_.pop()
+                if names and (found := SHOWING.findall(";".join(body))):
+                    for name in names.split(","):
+                        self._add(name.strip(), found)
+
+    def _add(self, selector: str, found: list[tuple[str, str, str]]) -> None:
+        steps, ids, classes, tags, direct = [], 0, 0, 0, False
+        for word in selector.replace(">", " > ").split():
+            if word == ">":
+                direct = True
+                continue
+            m = COMPOUND.match(word)
+            if m is None:
+                return
+            parts = PART.findall(m[2])
+            tag = (m[1] or "*").lower()
+            ids, classes, tags = ids + sum(p[0] == "#" for p in parts), classes + sum(p[0] == "." for p in parts), tags + (tag != "*")
+            steps.append((tag, frozenset(parts), direct))
+            direct = False
+        if not steps:
+            return
+        tag, parts, _ = steps[-1]
+        self.n += 1
+        for prop, value, important in found:
+            rank = (bool(important), False, ids, classes, tags, self.n)
+            self.rules.setdefault(min(parts, default=tag), []).append((steps, prop.lower(), rank, value.lower()))
+            self.n += 1
+
+    def of(self, path: list[tuple[str, frozenset]], inline: str) -> dict[str, str]:
+        """display and visibility as the rules and a style attribute set them for the element at the end of ``path``."""
+        best: dict[str, tuple] = {}
+        tag, parts = path[-1]
+        for key in ("*", tag, *parts):
+            for steps, prop, rank, value in self.rules.get(key, ()):
+                if (prop not in best or best[prop][0] < rank) and _matches(steps, path):
+                    best[prop] = (rank, value)
+        for k, (prop, value, important) in enumerate(SHOWING.findall(inline)):
+            rank = (bool(important), True, 0, 0, 0, k)
+            if prop.lower() not in best or best[prop.lower()][0] < rank:
+                best[prop.lower()] = (rank, value.lower())
+        return {prop: value for prop, (_, value) in best.items()}
+
+
+def _fits(step: tuple, element: tuple[str, frozenset]) -> bool:
+    return step[0] in ("*", element[0]) and step[1] <= element[1]
+
+
+def _matches(steps: list[tuple], path: list[tuple[str, frozenset]]) -> bool:
+    """Whether the last element of ``path`` meets the selector: each step stands in the path, the last one at its end."""
+    if not _fits(steps[-1], path[-1]):
+        return False
+    # places where the step at hand may stand, from the last one back
+    at = {len(path) - 1}
+    for k in range(len(steps) - 2, -1, -1):
+        if steps[k + 1][2]:
+            at = {i - 1 for i in at if i and _fits(steps[k], path[i - 1])}
+        else:
+            top = max(at)
+            at = {i for i in range(top) if _fits(steps[k], path[i])}
+        if not at:
+            return False
+    return True
+
+
+def show(root: Node, styles: Styles) -> int:
+    """Mark what is gone and what is veiled in the tree; its depth."""
+    path: list[tuple[str, frozenset]] = []
+    todo: list[tuple[Node, int, bool, bool]] = [(root, 0, False, False)]
+    deepest = 0
+    while todo:
+        node, depth, veiled, drawn = todo.pop()
+        deepest = max(deepest, depth)
+        del path[depth:]
+        attrs = node.get()
+        names = frozenset("." + c for c in attrs.get("class", "").split()) | ({"#" + attrs["id"]} if attrs.get("id") else set())
+        path.append((node.tag, names))
+        drawn = drawn or node.tag == "svg"
+        set_ = styles.of(path, attrs.get("style", "")) if styles.rules or "style" in attrs else {}
+        display = set_.get("display") or (attrs.get("display", "").lower() if drawn else "")
+        if not display or display in INHERITED:
+            closed = "hidden" in attrs or (node.tag == "dialog" and "open" not in attrs)
+            display = "none" if closed else ""
+        node.gone = node.tag in UNSEEN or display == "none" or (node.tag == "input" and attrs.get("type", "").lower() == "hidden")
+        visibility = set_.get("visibility") or (attrs.get("visibility", "").lower() if drawn else "")
+        node.veiled = veiled if not visibility or visibility in INHERITED else visibility in ("hidden", "collapse")
+        if not node.gone:
+            todo += [(kid, depth + 1, node.veiled, drawn) for kid in node.kids if not isinstance(kid, str)]
+    return deepest
+
+
+def parse(page: str) -> tuple[Node, Styles]:
+    """The tree of a page, with implied tags, and its styles. Elements may be nested to any depth."""
     root = Node("html")
     open_ = [root]
-    hidden: set[str] = set()
-    at, low = 0, None
+    held: Counter[str] = Counter()  # open elements by tag
+    styles = Styles()
+    at = 0
+
+    def drop(i: int) -> None:
+        held.subtract(n.tag for n in open_[i:])
+        del open_[i:]
 
     def close(targets: frozenset, stops: frozenset) -> None:
+        if not any(held[t] for t in targets):
+            return
         for i in range(len(open_) - 1, 0, -1):
             if open_[i].tag in targets:
-                del open_[i:]
+                drop(i)
                 return
             if open_[i].tag in stops:
                 return
 
     def foreign() -> bool:
         """Whether the innermost of these is svg or math, where a slash ends an element."""
+        if not held["svg"] and not held["math"]:
+            return False
         return next((n.tag for n in reversed(open_) if n.tag in ("svg", "math", "foreignobject")), "foreignobject") != "foreignobject"
 
     def put(node: Node, holds: bool = True) -> None:
         open_[-1].kids.append(node)
-        if holds and len(open_) < DEPTH:
+        if holds:
             open_.append(node)
+            held[node.tag] += 1
 
     while (m := TAG.search(page, at)) is not None:
         if m.start() > at:
@@ -162,11 +270,11 @@ def parse(page: str) -> tuple[Node, set[str]]:
                     put(Node(tag, m[3]))
             continue
         if open_[-1].tag == "head" and tag not in HEAD_ONLY:
-            open_.pop()
+            drop(len(open_) - 1)
         if tag in CLOSES_P:
             close(frozenset(("p",)), SCOPE)
         if tag in HEADINGS and open_[-1].tag in HEADINGS:
-            open_.pop()
+            drop(len(open_) - 1)
         if tag in ENDS:
             close(*ENDS[tag])
         if tag in ("td", "th") and open_[-1].tag in ("table", "tbody", "thead", "tfoot"):
@@ -174,31 +282,17 @@ def parse(page: str) -> tuple[Node, set[str]]:
         node = Node(tag, m[3])
         put(node, tag not in VOID and not (m[3].endswith("/") and (tag in ("svg", "math") or foreign())))
         if tag in RAW and open_[-1] is node:
-            low = low or page.lower()
-            end = low.find("</" + tag, at)
-            text = page[at:] if end < 0 else page[at:end]
-            at = len(page) if end < 0 else end
+            end = RAW_END[tag].search(page, at)
+            text = page[at : end.start()] if end else page[at:]
+            at = end.start() if end else len(page)
             if tag == "style":
                 if _screen(node.get().get("media", "")):
-                    hidden |= hides(text)
+                    styles.read(text)
             elif tag == "textarea":
                 node.kids.append(text)
     if at < len(page):
         open_[-1].kids.append(page[at:])
-    return root, hidden
-
-
-def _unseen(node: Node, hidden: set[str]) -> bool:
-    if node.tag in UNSEEN or node.tag in hidden:
-        return True
-    if not node.attrs:
-        return False
-    attrs = node.get()
-    if "hidden" in attrs or HIDDEN.search(attrs.get("style", "")) or (node.tag == "input" and attrs.get("type", "").lower() == "hidden"):
-        return True
-    if node.tag == "dialog" and "open" not in attrs:
-        return True
-    return bool(hidden) and ("#" + attrs.get("id", "") in hidden or any("." + c in hidden for c in attrs.get("class", "").split()))
+    return root, styles
 
 
 class Lines:
@@ -247,10 +341,10 @@ def _number(value: str | None, other: int) -> int:
     return int(m[0]) if value and (m := re.match(r"\s*-?\d{1,9}", value)) else other
 
 
-def render(node: Node, hidden: set[str], pre: bool = False) -> list[str]:
+def render(node: Node, pre: bool = False) -> list[str]:
     """The lines of a block element."""
     out = Lines()
-    _fill(out, node, hidden, pre)
+    _fill(out, node, pre)
     out.end(raw=pre)
     while out.done and not out.done[-1]:
         out.done.pop()
@@ -259,7 +353,7 @@ def render(node: Node, hidden: set[str], pre: bool = False) -> list[str]:
     return out.done
 
 
-def _fill(out: Lines, node: Node, hidden: set[str], pre: bool) -> None:
+def _fill(out: Lines, node: Node, pre: bool) -> None:
     number = None
     if node.tag in LISTS:
         number = _number(node.get().get("start"), 1) if node.tag == "ol" else None
@@ -267,94 +361,105 @@ def _fill(out: Lines, node: Node, hidden: set[str], pre: bool) -> None:
     for kid in node.kids:
         if isinstance(kid, str):
             if not closed:
-                out.text(kid, pre)
+                # what is veiled keeps its place
+                out.text(" " if node.veiled else kid, pre and not node.veiled)
             continue
         tag = kid.tag
-        if tag == "br":
-            out.end(keep=True, raw=pre)
-        elif _unseen(kid, hidden) or (closed and tag != "summary"):
+        if kid.gone or (closed and tag != "summary"):
             continue
+        elif tag == "br":
+            if not kid.veiled:
+                out.end(keep=True, raw=pre)
         elif tag == "hr":
-            out.block(["---"], True)
+            if not kid.veiled:
+                out.block(["---"], True)
         elif tag == "li":
             mark = "- "
             if number is not None:
                 number = _number(kid.get().get("value"), number)
                 mark, number = f"{number}. ", number + 1
-            lines = render(kid, hidden, pre) or [""]
+            lines = render(kid, pre)
+            if kid.veiled:
+                out.block(lines, False)
+                continue
+            lines = lines or [""]
             out.block([(mark if i == 0 else " " * len(mark)) + x if x or not i else "" for i, x in enumerate(lines)], False)
         elif tag == "table":
-            out.block(_table(kid, hidden, pre), True)
+            out.block(_table(kid, pre), True)
         elif tag in ("blockquote", "dd"):
-            out.block([("  " + x) if x else "" for x in render(kid, hidden, pre)], tag in SPACED)
+            out.block([("  " + x) if x else "" for x in render(kid, pre)], tag in SPACED)
         elif tag in BLOCK:
             inside = node.tag == "li" and tag in LISTS
-            out.block(render(kid, hidden, pre or tag in ("pre", "listing", "plaintext", "xmp")), tag in SPACED and not inside)
+            out.block(render(kid, pre or tag in ("pre", "listing", "plaintext", "xmp")), tag in SPACED and not inside)
         elif tag == "input":
+            if kid.veiled:
+                continue
             attrs = kid.get()
             if attrs.get("type", "text").lower() in ("submit", "button", "reset", "text", "search"):
                 out.text(html.escape(" " + attrs.get("value", "") + " ", quote=False), pre)
         elif tag == "svg":
-            _svg(out, kid, hidden, pre)
+            _svg(out, kid, pre)
         elif tag == "math":
-            _math(out, kid, hidden)
+            _math(out, kid)
         elif tag == "q":
-            out.now.append('"')
-            _fill(out, kid, hidden, pre)
-            out.now.append('"')
+            mark = "" if kid.veiled else '"'
+            out.now.append(mark)
+            _fill(out, kid, pre)
+            out.now.append(mark)
         else:
-            _fill(out, kid, hidden, pre)
+            _fill(out, kid, pre)
 
 
-def _svg(out: Lines, node: Node, hidden: set[str], pre: bool, shown: bool = False) -> None:
+def _svg(out: Lines, node: Node, pre: bool, shown: bool = False) -> None:
     """The text elements of a drawing and the HTML in it, spaces around each; other character data is not drawn."""
     for kid in node.kids:
         if isinstance(kid, str):
-            if shown:
+            if shown and not node.veiled:
                 out.text(kid, False)
             continue
-        attrs = kid.get()
-        if kid.tag in SVG_UNSEEN or _unseen(kid, hidden) or attrs.get("display") == "none" or attrs.get("visibility") in ("hidden", "collapse"):
+        if kid.tag in SVG_UNSEEN or kid.gone:
             continue
         if kid.tag == "foreignobject":
-            out.block(render(kid, hidden, pre), False)
+            out.block(render(kid, pre), False)
         elif kid.tag == "text":
             out.text(" ", False)
-            _svg(out, kid, hidden, pre, True)
+            _svg(out, kid, pre, True)
             out.text(" ", False)
         else:
-            _svg(out, kid, hidden, pre, shown)
+            _svg(out, kid, pre, shown)
 
 
-def _math(out: Lines, node: Node, hidden: set[str]) -> None:
+def _math(out: Lines, node: Node) -> None:
     """A formula in one line."""
     between, n = MATH_BETWEEN.get(node.tag, ""), 0
     for kid in node.kids:
         if isinstance(kid, str):
-            out.text(kid.strip() if between else kid, False)
+            if not node.veiled:
+                out.text(kid.strip() if between else kid, False)
             continue
-        if kid.tag in MATH_UNSEEN or _unseen(kid, hidden):
+        if kid.tag in MATH_UNSEEN or kid.gone:
             continue
         if between and n:
             out.text(between[min(n, len(between)) - 1], False)
         n += 1
-        _math(out, kid, hidden)
+        _math(out, kid)
 
 
-def _rows(node: Node, hidden: set[str]) -> tuple[list[Node], list[Node]]:
+def _rows(node: Node) -> tuple[list[Node], list[Node]]:
     """Rows and everything else (captions, stray content) of a table."""
     rows, other = [], []
     for kid in node.kids:
         if isinstance(kid, str):
             if kid.strip():
                 stray = Node("span")
+                stray.veiled = node.veiled
                 stray.kids.append(kid)
                 other.append(stray)
-        elif not _unseen(kid, hidden):
+        elif not kid.gone:
             if kid.tag == "tr":
                 rows.append(kid)
             elif kid.tag in ("thead", "tbody", "tfoot"):
-                more, rest = _rows(kid, hidden)
+                more, rest = _rows(kid)
                 rows += more
                 other += rest
             else:
@@ -362,12 +467,12 @@ def _rows(node: Node, hidden: set[str]) -> tuple[list[Node], list[Node]]:
     return rows, other
 
 
-def _table(node: Node, hidden: set[str], pre: bool) -> list[str]:
+def _table(node: Node, pre: bool) -> list[str]:
     """Captions and stray content first, then the rows, cells padded to their columns and two spaces apart."""
-    rows, other = _rows(node, hidden)
+    rows, other = _rows(node)
     before = Node("div")
     before.kids = other
-    lines = render(before, hidden, pre) if other else []
+    lines = render(before, pre) if other else []
     grid: list[list[tuple[int, int, list[str]]]] = []
     taken: dict[int, int] = {}
     for row in rows:
@@ -376,16 +481,17 @@ def _table(node: Node, hidden: set[str], pre: bool) -> list[str]:
             if isinstance(kid, str):
                 if kid.strip():
                     kid, text = Node("td"), kid
+                    kid.veiled = row.veiled
                     kid.kids.append(text)
                 else:
                     continue
-            if _unseen(kid, hidden):
+            if kid.gone:
                 continue
             while taken.get(col, 0):
                 col += 1
             attrs = kid.get()
             wide, high = min(max(_number(attrs.get("colspan"), 1), 1), 1000), min(max(_number(attrs.get("rowspan"), 1), 1), 65534)
-            cells.append((col, wide, render(kid, hidden, pre)))
+            cells.append((col, wide, render(kid, pre)))
             for c in range(col, col + wide):
                 if high > 1:
                     taken[c] = high
@@ -417,8 +523,10 @@ def extract(page: str | None) -> str:
     """The visible text of a page, lines joined by \\n; null and empty pages give an empty text."""
     if not page:
         return ""
-    tree, hidden = parse(page)
-    return "\n".join(render(tree, hidden))
+    tree, styles = parse(page)
+    # Python's own calls take no C stack: two or three for each level of the tree
+    sys.setrecursionlimit(max(sys.getrecursionlimit(), 4 * show(tree, styles) + 1000))
+    return "\n".join(render(tree))
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:
@@ -429,7 +537,6 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     plain = pages.select("page_id", "url", "html")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sys.setrecursionlimit(max(sys.getrecursionlimit(), 10 * DEPTH))
         for part in slices(batches, "html", CHUNK_BYTES):
             texts = pa.array([extract(x) for x in part.column("html").to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), texts], names=["page_id", "url", "text"])

@@ -132,3 +132,71 @@ def test_text_of_drawings_and_formulas():
 
     page = "<p>see <svg><title>T</title><defs><text>no</text></defs><desc>D</desc><desc/>stray<rect width='3'/><g><text>Axis <tspan>one</tspan></text><text>two</text><text display='none'>no</text></g></svg> and <math><mi>x</mi><mo>=</mo><mfrac><mn>1</mn> <mn>2</mn></mfrac><msubsup><mi>y</mi><mi>i</mi><mn>3</mn></msubsup><annotation>tex</annotation></math>.</p>"
     assert extract(page) == "see Axis one two and x=1/2y_i^3."
+
+
+def test_rules_win_by_weight_and_order():
+    extract = html_text.extract
+    for css, want in (
+        (".a{display:none}.a{display:block}", "x"),
+        (".a{display:block}.a{display:none}", ""),
+        ("#i{display:block} .a{display:none}", "x"),
+        ("p.a{display:none} .a{display:block}", ""),
+        (".a{display:none!important} #i{display:block}", ""),
+        ("div .a{display:none}", ""),
+        ("section .a{display:none}", "x"),
+        ("div > p{display:none}", ""),
+        ("body > p{display:none}", "x"),
+        (".a:hover{display:none} .a[x]{display:none}", "x"),
+    ):
+        assert extract(f"<style>{css}</style><body><div><p class=a id=i>x</p></div>") == want, css
+    assert extract("<style>.a{display:none}</style><p class=a style='display:block'>x") == "x"
+    assert extract("<div style='visibility:hidden'>no <b style='visibility:visible'>yes</b> no<ul><li>no<li style='visibility:visible'>two</ul></div>") == "yes\n\n- two"
+    assert extract("<style>p{display:block}</style><p hidden>x") == "x"
+    assert extract("<table><tr><td>a<td style='visibility:hidden'>long cell<td>c").split() == ["a", "c"]
+
+
+def test_offsets_and_depth():
+    extract = html_text.extract
+    assert extract("\u0130" * 20 + "<script>no</script>rest<STYLE>no</Style> end<script>no</scriptx></script>!") == "\u0130" * 20 + "rest end!"
+    for n in (250, 20_000):
+        assert extract("<div>" * n + "<p hidden>no</p><i style='display:none'>no</i>yes" + "</div>" * n + "out") == "yes\nout"
+        assert extract("<b>" * n + "x" + "</b>" * n + "y") == "xy"
+
+
+def test_visibility_against_a_tree_of_its_own():
+    """Random trees, written as pages and judged by the same rules without any parsing."""
+    r = random.Random(9)
+    css = {"g": "display:none", "b": "display:block", "v": "visibility:hidden", "s": "visibility:visible"}
+    for _ in range(300):
+        order = r.sample(sorted(css), 4)
+        n = [0]
+
+        def build(depth):
+            out = []
+            for _ in range(r.randrange(1, 4)):
+                if depth == 6 or r.random() < 0.4:
+                    n[0] += 1
+                    out.append(f"w{n[0]}")
+                else:
+                    out.append((r.choice(["div", "span", "p", "li", "section", "b"]) if depth == 0 else r.choice(["span", "b", "i"]), r.sample("gbvs", r.choice([0, 0, 1, 2])), r.random() < 0.1, r.choice([None, None, None, "display:none", "visibility:visible", "display:inline"]), build(depth + 1)))
+            return out
+
+        def write(kids):
+            return " ".join(k if isinstance(k, str) else f"<{k[0]} class='{' '.join(k[1])}'{' hidden' if k[2] else ''}{f' style={k[3]}' if k[3] else ''}>{write(k[4])}</{k[0]}>" for k in kids)
+
+        def seen(kids, veiled):
+            for k in kids:
+                if isinstance(k, str):
+                    if not veiled:
+                        yield k
+                    continue
+                rules = [css[c] for c in order if c in k[1]] + [k[3] or ""]
+                display = [x.split(":")[1] for x in rules if x.startswith("display")]
+                sight = [x.split(":")[1] for x in rules if x.startswith("visibility")]
+                if (display[-1] == "none") if display else k[2]:
+                    continue
+                yield from seen(k[4], sight[-1] == "hidden" if sight else veiled)
+
+        tree = build(0)
+        page = "<style>" + " ".join(f".{c}{{{css[c]}}}" for c in order) + "</style><body>" + write(tree)
+        assert [w for w in html_text.extract(page).split() if w != "-"] == list(seen(tree, False)), page
