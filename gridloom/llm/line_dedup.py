@@ -190,7 +190,12 @@ def build_index(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_
     index = Table(dealt.mapInArrow(_index, "shard int, displace binary, prints binary, counts binary"), "line-index")
     rows = index.df.select("shard", F.col("_metadata.file_path").alias("path")).collect()
     frequent.drop()
-    return Index({r.shard: re.sub("^file:/+", "file:///", r.path) for r in rows}, shards, min_docs, min_chars)
+    return Index({r.shard: _readable(r.path) for r in rows}, shards, min_docs, min_chars)
+
+
+def _readable(path: str) -> str:
+    """A file's address as pyarrow writes it: Hadoop has other names for some stores."""
+    return re.sub("^s3[an]:", "s3:", re.sub("^file:/+", "file:///", path))
 
 
 def drop_frequent(texts: list, index: Index) -> tuple[list[int], list[int], list[str]]:
@@ -233,15 +238,17 @@ def op6(docs: DataFrame) -> DataFrame:
 
 
 SQL = """
-WITH lines AS (
-  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos
-  FROM documents
+WITH docs AS (
+  SELECT row_number() OVER () AS row, doc_id, text FROM documents
+), lines AS (
+  SELECT row, doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos
+  FROM docs
 ), keyed AS (
   SELECT *, translate(trim(line, concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13))), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM lines
 ), frequent AS (
-  SELECT key FROM keyed WHERE key <> '' GROUP BY key HAVING count(DISTINCT doc_id) >= 10
+  SELECT key FROM keyed WHERE key <> '' GROUP BY key HAVING count(DISTINCT row) >= 10
 )
 SELECT doc_id, count(*) AS n_lines, count(f.key) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE f.key IS NULL), '')) AS kept_sha256
-FROM keyed LEFT JOIN frequent f USING (key) GROUP BY doc_id
+FROM keyed LEFT JOIN frequent f USING (key) GROUP BY row, doc_id
 """

@@ -209,6 +209,10 @@ def op7(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """``docs`` without the near-duplicates of a document with a smaller id: the least id of each component stays."""
-    classes = near_duplicates(docs).where("doc_id is null or doc_id = component_id").select("doc_id").distinct()
-    return docs.join(classes.hint("shuffle_hash"), docs.doc_id.eqNullSafe(classes.doc_id), "left_semi")
+    """``docs`` with one row of each component: that with the least id, null ids last; rows get a key of their own, so repeated and
+    null ids count as any other."""
+    keyed = write(docs.withColumn("__row", F.monotonically_increasing_id()), "keyed")
+    found = near_duplicates(keyed, id_col="__row").select(F.col("doc_id").alias("__row"), F.col("component_id").alias("root"))
+    order = F.struct(F.isnull("doc_id").alias("none"), "doc_id", "__row")
+    kept = write(found.join(keyed.select("__row", "doc_id"), "__row").groupBy("root").agg(F.min(order).alias("first")).select("first.__row"), "kept")
+    return keyed.join(kept.hint("shuffle_hash"), "__row", "left_semi").select(docs.columns)
