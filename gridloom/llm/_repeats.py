@@ -420,9 +420,15 @@ def find(texts: Texts, plan: Plan) -> Table:
     grams.drop()
     places = known.df.withColumn("doc", F.col("row" if unique else "doc"))
 
-    equal = places.groupBy("h", "s").agg(F.min(F.struct("doc", "row", "loc")).alias("first"), F.max("doc").alias("high"), F.count("*").alias("n"))
+    by = places.groupBy("h", "s")
+    ends = (F.max("doc").alias("high"), F.count("*").alias("n"))
+    if unique:
+        # numbers only, which are aggregated by hashing; any place in the least document will do
+        equal = by.agg(F.min("row").alias("row"), F.min_by("loc", "row").alias("loc"), *ends).withColumn("doc", F.col("row"))
+    else:
+        equal = by.agg(F.min(F.struct("doc", "row", "loc")).alias("first"), *ends).select("h", "s", "first.*", "high", "n")
     again = F.col("n") > 1 if plan.anywhere else F.col("doc") < F.col("high")
-    segments = Table(equal.select("h", "s", "first.*", "high", "n").withColumn("again", again).drop("high"), "segments", compression="zstd")
+    segments = Table(equal.withColumn("again", again).drop("high"), "segments", compression="zstd")
     groups = segments.df.groupBy("h").agg(F.count("*").alias("segments")).where("segments > 1")
     # written, so that both sides of the joins below come straight from a shuffle and a hot key's rows are split
     shared = Table(groups.select(F.col("h").alias("gram")), "shared")

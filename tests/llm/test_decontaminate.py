@@ -1,3 +1,5 @@
+import random
+
 import corpus_pipeline
 from gridloom.llm import decontaminate as d
 
@@ -14,13 +16,55 @@ def test_catches_verbatim_and_reparameterised(spark):
     rows = [(1, "Intro text here. " + ITEM + " and more", 0), (2, ALIKE, 0), (3, BROKEN, 0), (4, "the way home was long and the brother of them had lunch", 0), (5, None, 0), (6, "", 0), (None, ITEM, 0), (1, "Intro text here. " + ITEM + " and more", 0), (7, ITEM.split("and then")[0] * 9000, 0)]
     docs, items = tables(spark, rows, [(9, ITEM, "x"), (10, "too short", "x"), (None, ITEM, "x"), (11, None, "x")])
     got = {(r.doc_id, r.item_id): r for r in d.op5(docs, items).collect()}
-    assert set(got) == {(1, 9), (2, 9)}
+    assert set(got) == {(1, 9), (2, 9), (3, 9), (None, 9)}
     assert got[1, 9].verbatim and got[1, 9].n_matched == got[1, 9].n_windows
     assert not got[2, 9].verbatim and got[2, 9].n_slots > 2
     shuffled = {(r.doc_id, r.item_id) for r in d.contaminated(docs, items, most=0).collect()}
     assert shuffled == set(got)
     kept = d.drop_contaminated(docs, items)
-    assert kept.columns == docs.columns and sorted(str(r.doc_id) for r in kept.collect()) == ["3", "4", "5", "6", "7", "None"]
+    assert kept.columns == docs.columns and sorted(str(r.doc_id) for r in kept.collect()) == ["4", "5", "6", "7"]
+
+
+def test_slots_go_by_place_and_names_by_name(spark):
+    item = "we know that 12 apples cost 12 dollars and that Anna met Otto when Anna came to see Otto because Anna liked Otto very much"
+    numbers = item.replace("12 apples", "40 apples").replace("12 dollars", "9 dollars")
+    inserted = item.replace("cost", "always cost").replace("12", "77").replace("Anna", "Berta")
+    mixed = "we know that Anna met Karl when Emil came to see Lena because Rolf liked Sven very much"
+    docs, bench = tables(spark, [(1, numbers, 0), (2, inserted, 0), (3, mixed, 0)], [(1, item, "x"), (2, "we know that Anna met Otto when Anna came to see Otto because Anna liked Otto very much", "x")])
+    got = {(r.doc_id, r.item_id): r for r in d.op5(docs, bench).collect()}
+    assert {(1, 1), (2, 1)} <= set(got) and not {k for k in got if k[0] == 3}
+
+
+def test_recall_on_reparameterised_items(spark):
+    r = random.Random(4)
+    nouns = "apples boats coins doors eggs forks gloves hats".split()
+    verbs = "buys sells paints counts carries".split()
+    people = "Anna Berta Clara Dora Emil Fritz Greta Hans Ida Jon".split()
+
+    def item(values):
+        n, p, noun, verb, place = values
+        return f"on a sunny day {p[0]} {verb} {n[0]} {noun} for {n[1]} dollars at the {place} and later {p[0]} meets {p[1]} who has {n[2]} more {noun} so how many {noun} do they hold after {n[3]} hours"
+
+    def values():
+        return [r.randrange(2, 99) for _ in range(4)], r.sample(people, 2)
+
+    fixed = [(r.choice(nouns), r.choice(verbs), r.choice("market harbour school bakery".split())) for _ in range(40)]
+    bench = [(k, item((*values(), *f)), "x") for k, f in enumerate(fixed)]
+    rows = [(k, "some words before. " + item((*values(), *f)) + " and some after", 0) for k, f in enumerate(fixed)]
+    rows += [(1000 + k, f"on a cloudy night {people[k % 10]} reads {k} books about the harbour and later sleeps for {k} hours", 0) for k in range(40)]
+    docs, items = tables(spark, rows, bench)
+    got = {(x.doc_id, x.item_id) for x in d.op5(docs, items).collect()}
+    assert sum((k, k) in got for k in range(40)) == 40 and not {x for x in got if x[0] >= 1000}
+
+
+def test_tokens_of_whole_texts_are_those_of_words(spark):
+    r = random.Random(8)
+    pieces = ["12", "km", "Km.", "(kg)", "Anna", "Otto,", "\"Ida\"", "the", "end.", "ok?", "A1", "x9.", "3.5", "...", "!", "Éva", "ǅ", "don't", "a...b", "(5", "h", "S", "UNITS", "<num>", "[x]", "--", "5-kg", "Kilo"]
+    rows = [(k, " ".join(r.choice(pieces) for _ in range(r.randrange(0, 25))) if k % 3 else r.choice(["\n", "\t ", "  "]).join(r.choice(pieces) for _ in range(12))) for k in range(600)] + [(600, None), (601, ""), (602, " \n ")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for exact in (False, True):
+        slow = sorted((x.doc_id, x.hash) for x in d.windows(docs, "doc_id", exact=exact).collect())
+        assert sorted((x.doc_id, x.hash) for x in d.hashes(docs, "doc_id", exact=exact).collect()) == slow and len(slow) > 3000
 
 
 def test_empty_tables(spark):
