@@ -7,19 +7,19 @@ and the running sums of alpha, its slopes, are not negative.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.config import GridConfig
 from .order import ranked
 
-#: Points of a column that a trainer sees, at evenly spaced positions.
-TRAIN_POINTS = 20_000
-#: Step sizes of a line search, smallest first.
-STEPS = (1e-4, 1e-3, 1e-2, 0.05, 0.1, 0.5, 1.0, 2.0, 4.0, 8.0)
+#: Points of a column that the exploratory network is trained on, at evenly spaced positions.
+MLP_POINTS = 20_000
 
 
 def boundaries(ranks: DataFrame, config: GridConfig) -> list[float]:
@@ -105,55 +105,138 @@ def is_valid(alphas: str = "alphas", betas: str = "betas") -> Column:
     return rising & F.forall(slopes, lambda s: s >= -1e-9)
 
 
-def _solve(t: np.ndarray, pos: np.ndarray, betas: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
-    basis = np.maximum(t[:, None] - betas, 0)
-    gram = basis.T @ basis
-    scale = np.trace(gram) / max(len(betas), 1) or 1.0
-    alphas = np.linalg.solve(gram + 1e-10 * scale * np.eye(len(betas)), basis.T @ pos)
-    return (alphas, basis) if np.isfinite(alphas).all() and np.cumsum(alphas).min() >= -1e-9 else None
-
-
-def fit_column(t: np.ndarray, pos: np.ndarray, n: int, sigma: int, rounds: int = 25) -> tuple[np.ndarray, np.ndarray]:
-    """(alphas, betas) of one column: knots move downhill, slopes by least squares; no worse than the interpolation."""
-    step = max(len(t) // sigma, 1)
-    betas = np.unique(t[::step][:sigma])
-    px, py = np.append(betas, t[-1]), np.append(pos[np.searchsorted(t, betas)], pos[-1])
-    slope = np.divide(np.diff(py), np.diff(px), out=np.zeros(len(betas)), where=np.diff(px) > 0)
-    alphas = np.diff(slope, prepend=0.0)
-    loss = lambda b, a: float((((b @ a).clip(0, n) - pos) ** 2).sum())
-    best = loss(np.maximum(t[:, None] - betas, 0), alphas)
-    if (found := _solve(t, pos, betas)) and loss(found[1], found[0]) < best:
-        alphas, best = found[0], loss(found[1], found[0])
-    for _ in range(rounds):
-        basis = np.maximum(t[:, None] - betas, 0)
-        pull = 2 * alphas * ((basis > 0).T @ ((basis @ alphas).clip(0, n) - pos))
-        size = np.abs(pull).max()
-        if not size:
-            break
-        width = (t[-1] - t[0]) / max(len(betas), 1)
-        tried = []
-        for s in STEPS:
-            moved = np.sort(np.clip(betas + s * width * pull / size, t[0], t[-1]))
-            if (np.diff(moved) > 0).all() and (found := _solve(t, pos, moved)):
-                tried.append((loss(found[1], found[0]), found[0], moved))
-        if not tried or (now := min(tried, key=lambda x: x[0]))[0] >= best * (1 - 1e-9):
-            break
-        best, alphas, betas = now
-    return alphas, betas
-
+@dataclass
+class Sums:
+    """What the squared loss of a column needs to know about its points, for some knots: sums over all of them.
 
-def train(pairs: DataFrame, stats: DataFrame, config: GridConfig) -> DataFrame:
-    """As :func:`interpolate`, by least squares with moving knots: one group for each column, evenly thinned beforehand."""
-    thin = F.greatest(F.floor(F.col("n") / TRAIN_POINTS).cast("long"), F.lit(1).cast("long"))
-    sigma = config.sigma
+    With b_j = max(0, t - beta_j): ``gram`` of b_j b_k, ``right`` of b_j pos, ``square`` of pos^2, and for t > beta_j ``above`` of
+    b_k and ``beyond`` of pos.
+    """
 
-    def fit(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("pos")
-        alphas, betas = fit_column(group.t.to_numpy(), group.pos.to_numpy(float), int(group.n.iloc[0]), sigma)
-        return pd.DataFrame({"col_id": [int(group.col_id.iloc[0])], "betas": [betas.tolist()], "alphas": [alphas.tolist()]})
+    gram: np.ndarray
+    right: np.ndarray
+    square: float
+    above: np.ndarray
+    beyond: np.ndarray
 
-    fitted = pairs.where(F.col("pos") % thin == 0).groupBy("col_id").applyInPandas(fit, "col_id long, betas array<double>, alphas array<double>")
-    return fitted.join(stats.select("col_id", "min_key", "n"), "col_id").select("col_id", "min_key", "n", "betas", "alphas")
+    @staticmethod
+    def of(t: np.ndarray, pos: np.ndarray, betas: np.ndarray) -> Sums:
+        basis = np.maximum(t[:, None] - betas, 0)
+        open_ = (basis > 0).astype(float)
+        return Sums(basis.T @ basis, basis.T @ pos, float(pos @ pos), open_.T @ basis, open_.T @ pos)
+
+    def flat(self) -> np.ndarray:
+        return np.concatenate((self.gram.ravel(), self.right, [self.square], self.above.ravel(), self.beyond))
+
+    @staticmethod
+    def read(flat: np.ndarray, k: int) -> Sums:
+        gram, right, square, above, beyond = np.split(flat, np.cumsum([k * k, k, 1, k * k]))
+        return Sums(gram.reshape(k, k), right, float(square[0]), above.reshape(k, k), beyond)
+
+    def loss(self, alphas: np.ndarray) -> float:
+        return float(alphas @ self.gram @ alphas - 2 * alphas @ self.right + self.square)
+
+    def solve(self) -> np.ndarray:
+        """Least-squares alphas whose running sums, the slopes, are not negative: plain if that holds, else by descent in the slopes."""
+        k = len(self.right)
+        scale = np.trace(self.gram) / k or 1.0
+        alphas = np.linalg.solve(self.gram + 1e-10 * scale * np.eye(k), self.right)
+        if np.isfinite(alphas).all() and np.cumsum(alphas).min() >= 0:
+            return alphas
+        step = np.eye(k) - np.eye(k, k=-1)
+        gram, right = step.T @ self.gram @ step, step.T @ self.right
+        slopes = np.maximum(np.cumsum(np.where(np.isfinite(alphas), alphas, 0.0)), 0)
+        for _ in range(500):
+            before = slopes.copy()
+            for j in range(k):
+                if gram[j, j] > 0:
+                    slopes[j] = max(0.0, slopes[j] + (right[j] - gram[j] @ slopes) / gram[j, j])
+            if np.abs(slopes - before).max() <= 1e-12 * max(1.0, np.abs(slopes).max()):
+                break
+        return np.diff(slopes, prepend=0.0)
+
+    def pull(self, alphas: np.ndarray) -> np.ndarray:
+        """The direction in which each knot should move for the loss to fall."""
+        return 2 * alphas * (self.above @ alphas - self.beyond)
+
+
+@dataclass
+class Fit:
+    """The best model of a column so far, and the knots under trial."""
+
+    width: float
+    alphas: np.ndarray
+    betas: np.ndarray
+    trial: np.ndarray
+    loss: float = np.inf
+    step: float = 0.25
+    done: bool = False
+    pull: np.ndarray | None = None
+
+    def take(self, sums: Sums) -> None:
+        """Judge the trial by its sums and propose the next knots: downhill, half as far after a failure."""
+        alphas = sums.solve()
+        loss = sums.loss(alphas)
+        if loss < self.loss:
+            self.done = self.loss - loss <= 1e-6 * self.loss if np.isfinite(self.loss) else False
+            self.alphas, self.betas, self.loss, self.pull = alphas, self.trial, loss, sums.pull(alphas)
+            self.step *= 1.5
+        else:
+            self.step /= 2
+            self.done = self.step < 1e-3
+        size = np.abs(self.pull).max()
+        if not size or len(self.betas) < 2:
+            self.done = True
+            return
+        gap = self.width / len(self.betas)
+        moved = np.maximum.accumulate(np.clip(self.betas + self.step * gap * self.pull / size, 0, self.width))
+        moved[0] = self.betas[0]
+        # knots stay apart
+        fixed = np.maximum.accumulate(moved - np.arange(len(moved)) * 1e-6 * gap) + np.arange(len(moved)) * 1e-6 * gap
+        self.trial = fixed
+
+
+def _summed(pairs: DataFrame, fits: dict[int, Fit]) -> dict[int, Sums]:
+    """The sums of every open column, by one pass over the points: partial sums of Arrow batches, then an aggregate."""
+    knots_of = {c: f.trial for c, f in fits.items() if not f.done}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            col, t, pos = (batch.column(c).to_numpy() for c in ("col_id", "t", "pos"))
+            order = np.argsort(col, kind="stable")
+            cuts = np.flatnonzero(np.diff(col[order], prepend=np.iinfo(np.int64).min))
+            for a, b in zip(cuts, np.append(cuts[1:], len(col))):
+                c = int(col[order[a]])
+                if c in knots_of:
+                    own = Sums.of(t[order[a:b]], pos[order[a:b]].astype(float), knots_of[c]).flat()
+                    held[c] = held[c] + own if c in held else own
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array([v.tolist() for v in held.values()], pa.list_(pa.float64()))], names=["col_id", "sums"])
+
+    parts = pairs.select("col_id", "t", "pos").mapInArrow(run, "col_id long, sums array<double>")
+    rows = parts.select("col_id", F.posexplode("sums").alias("i", "v")).groupBy("col_id", "i").agg(F.sum("v").alias("v"))
+    rows = rows.groupBy("col_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda e: e["v"]).alias("sums"))
+    # one row for each column, as long as twice the square of its knots
+    return {r["col_id"]: Sums.read(np.array(r["sums"]), len(knots_of[r["col_id"]])) for r in rows.collect()}
+
+
+def train(pairs: DataFrame, stats: DataFrame, config: GridConfig, rounds: int = 12) -> DataFrame:
+    """As :func:`interpolate`, by least squares with moving knots over all points: each round is one aggregate pass for all columns.
+
+    Slopes solve the normal equations, or, where one would be negative, the same under that bound; knots then move downhill. A
+    column ends no worse than the polyline through its first knots.
+    """
+    first = interpolate(knots(pairs, config), stats)
+    start = {r["col_id"]: r for r in first.join(stats.select("col_id", "max_key"), "col_id").collect()}  # one row for each column
+    fits = {c: Fit(r["max_key"] - r["min_key"], np.array(r["alphas"]), np.unique(r["betas"]), np.unique(r["betas"])) for c, r in start.items()}
+    for _ in range(rounds):
+        if all(f.done for f in fits.values()):
+            break
+        for c, sums in _summed(pairs, fits).items():
+            fits[c].take(sums)
+    rows = [(c, start[c]["min_key"], start[c]["n"], f.betas.tolist(), f.alphas.tolist()) for c, f in fits.items()]
+    return pairs.sparkSession.createDataFrame(rows, "col_id long, min_key double, n long, betas array<double>, alphas array<double>")
 
 
 def fit_mlp(t: np.ndarray, pos: np.ndarray, hidden: int = 8, rounds: int = 300, rate: float = 0.01) -> tuple[np.ndarray, float]:
@@ -195,7 +278,7 @@ def mlp_outputs(p: np.ndarray, x: np.ndarray, hidden: int = 8) -> np.ndarray:
 
 def train_mlp(pairs: DataFrame, hidden: int = 8, rounds: int = 300) -> DataFrame:
     """(col_id, parameters, loss): a monotone network for each column; exploratory, lookups do not use it."""
-    thin = F.greatest(F.floor(F.col("n") / TRAIN_POINTS).cast("long"), F.lit(1).cast("long"))
+    thin = F.greatest(F.floor(F.col("n") / MLP_POINTS).cast("long"), F.lit(1).cast("long"))
 
     def fit(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("pos")

@@ -1,7 +1,8 @@
-"""Box and sphere queries as equi-joins on tiles.
+"""Box and sphere queries as one equi-join on tiles, and through the index: key intervals, pages, residual test.
 
-Tiles are cut at approximate quantiles of the first two dimensions: any cuts give the same answers, as every join ends in the
-exact test. A box lists the tiles that it overlaps; one that would list more than ``WIDE`` of them is joined on coarse tiles.
+Tiles are cut at quantiles of the boxes' own corners, in all dimensions: any cuts give the same answers, as every join ends in
+the exact test, and these deal the boxes evenly over the tiles without a pass over the points. A box lists the tiles that it
+overlaps, ``TILES`` at most: a box that lists many also holds about as large a share of the points, so listing is never what costs.
 """
 
 from __future__ import annotations
@@ -9,19 +10,32 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.staging import stage
 from .grid import Grid, key_of
 
-#: Cuts of a dimension; fine tiles in a coarse one, in each dimension; fine tiles of a box, at most.
-CUTS, COARSE, WIDE = 64, 8, 256
+#: Tiles in all dimensions together, and cuts of one dimension, at most.
+TILES, CUTS = 4096, 64
 
 
-def tile_cuts(points: DataFrame, dims: list[str], cuts: int = CUTS) -> list[list[float]]:
-    """Inner cuts of the first two of ``dims``: at most ``cuts`` numbers each, by one pass over the points."""
+def _cuts(rows: DataFrame, values: list[list[str]], cuts: int) -> list[list[float]]:
+    """For each list of columns, inner cuts at quantiles of all their values: at most ``cuts`` numbers each, by one pass."""
     probs = [k / cuts for k in range(1, cuts)]
-    row = points.agg(*(F.percentile_approx(c, probs, 1000).alias(c) for c in dims[:2])).first()
+    own = rows.select(*(F.explode(F.array(*(F.struct(*(F.col(v[k]).alias(f"v{i}") for i, v in enumerate(values))) for k in range(len(values[0]))))).alias("v"),)).select("v.*")
+    row = own.agg(*(F.percentile_approx(f"v{i}", probs, 1000).alias(f"v{i}") for i in range(len(values)))).first()
     return [sorted(set(v or [])) for v in row]
 
 
+def tile_cuts(points: DataFrame, dims: list[str], cuts: int = CUTS) -> list[list[float]]:
+    """Inner cuts of the first two of ``dims`` at quantiles of the points."""
+    return _cuts(points, [[c] for c in dims[:2]], cuts)
+
+
+def box_cuts(boxes: DataFrame, dims: int) -> list[list[float]]:
+    """Inner cuts of every dimension at quantiles of the boxes' corners, ``TILES`` tiles in all at most."""
+    each = max(2, min(CUTS, int(TILES ** (1 / dims) + 1e-9)))
+    return _cuts(boxes, [[f"lo{k}", f"hi{k}"] for k in range(1, dims + 1)], each)
+
+
 def _slot(value: Column, cuts: list[float]) -> Column:
     """How many cuts lie at or below the value, by halving: a few comparisons, all compiled."""
 
@@ -34,41 +48,25 @@ def _slot(value: Column, cuts: list[float]) -> Column:
     return halve(0, len(cuts))
 
 
-def _tile(slots: list[Column], coarse: int) -> Column:
+def _tile(slots: list[Column]) -> Column:
     out = F.lit(0)
     for s in slots:
-        out = out * 1024 + (F.floor(s / coarse).cast("int") if coarse > 1 else s)
+        out = out * CUTS + s
     return out.cast("int")
 
 
 def box_join(points: DataFrame, boxes: DataFrame, dims: list[str], cuts: list[list[float]] | None = None) -> DataFrame:
     """Points and boxes (qid, lo1.., hi1..) that hold them, both ends closed. Inverted boxes hold nothing."""
-    cuts = cuts if cuts is not None else tile_cuts(points, dims)
-    used = dims[: len(cuts)]
-    lows = [_slot(F.col(f"lo{k + 1}"), cuts[k]) for k in range(len(used))]
-    highs = [_slot(F.col(f"hi{k + 1}"), cuts[k]) for k in range(len(used))]
-    span = F.lit(1)
-    for a, b in zip(lows, highs):
-        span = span * (b - a + 1)
-    real = boxes.where(" and ".join(f"lo{k + 1} <= hi{k + 1}" for k in range(len(dims)))).withColumn("__coarse", F.when(span > WIDE, COARSE).otherwise(1))
-    out = None
-    for coarse in (1, COARSE):
-        own = real.where(F.col("__coarse") == coarse).drop("__coarse")
-        listed = own
-        for k in range(len(used)):
-            ends = [F.floor(s / coarse).cast("int") if coarse > 1 else s for s in (lows[k], highs[k])]
-            listed = listed.withColumn(f"__t{k}", F.explode(F.sequence(*ends)))
-        tile = F.lit(0)
-        for k in range(len(used)):
-            tile = tile * 1024 + F.col(f"__t{k}")
-        listed = listed.withColumn("__tile", tile.cast("int")).drop(*(f"__t{k}" for k in range(len(used))))
-        placed = points.withColumn("__tile", _tile([_slot(F.col(c), cuts[k]) for k, c in enumerate(used)], coarse))
-        inside = [F.col(c).between(F.col(f"lo{k + 1}"), F.col(f"hi{k + 1}")) for k, c in enumerate(dims)]
-        met = placed.join(listed, "__tile")
-        for test in inside:
-            met = met.where(test)
-        out = met.drop("__tile") if out is None else out.unionByName(met.drop("__tile"))
-    return out
+    d = range(len(dims))
+    cuts = cuts if cuts is not None else box_cuts(boxes, len(dims))
+    listed = boxes.where(" and ".join(f"lo{k + 1} <= hi{k + 1}" for k in d))
+    for k in d:
+        listed = listed.withColumn(f"__t{k}", F.explode(F.sequence(_slot(F.col(f"lo{k + 1}"), cuts[k]), _slot(F.col(f"hi{k + 1}"), cuts[k]))))
+    listed = listed.withColumn("__tile", _tile([F.col(f"__t{k}") for k in d])).drop(*(f"__t{k}" for k in d))
+    met = points.withColumn("__tile", _tile([_slot(F.col(c), cuts[k]) for k, c in enumerate(dims)])).join(listed, "__tile")
+    for k, c in enumerate(dims):
+        met = met.where(F.col(c).between(F.col(f"lo{k + 1}"), F.col(f"hi{k + 1}")))
+    return met.drop("__tile")
 
 
 def range_rows(points: DataFrame, boxes: DataFrame, dims: list[str]) -> DataFrame:
@@ -98,6 +96,22 @@ def pages_touched(paged: DataFrame, boxes: DataFrame, dims: list[str]) -> DataFr
     return boxes.select("qid").join(found, "qid", "left").select("qid", F.coalesce("n", zero).alias("n"), F.coalesce("n_pages", zero).alias("n_pages"))
 
 
+def range_by_index(paged: DataFrame, bounds: DataFrame, boxes: DataFrame, grid: Grid) -> DataFrame:
+    """(qid, n, n_pages): points in each box, found through the index, and the pages that the index visits for it.
+
+    The cells of a box give key intervals, these the pages whose key ranges they meet; the points of those pages are tested.
+    """
+    config = grid.config
+    visited = stage(pages_in_intervals(cell_intervals(boxes, grid), bounds, float(config.parts)))
+    met = paged.join(visited, "page_no").join(boxes, "qid")
+    for k, c in enumerate(config.axes):
+        met = met.where(F.col(c).between(F.col(f"lo{k + 1}"), F.col(f"hi{k + 1}")))
+    found = met.groupBy("qid").agg(F.count("*").alias("n"))
+    pages = visited.groupBy("qid").agg(F.count("*").alias("n_pages"))
+    zero = F.lit(0).cast("long")
+    return boxes.select("qid").join(pages, "qid", "left").join(found, "qid", "left").select("qid", F.coalesce("n", zero).alias("n"), F.coalesce("n_pages", zero).alias("n_pages"))
+
+
 def cell_intervals(boxes: DataFrame, grid: Grid) -> DataFrame:
     """(qid, cell, low, high): for each cell that a box overlaps, the keys of its two corners within the cell."""
     config = grid.config

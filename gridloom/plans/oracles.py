@@ -21,13 +21,13 @@ LI = _scaled("li", "lineitem", None, ["l_extendedprice", "l_quantity"])
 LI4 = _scaled("li", "lineitem", None, ["l_extendedprice", "l_quantity", "l_discount", "l_tax"])
 
 
-def _boxes(half: float, n: int) -> str:
+def _boxes(half: float) -> str:
     sides = ", ".join(f"x{k} - CAST({half} AS DOUBLE) AS lo{k}, x{k} + CAST({half * 3} AS DOUBLE) AS hi{k}" for k in (1, 2))
-    return f"boxes AS (SELECT pid AS qid, {sides} FROM (SELECT * FROM ord ORDER BY pid LIMIT {n}))"
+    return f"boxes AS (SELECT pid AS qid, {sides} FROM ord WHERE pid % 50 = 0)"
 
 
-def _centers(n: int, r: float = 150.0) -> str:
-    return f"asked AS (SELECT pid AS qid, x1 AS c1, x2 AS c2, CAST({r} AS DOUBLE) AS r FROM (SELECT * FROM ord ORDER BY pid LIMIT {n}))"
+def _centers(r: float = 150.0) -> str:
+    return f"asked AS (SELECT pid AS qid, x1 AS c1, x2 AS c2, CAST({r} AS DOUBLE) AS r FROM ord WHERE pid % 50 = 0)"
 
 
 IN_BOX = "x1 BETWEEN lo1 AND hi1 AND x2 BETWEEN lo2 AND hi2"
@@ -115,26 +115,29 @@ intervals AS (SELECT qid, cell,
   CAST(0.01 AS DOUBLE) * (CASE WHEN ub > lb THEN (a1 - lb) / (ub - lb) ELSE CAST(0 AS DOUBLE) END) + lo2 / CAST(10000 AS DOUBLE) * CAST(9 AS DOUBLE) + CAST(10 AS DOUBLE) * cell AS low,
   CAST(0.01 AS DOUBLE) * (CASE WHEN ub > lb THEN (b1 - lb) / (ub - lb) ELSE CAST(0 AS DOUBLE) END) + hi2 / CAST(10000 AS DOUBLE) * CAST(9 AS DOUBLE) + CAST(10 AS DOUBLE) * cell AS high FROM met)"""
 
+_PAGES = "page_bounds AS (SELECT page_no, shard_id, min(key) AS k_low, max(key) AS k_high FROM paged GROUP BY ALL)"
+_VISITED = "visited AS (SELECT DISTINCT qid, page_no FROM intervals JOIN page_bounds ON k_low <= high AND k_high >= low)"
+
 
 def oracle_sql() -> dict[str, str]:
     return {
-        "range_count": _q([ORD, LI, _boxes(50.0, 1000)], _COUNTS.format(pts="li")),
-        "range_rows": _q([ORD, _boxes(20.0, 200)], f"SELECT qid, pid, {_r('x1', 'x2')} FROM boxes JOIN ord ON {IN_BOX}"),
-        "range_count_with_zero": _q([ORD, _boxes(-60.0, 1000)], _COUNTS.format(pts="ord")),
-        "range_avg_match": _q([ORD, _boxes(50.0, 1000)], f"SELECT round(avg(n), 6) AS avg_match, count(*) AS n_queries FROM ({_COUNTS.format(pts='ord')})"),
+        "range_count": _q([ORD, LI, _boxes(50.0)], _COUNTS.format(pts="li")),
+        "range_rows": _q([ORD, _boxes(20.0)], f"SELECT qid, pid, {_r('x1', 'x2')} FROM boxes JOIN ord ON {IN_BOX}"),
+        "range_count_with_zero": _q([ORD, _boxes(-60.0)], _COUNTS.format(pts="ord")),
+        "range_avg_match": _q([ORD, _boxes(50.0)], f"SELECT round(avg(n), 6) AS avg_match, count(*) AS n_queries FROM ({_COUNTS.format(pts='ord')})"),
         "range_count_4d": _q([LI4, _BOXES_4D], f"SELECT CAST(qid AS BIGINT) AS qid, count(x1) AS n FROM boxes LEFT JOIN li ON {_IN_4D} GROUP BY qid"),
-        "range_brute": _q([ORD, _boxes(20.0, 100)], _COUNTS.format(pts="ord")),
-        "sphere_rows": _q([ORD, _centers(200)], f"SELECT qid, pid, round({DIST}, 6) AS dist FROM asked JOIN ord ON {DIST} <= r"),
-        "sphere_count": _q([ORD, _centers(200)], f"SELECT qid, count(pid) AS n FROM asked LEFT JOIN ord ON {DIST} <= r GROUP BY qid"),
-        "knn_exact": _q([ORD, _centers(50)], f"SELECT qid, rank, pid, round(dist, 6) AS dist FROM ({_TOP.format(pts='ord')}) WHERE rank <= 10"),
-        "knn_brute": _q([ORD, EV, _centers(20)], f"SELECT qid, rank, pid, round(dist, 6) AS dist FROM ({_TOP.format(pts='ev')}) WHERE rank <= 10"),
-        "knn_kth_radius": _q([EV, "asked AS (SELECT pid AS qid, x1 AS c1, x2 AS c2 FROM ev WHERE pid % 200 = 0)"], f"SELECT qid AS pid, round(dist, 6) AS radius FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY dist, pid) AS rank FROM (SELECT qid, pid, {DIST} AS dist FROM asked JOIN ev ON pid <> qid)) WHERE rank = 5"),
-        "knn_box_variant": _q([ORD, EV, _centers(50), _BOX_ROUNDS], "SELECT qid, rank, round(dist, 6) AS dist FROM variant"),
+        "range_brute": _q([ORD, _boxes(20.0)], _COUNTS.format(pts="ord")),
+        "sphere_rows": _q([ORD, _centers()], f"SELECT qid, pid, round({DIST}, 6) AS dist FROM asked JOIN ord ON {DIST} <= r"),
+        "sphere_count": _q([ORD, _centers()], f"SELECT qid, count(pid) AS n FROM asked LEFT JOIN ord ON {DIST} <= r GROUP BY qid"),
+        "knn_exact": _q([ORD, _centers()], f"SELECT qid, rank, pid, round(dist, 6) AS dist FROM ({_TOP.format(pts='ord')}) WHERE rank <= 10"),
+        "knn_brute": _q([ORD, EV, _centers()], f"SELECT qid, rank, pid, round(dist, 6) AS dist FROM ({_TOP.format(pts='ev')}) WHERE rank <= 10"),
+        "knn_kth_radius": _q([EV, "asked AS (SELECT pid AS qid, x1 AS c1, x2 AS c2 FROM ev WHERE pid % 50 = 0)"], f"SELECT qid AS pid, round(dist, 6) AS radius FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY dist, pid) AS rank FROM (SELECT qid, pid, {DIST} AS dist FROM asked JOIN ev ON pid <> qid)) WHERE rank = 5"),
+        "knn_box_variant": _q([ORD, EV, _centers(), _BOX_ROUNDS], "SELECT qid, rank, round(dist, 6) AS dist FROM variant"),
         "knn_embeddings": "WITH asked AS (SELECT vec_id AS qid, embedding AS q FROM embeddings WHERE vec_id % 50 = 0), met AS (SELECT qid, vec_id, list_reduce(list_transform(list_zip(q, embedding), lambda z: (CAST(z[1] AS DOUBLE) - CAST(z[2] AS DOUBLE)) * (CAST(z[1] AS DOUBLE) - CAST(z[2] AS DOUBLE))), lambda a, b: a + b) AS dist2 FROM asked, embeddings) SELECT qid, rank, vec_id, round(dist2, 6) AS dist2 FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY dist2, vec_id) AS rank FROM met) WHERE rank <= 5",
-        "recall_at_k": _q([ORD, EV, _centers(50), _BOX_ROUNDS, f"truth AS (SELECT * FROM ({_TOP.format(pts='ev')}) WHERE rank <= 10)"], "SELECT round(avg(CASE WHEN abs(v.dist - t.dist) <= 1e-3 + 1e-3 * abs(t.dist) THEN 1.0::DOUBLE ELSE 0 END), 6) AS recall FROM truth t LEFT JOIN variant v USING (qid, rank)"),
-        "upper_bound_count": _q([ORD, _boxes(20.0, 200)], "SELECT qid, count(x1) AS n FROM boxes LEFT JOIN ord ON x1 <= hi1 AND x2 <= hi2 GROUP BY qid"),
-        "knn_within_radius": _q([ORD, _centers(200), f"top AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY dist, pid) AS rank, count(*) OVER (PARTITION BY qid) AS held FROM (SELECT qid, pid, {DIST} AS dist FROM asked JOIN ord ON {DIST} <= r))"], "SELECT a.qid, k AS rank, round(dist, 6) AS dist FROM asked a CROSS JOIN generate_series(1, 5) g(k) LEFT JOIN top t ON t.qid = a.qid AND t.rank = k AND held >= 5"),
-        "knn_doubling_radius": _q([ORD, _centers(50), "radii AS (SELECT 50.0::DOUBLE * (1 << i) AS h FROM generate_series(0, 29) g(i))"], f"SELECT qid, min(h) AS r FROM (SELECT qid, h FROM asked, radii, ord WHERE {DIST} <= h GROUP BY ALL HAVING count(*) >= 10) GROUP BY qid"),
+        "recall_at_k": _q([ORD, EV, _centers(), _BOX_ROUNDS, f"truth AS (SELECT * FROM ({_TOP.format(pts='ev')}) WHERE rank <= 10)"], "SELECT round(avg(CASE WHEN abs(v.dist - t.dist) <= 1e-3 + 1e-3 * abs(t.dist) THEN 1.0::DOUBLE ELSE 0 END), 6) AS recall FROM truth t LEFT JOIN variant v USING (qid, rank)"),
+        "upper_bound_count": _q([ORD, _boxes(20.0)], "SELECT qid, count(x1) AS n FROM boxes LEFT JOIN ord ON x1 <= hi1 AND x2 <= hi2 GROUP BY qid"),
+        "knn_within_radius": _q([ORD, _centers(), f"top AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY dist, pid) AS rank, count(*) OVER (PARTITION BY qid) AS held FROM (SELECT qid, pid, {DIST} AS dist FROM asked JOIN ord ON {DIST} <= r))"], "SELECT a.qid, k AS rank, round(dist, 6) AS dist FROM asked a CROSS JOIN generate_series(1, 5) g(k) LEFT JOIN top t ON t.qid = a.qid AND t.rank = k AND held >= 5"),
+        "knn_doubling_radius": _q([ORD, _centers(), "radii AS (SELECT 50.0::DOUBLE * (1 << i) AS h FROM generate_series(0, 29) g(i))"], f"SELECT qid, min(h) AS r FROM (SELECT qid, h FROM asked, radii, ord WHERE {DIST} <= h GROUP BY ALL HAVING count(*) >= 10) GROUP BY qid"),
         "rescale_minmax": _q([EV], f"SELECT pid, {_r('x1', 'x2')} FROM ev"),
         "dedupe_points": _q([LI], "SELECT DISTINCT round(x1, 3) AS x1, round(x2, 3) AS x2 FROM li"),
         "clip_points": _q([EV], "SELECT pid, round(greatest(least(x1, 9000.0::DOUBLE), 1000.0::DOUBLE), 6) AS x1, round(greatest(least(x2, 9000.0::DOUBLE), 1000.0::DOUBLE), 6) AS x2 FROM ev"),
@@ -172,24 +175,48 @@ def oracle_sql() -> dict[str, str]:
         "page_assign": _q([EV, SHARDS], "SELECT pid, page_no FROM paged"),
         "page_split_keys": _q([EV, SHARDS], "SELECT shard_id, page_no, round(min(key), 6) AS split_key FROM paged JOIN numbered USING (shard_id) WHERE page_no > first_page GROUP BY ALL"),
         "flat_offsets": _q([EV, SHARDS], "SELECT shard_id, start, stop FROM shards"),
-        "range_pages_touched": _q([EV, ORD, _boxes(100.0, 200), SHARDS], f"SELECT qid, count(x1) AS n, count(DISTINCT page_no) AS n_pages FROM boxes LEFT JOIN (SELECT pid, page_no, x1, x2 FROM paged JOIN ev USING (pid)) ON {IN_BOX} GROUP BY qid"),
-        "range_cell_intervals": _q([EV, ORD, _boxes(100.0, 200), SPLITS, _INTERVALS], f"SELECT qid, cell, {_r('low', 'high')} FROM intervals"),
+        "range_pages_touched": _q([EV, ORD, _boxes(100.0), SHARDS], f"SELECT qid, count(x1) AS n, count(DISTINCT page_no) AS n_pages FROM boxes LEFT JOIN (SELECT pid, page_no, x1, x2 FROM paged JOIN ev USING (pid)) ON {IN_BOX} GROUP BY qid"),
+        "lookup_exact": _q([EV, SHARDS], "SELECT pid, shard_id FROM sharded"),
+        "page_lookup": _q([EV, SHARDS, _PAGES], "SELECT p.pid, max(b.page_no) AS page_no FROM paged p JOIN page_bounds b ON b.shard_id = p.shard_id AND b.k_low <= p.key GROUP BY p.pid"),
+        "range_by_index": _q([EV, ORD, _boxes(100.0), SHARDS, _PAGES, _INTERVALS, _VISITED, "held AS (SELECT qid, count(x1) AS n FROM boxes LEFT JOIN ev ON " + IN_BOX + " GROUP BY qid)"], "SELECT qid, any_value(n) AS n, count(page_no) AS n_pages FROM held LEFT JOIN visited USING (qid) GROUP BY qid"),
+        "pages_in_intervals": _q([EV, ORD, _boxes(100.0), SHARDS, _PAGES, _INTERVALS, _VISITED], "SELECT qid, page_no FROM visited"),
+        "range_cell_intervals": _q([EV, ORD, _boxes(100.0), SPLITS, _INTERVALS], f"SELECT qid, cell, {_r('low', 'high')} FROM intervals"),
         "interval_union": _q(
-            [EV, ORD, _boxes(100.0, 200).replace("boxes AS", "narrow AS"), "boxes AS (SELECT qid, lo1, 0.0::DOUBLE AS lo2, hi1, 10000.0::DOUBLE AS hi2 FROM narrow)", SPLITS, _INTERVALS,
+            [EV, ORD, _boxes(100.0).replace("boxes AS", "narrow AS"), "boxes AS (SELECT qid, lo1, 0.0::DOUBLE AS lo2, hi1, 10000.0::DOUBLE AS hi2 FROM narrow)", SPLITS, _INTERVALS,
              "marked AS (SELECT *, CASE WHEN low - max(high) OVER (PARTITION BY qid ORDER BY low, high ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) < 2.0 THEN 0 ELSE 1 END AS fresh FROM intervals)",
              "islands AS (SELECT *, sum(fresh) OVER (PARTITION BY qid ORDER BY low, high) AS island FROM marked)"],
             "SELECT qid, round(min(low), 6) AS low, round(max(high), 6) AS high FROM islands GROUP BY qid, island",
         ),
         "insert_batch": _q([EV, _BATCH], f"SELECT pid, {_r('x1', 'x2')} FROM ev UNION ALL SELECT pid, {_r('x1', 'x2')} FROM batch"),
-        "insert_then_range": _q([EV, ORD, _BATCH, _boxes(100.0, 200), "everything AS (SELECT * FROM ev UNION ALL SELECT * FROM batch)"], _COUNTS.format(pts="everything")),
+        "insert_then_range": _q([EV, ORD, _BATCH, _boxes(100.0), "everything AS (SELECT * FROM ev UNION ALL SELECT * FROM batch)"], _COUNTS.format(pts="everything")),
         "insert_placed": _q([EV, PLACED, "batch_cells AS (SELECT pid, (SELECT count(*) FROM bounds WHERE boundary <= k.key) AS col_id FROM keyed k WHERE pid % 10 = 3)"], "SELECT col_id, count(*) AS n FROM (SELECT col_id FROM placed UNION ALL SELECT col_id FROM batch_cells) GROUP BY col_id"),
+        "insert_shards": _q(
+            [
+                EV, SHARDS,
+                "batch AS (SELECT pid + 10000000 AS pid, key, (SELECT count(*) FROM bounds WHERE boundary <= k.key) AS col_id FROM keyed k WHERE pid % 10 = 3)",
+                "sent AS (SELECT b.*, list_reduce(list_transform(list_zip(alphas, betas), lambda z: z[1] * greatest(b.key - s.min_key - z[2], CAST(0 AS DOUBLE))), lambda a, b: a + b) AS predicted FROM batch b JOIN stats s USING (col_id) JOIN model USING (col_id))",
+                "every AS (SELECT pid, shard_id FROM sharded UNION ALL SELECT pid, first + least(greatest(CAST(floor(predicted / 50) AS BIGINT), 0), most) FROM sent JOIN firsts USING (col_id))",
+                "sized AS (SELECT shard_id, count(*) AS n, (count(*) + 49) // 50 AS n_pages FROM every GROUP BY shard_id)",
+            ],
+            "SELECT shard_id, n, CAST(sum(n) OVER o - n AS BIGINT) AS start, n_pages, CAST(sum(n_pages) OVER o - n_pages AS BIGINT) AS first_page FROM sized WINDOW o AS (ORDER BY shard_id)",
+        ),
+        "delete_tolerance": _q(
+            [
+                EV,
+                "targets AS (SELECT x1 + 4e-8::DOUBLE AS t1, x2 + 4e-8::DOUBLE AS t2 FROM ev WHERE pid % 10 = 4 UNION ALL SELECT x1 + 3e-7::DOUBLE, x2 + 3e-7::DOUBLE FROM ev WHERE pid % 10 = 5)",
+                "numbered AS (SELECT t1, t2, count(*) AS n FROM targets GROUP BY ALL)",
+                "first AS (SELECT n, min((x1, x2)) AS p FROM numbered JOIN ev ON x1 BETWEEN t1 - 2e-7::DOUBLE AND t1 + 2e-7::DOUBLE AND abs(x1 - t1) <= 1e-7::DOUBLE AND abs(x2 - t2) <= 1e-7::DOUBLE GROUP BY t1, t2, n)",
+                "wanted AS (SELECT p, sum(n) AS n FROM first GROUP BY p)",
+            ],
+            "SELECT pid FROM (SELECT pid, n, row_number() OVER (PARTITION BY x1, x2 ORDER BY pid) AS i FROM ev LEFT JOIN wanted ON p = (x1, x2)) WHERE n IS NULL OR i > n",
+        ),
         "delete_batch": _q([EV], "SELECT round(x1, 6) AS x1, round(x2, 6) AS x2, count(*) AS n FROM (SELECT x1, x2 FROM ev EXCEPT ALL SELECT x1, x2 FROM ev WHERE pid % 10 = 4) GROUP BY ALL"),
         "delete_batch_dups": _q([EV, "targets AS (SELECT x1, x2, count(*) AS n FROM (SELECT x1, x2 FROM ev WHERE pid % 10 = 4 UNION ALL SELECT x1, x2 FROM ev WHERE pid % 50 = 4) GROUP BY ALL)"], "SELECT pid FROM (SELECT pid, n, row_number() OVER (PARTITION BY ev.x1, ev.x2 ORDER BY pid) AS i FROM ev LEFT JOIN targets t ON t.x1 = ev.x1 AND t.x2 = ev.x2) WHERE n IS NULL OR i > n"),
         "insert_delete_roundtrip": _q([EV], "SELECT count(*) AS n, count(DISTINCT (x1, x2)) AS n_distinct FROM ev"),
         "lattice_nodes": "SELECT i + 11 * j AS node_id, CAST(i * 1000 AS DOUBLE) AS c1, CAST(j * 1000 AS DOUBLE) AS c2 FROM generate_series(0, 10) a(i), generate_series(0, 10) b(j)",
-        "laplacian_degree": "WITH d AS (SELECT i + 11 * j AS node_id, (i > 0)::INT + (i < 10)::INT + (j > 0)::INT + (j < 10)::INT AS deg FROM generate_series(0, 10) a(i), generate_series(0, 10) b(j)) SELECT node_id, round(CAST(deg AS DOUBLE) / (SELECT sum(deg) FROM d) * 2, 9) AS value FROM d",
+        "laplacian": "WITH n AS (SELECT i + 11 * j AS a, i, j FROM generate_series(0, 10) a(i), generate_series(0, 10) b(j)), e AS (SELECT x.a, y.a AS b FROM n x JOIN n y ON abs(x.i - y.i) + abs(x.j - y.j) = 1), v AS (SELECT a, b, -1.0::DOUBLE AS v FROM e UNION ALL SELECT a, a, CAST(count(*) AS DOUBLE) FROM e GROUP BY a) SELECT a, b, round(v / (SELECT count(*) FROM e) * 2, 9) AS value FROM v",
         "corner_weights": _q([EV, LATTICE], "SELECT pid, node_id, round(w, 6) AS w FROM weights"),
-        "lattice_predict": _q([EV, LATTICE], "SELECT pid, round(sum(w * (node_id % 11 * 2000 + node_id // 11 * 1000 + 1)), 4) AS y FROM weights WHERE pid % 20 = 0 GROUP BY pid"),
+        "lattice_predict": _q([EV, LATTICE], "SELECT pid, round(sum(w * (node_id % 11 * 2000 + node_id // 11 * 1000 + 1)), 4) AS y FROM weights GROUP BY pid"),
         "metrics_unpivot": "WITH w AS (SELECT n_regionkey, CAST(count(*) AS DOUBLE) AS n, avg(n_nationkey) AS mean, stddev_pop(n_nationkey) AS std FROM nation GROUP BY n_regionkey) SELECT n_regionkey, 'n' AS metric, round(n, 6) AS value FROM w UNION ALL SELECT n_regionkey, 'mean', round(mean, 6) FROM w UNION ALL SELECT n_regionkey, 'std', round(std, 6) FROM w",
         "metrics_report": "WITH w AS (SELECT n_regionkey, CAST(count(*) AS DOUBLE) AS n, avg(n_nationkey) AS mean FROM nation GROUP BY n_regionkey) SELECT n_regionkey || ': mean=' || printf('%.3f', mean) || '  n=' || printf('%.3f', n) || '  std=n/a' AS line FROM w",
         "text_helpers": "SELECT n_name, n_name || ' x' AS joined, n_name AS stripped, true AS marks, regexp_matches(n_name, '^[A-M]') AS early FROM nation",

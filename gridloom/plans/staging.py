@@ -5,16 +5,32 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+#: Folders that :func:`stage` has written and :func:`clean` has not deleted.
+_staged: list[tuple[SparkSession, str]] = []
 
 
 def stage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the folder in ``spark.checkpoint.dir`` and read it again; an own folder only where that is unset."""
+    """Write ``df`` to the folder in ``spark.checkpoint.dir`` and read it again. Where that is unset, a local session (tests) gets a
+    folder of its own; on a cluster that would be a folder of one machine, so it is an error."""
     spark = df.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="gridloom-")
         spark.conf.set("spark.checkpoint.dir", base)
     path = f"{base}/stage-{uuid.uuid4().hex}"
+    _staged.append((spark, path))
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def clean() -> None:
+    """Delete what was staged; results not yet read are lost with it."""
+    while _staged:
+        spark, path = _staged.pop()
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)

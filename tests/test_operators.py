@@ -121,23 +121,48 @@ def test_bag_delete(spark):
     assert sorted(r.pid for r in dml.delete(pts, gone, ["x1", "x2"]).collect()) == [2, 3]
     near = spark.createDataFrame([(2.0 + 1e-10, 2.0)], "x1 double, x2 double")
     assert sorted(r.pid for r in dml.delete(pts, near, ["x1", "x2"], tolerance=1e-9).collect()) == [0, 1, 2, 4]
+    edge = frame(spark, [[3e-9, 1.0], [3e-9 + 5e-10, 1.0], [7.0, 7.0]])
+    asked = spark.createDataFrame([(3e-9 - 9e-10, 1.0), (7.0 + 1.9e-9, 7.0)], "x1 double, x2 double")
+    assert sorted(r.pid for r in dml.delete(edge, asked, ["x1", "x2"], tolerance=1e-9).collect()) == [1, 2]
     back = dml.delete(dml.insert(pts, pts.withColumn("pid", F.col("pid") + 10)), pts, ["x1", "x2"])
     assert sorted((r.x1, r.x2) for r in back.collect()) == sorted((r.x1, r.x2) for r in pts.collect())
 
 
-def test_models_fit_and_rise():
+def test_models_fit_and_rise(spark):
     g = np.random.default_rng(0)
-    for seed in range(3):
-        t = np.sort(g.uniform(0, 100, 400)) ** (1 + seed)
-        t -= t[0]
-        pos = np.arange(400.0)
-        alphas, betas = columns.fit_column(t, pos, 400, 8)
-        line = np.interp(t, t[::50], pos[::50])
-        fit = np.maximum(t[:, None] - betas, 0) @ alphas
-        assert ((fit.clip(0, 400) - pos) ** 2).mean() <= 1.05 * ((line - pos) ** 2).mean()
-        assert np.cumsum(alphas).min() >= -1e-9 and (np.diff(betas) > 0).all()
-        p, loss = columns.fit_mlp(t, pos)
-        assert np.diff(columns.mlp_outputs(p, np.linspace(0, 1, 200))).min() >= -1e-6 and loss < 400 * 400**2 / 12
+    config = GridConfig(models=4, sigma=8)
+    rows = []
+    for c in range(4):
+        t = np.sort(g.uniform(0, 100, 400)) ** (1 + c)
+        rows += [(c, 400, k, float(v)) for k, v in enumerate(t - t[0])]
+    rows += [(4, 50, k, 7.0 * (k >= 20)) for k in range(50)]
+    pairs = spark.createDataFrame(rows, "col_id long, n long, pos long, t double")
+    stats = pairs.groupBy("col_id").agg(F.count("*").alias("n"), F.min("t").alias("min_key"), F.max("t").alias("max_key"))
+    base = {r.col_id: r.loss for r in columns.losses(pairs, columns.interpolate(columns.knots(pairs, config), stats)).collect()}
+    fitted = columns.train(pairs, stats, config)
+    better = {r.col_id: r.loss for r in columns.losses(pairs, fitted).collect()}
+    assert all(better[c] <= base[c] * 1.0001 + 1e-6 for c in base) and sum(better[c] < 0.9 * base[c] for c in range(4)) >= 3
+    for r in fitted.collect():
+        assert np.cumsum(r.alphas).min() >= -1e-9 and (np.diff(r.betas) > 0).all()
+    t = np.sort(g.uniform(0, 100, 400))
+    p, loss = columns.fit_mlp(t - t[0], np.arange(400.0))
+    assert np.diff(columns.mlp_outputs(p, np.linspace(0, 1, 200))).min() >= -1e-6 and loss < 400 * 400**2 / 12
+
+
+def test_slopes_stay_above_zero():
+    g = np.random.default_rng(1)
+    for _ in range(30):
+        t = np.sort(g.uniform(0, 10, 60))
+        pos = g.normal(size=60).cumsum()
+        betas = np.linspace(0, 9, 6)
+        sums = columns.Sums.of(t, pos, betas)
+        alphas = sums.solve()
+        assert np.cumsum(alphas).min() >= -1e-9
+        basis = np.maximum(t[:, None] - betas, 0)
+        assert abs(sums.loss(alphas) - ((basis @ alphas - pos) ** 2).sum()) < 1e-6
+        for _ in range(50):
+            other = np.diff(np.maximum(np.cumsum(alphas) + g.normal(size=6) * 0.1, 0), prepend=0.0)
+            assert sums.loss(alphas) <= sums.loss(other) + 1e-6
 
 
 def test_sources(spark, tmp_path):
