@@ -37,6 +37,7 @@ BROADCAST = 200_000
 UNITS = "mm cm m km in ft yd mi mg g kg t oz lb ml l dl s sec secs min mins h hr hrs day days week weeks month months year years second seconds minute minutes hour hours meter meters metre metres mile miles inch inches foot feet gram grams liter liters litre litres dollar dollars cent cents euro euros usd eur gbp percent degree degrees mph kmh w kw kwh v a hz khz mhz ghz kb mb gb tb j n pa"
 STOPS = (".", "!", "?", ":")
 OUTER = ".,;:!?()[]{}\"'"
+PLACEHOLDERS = ("<num>", "<unit>", "<name>")
 CAPITAL = r"[\p{Lu}\p{Lt}]"
 _OUTER = r"[.,;:!?()\[\]{}\"']"
 
@@ -83,19 +84,24 @@ def canonical(text: str = "text") -> Column:
     return F.lower(F.regexp_replace(out, rf"(?<![^ ]){_OUTER}++|(?<!{_OUTER}){_OUTER}++(?![^ ])", ""))
 
 
+def _window(column: str, i: Column, size: int) -> Column:
+    """Hash of ``size`` entries of an array column from place ``i`` on, counted from 0; compiled, without slices."""
+    return F.xxhash64(*(F.get(column, i + k) for k in range(size)))
+
+
 def hashes(table: DataFrame, key: str, text: str = "text", size: int = WINDOW, exact: bool = False) -> DataFrame:
     """(key, hash): the hashes of :func:`windows`, without their slots."""
     space = " \t\n\x0b\f\r"
-    staged = table.select(F.col(key), F.split(canonical(text), " ").alias("tokens"), F.col(text)).where(F.size("tokens") >= size)
-    template = lambda i: F.xxhash64(F.slice("tokens", i, size))
-    hashed = template
+    columns = [F.col(key), F.split(canonical(text), " ").alias("tokens")]
+    if exact:
+        columns.append(F.transform(F.split(F.trim(F.coalesce(F.col(text), F.lit("")), F.lit(space)), r"[\x20\x09-\x0D]+"), lambda w: F.lower(F.trim(w, F.lit(OUTER)))).alias("low"))
+    # places are told from the size behind the explode: a filter before it would canonicalise twice
+    each = table.select(*columns).select("*", F.posexplode("tokens").alias("pos", "token")).where(F.col("pos") + (size - 1) < F.size("tokens"))
+    hashed = _window("tokens", F.col("pos"), size)
     if exact:
-        staged = staged.withColumn("words", F.split(F.trim(F.col(text), F.lit(space)), r"[\x20\x09-\x0D]+"))
-        staged = staged.withColumn("low", F.transform("words", lambda w: F.lower(F.trim(w, F.lit(OUTER)))))
-        staged = staged.withColumn("marks", F.transform("tokens", lambda t: F.when(t.isin("<num>", "<unit>", "<name>"), t)))
-        hashed = lambda i: F.when(_dense(F.slice("marks", i, size)), F.xxhash64(F.lit("="), F.slice("low", i, size))).otherwise(template(i))
-    each = F.transform(F.sequence(F.lit(1), F.size("tokens") - (size - 1)), hashed)
-    return staged.select(key, F.explode(each).alias("hash"))
+        marks = sum((F.get("tokens", F.col("pos") + k).isin(*PLACEHOLDERS).cast("int") for k in range(size)), F.lit(0))
+        hashed = F.when(marks > WINDOW - LITERALS, F.xxhash64(F.lit("="), *(F.get("low", F.col("pos") + k) for k in range(size)))).otherwise(hashed)
+    return each.select(key, hashed.alias("hash"))
 
 
 def windows(table: DataFrame, key: str, text: str = "text", size: int = WINDOW, exact: bool = False) -> DataFrame:
@@ -109,13 +115,13 @@ def windows(table: DataFrame, key: str, text: str = "text", size: int = WINDOW,
         _staged(table, key, text)
         .where(F.size("words") >= size)
         .withColumn("tokens", F.when(F.col("digits"), F.transform("bare", _token)).otherwise(F.transform("bare", _name)))
-        .withColumn("values", F.zip_with("bare", "tokens", lambda b, t: F.when(t.isin("<num>", "<unit>", "<name>"), b)))
+        .withColumn("values", F.zip_with("bare", "tokens", lambda b, t: F.when(t.isin(*PLACEHOLDERS), b)))
         .withColumn("named", F.zip_with("bare", "tokens", lambda b, t: F.when(t == "<name>", b)))
     )
 
     def hashed(i: Column) -> Column:
-        template = F.xxhash64(F.slice("tokens", i, size))
-        return F.when(_dense(F.slice("values", i, size)), F.xxhash64(F.lit("="), F.slice("low", i, size))).otherwise(template) if exact else template
+        template = _window("tokens", i - 1, size)
+        return F.when(_dense(F.slice("values", i, size)), F.xxhash64(F.lit("="), *(F.get("low", i - 1 + k) for k in range(size)))).otherwise(template) if exact else template
 
     none = F.array().cast("array<string>")
     each = F.transform(
