@@ -31,6 +31,8 @@ BLOCK = 2048
 BUCKET = 1 << 20
 MIX = np.uint64(0x9E3779B97F4A7C15)
 CHUNK_BYTES = 4 << 20
+#: Shingles of a long text that are hashed at once.
+SHINGLES = 1 << 18
 
 
 def _masks(half: int) -> np.ndarray:
@@ -49,6 +51,26 @@ def shingle_hashes(text: str | None, width: int) -> list[int]:
     return [digest(joined[a:b], SEED) for a, b in zip(starts, ends[width - 1 :])] or [digest(joined, SEED)]
 
 
+def _spans(joined: bytes, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where the shingles of blank-joined words begin and end."""
+    gaps = np.flatnonzero(np.frombuffer(joined, np.uint8) == 32)
+    starts, ends = np.append(0, gaps + 1), np.append(gaps, len(joined))
+    return (starts[: len(ends) - width + 1], ends[width - 1 :]) if len(ends) >= width else (starts[:1], ends[-1:])
+
+
+def long_fingerprint(text: str, width: int) -> np.uint64:
+    """The fingerprint of a text of any length, its shingles taken in blocks: the memory is a few times the text."""
+    joined = b" ".join(text.encode().lower().split())
+    if not joined:
+        return np.uint64(0)
+    starts, ends = _spans(joined, width)
+    ones = np.zeros(64, np.int64)
+    for k in range(0, len(starts), SHINGLES):
+        own = np.array([xxhash.xxh64_intdigest(joined[a:b], SEED) for a, b in zip(starts[k : k + SHINGLES].tolist(), ends[k : k + SHINGLES].tolist())], np.uint64)
+        ones += np.unpackbits(own.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0)
+    return np.packbits(2 * ones > len(starts), bitorder="little").view(np.uint64)[0]
+
+
 def _majority(hashes: list[int], counts: list[int]) -> np.ndarray:
     """A fingerprint for each run of ``counts`` hashes: bits set in over half of a run; an empty run: zero."""
     out = np.zeros(len(counts), np.uint64)
@@ -69,6 +91,10 @@ def fingerprints(docs: DataFrame, width: int = 4, id_col: str = "doc_id", text_c
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text", CHUNK_BYTES):
             hashes, counts = [], []
+            if part.num_rows == 1 and len(text := part.column("text")[0].as_py() or "") > CHUNK_BYTES:
+                print_ = np.array([long_fingerprint(text, w)]).view(np.int64)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(print_)], names=["doc_id", "fp"])
+                continue
             for text in part.column("text").to_pylist():
                 own = shingle_hashes(text, w)
                 hashes += own

@@ -55,3 +55,29 @@ def test_stages_match_brute_force(spark, tmp_path):
 def test_stage_contract():
     assert 4 <= len(corpus_pipeline.STAGES) <= 5
     assert decontaminate.WINDOW == 5 and quality_rules.MIN_WORDS == 20
+
+
+def test_empty_tables(spark, tmp_path):
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_repeated_rows_nulls_and_clashing_columns(spark, tmp_path):
+    rows, items, labels = corpus(seed=4)
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    own = [(i, t) for i, t in rows if t and "***" not in t and not brute_quality(t)[5]][:20]
+    own = own + own[:5] + [(None, own[3][1]), (None, own[6][1] + " and a tail"), (None, None), (own[0][0], ""), (7777, "word " * 30_000 + own[1][1])]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0, 1, "x", 2, 3) for i, t in own], "doc_id long, text string, lang string, source string, n_chars long, row long, kept string, n_lines int, root int")
+    names = ["doc_id", "text", "lang", "source", "n_chars"]
+    stages = dict(corpus_pipeline.STAGES)
+    for name, want in (("quality rules", None), ("line dedup", len(own)), ("benchmark decontamination", None)):
+        got = stages[name](spark, docs, str(tmp_path))
+        assert got.columns == names
+        assert want is None or got.count() == want
+    kept = stages["simhash near-dedup"](spark, docs, str(tmp_path))
+    texts = [r.text or "" for r in kept.collect()]
+    assert kept.columns == names and len(set(texts)) == len(texts) and set(texts) <= {t or "" for _, t in own}
+    assert stages["byte-level BPE"](spark, docs, str(tmp_path)).count() == len(own)

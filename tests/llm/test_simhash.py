@@ -62,3 +62,12 @@ def test_chain_of_links_is_one_component(spark):
     edges = simhash.links(spark.createDataFrame([(x,) for x in chain], "fp long"), passes=2)
     roots = {r.root for r in simhash.components(edges).collect()}
     assert roots == {0}
+
+
+def test_long_texts_in_blocks(monkeypatch):
+    monkeypatch.setattr(simhash, "SHINGLES", 7)
+    r = random.Random(1)
+    for n in (0, 1, 3, 4, 5, 100):
+        text = " \t".join(r.choice(["Ab", "é", "cd", "x"]) + str(r.randrange(9)) for _ in range(n))
+        own = simhash.shingle_hashes(text, 4)
+        assert simhash.long_fingerprint(text, 4) == simhash._majority(own, [len(own)])[0]
