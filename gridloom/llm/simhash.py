@@ -67,7 +67,7 @@ def long_fingerprint(text: str, width: int) -> np.uint64:
     ones = np.zeros(64, np.int64)
     for k in range(0, len(starts), SHINGLES):
         own = np.array([xxhash.xxh64_intdigest(joined[a:b], SEED) for a, b in zip(starts[k : k + SHINGLES].tolist(), ends[k : k + SHINGLES].tolist())], np.uint64)
-        ones += np.unpackbits(own.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0)
+        ones += np.unpackbits(own.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return np.packbits(2 * ones > len(starts), bitorder="little").view(np.uint64)[0]
 
 
