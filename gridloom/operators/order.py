@@ -51,3 +51,20 @@ def count_inversions(df: DataFrame, by: list[str], key: str) -> DataFrame:
     r = ranked(df.select(*dict.fromkeys([*by, key])), by)
     after = r.select((F.col("rank") - 1).alias("rank"), F.col(key).alias("__next"))
     return r.join(after, "rank").agg(F.count_if(F.col("__next") < F.col(key)).alias("n_inversions"))
+
+
+def count_dominated(df: DataFrame, by: list[str], dims: list[str]) -> DataFrame:
+    """One row: neighbours in the order ``by`` of which the later one is at or below the earlier in every dimension and below it in
+    one. A monotone key leaves none."""
+    r = ranked(df.select(*dict.fromkeys([*by, *dims])), by)
+    after = r.select((F.col("rank") - 1).alias("rank"), *(F.col(c).alias(f"__{c}") for c in dims))
+    under, below = F.lit(True), F.lit(False)
+    for c in dims:
+        under, below = under & (F.col(f"__{c}") <= F.col(c)), below | (F.col(f"__{c}") < F.col(c))
+    return r.join(after, "rank").agg(F.count_if(under & below).alias("n_dominated"))
+
+
+def count_flat_splits(splits: DataFrame) -> DataFrame:
+    """One row: cuts (level, parent, part, ub) that do not lie above the one before."""
+    w = Window.partitionBy("level", "parent").orderBy("part")  # as many rows as parts
+    return splits.withColumn("__before", F.lag("ub").over(w)).agg(F.count_if(F.col("ub") <= F.col("__before")).alias("n_flat"))

@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import columns, dml, grid, knn, lattice, layout, metrics, order, prep, ranges
+from ..operators.index import Index
+from ..sources import files
 from ..sources import points as sources
 from .config import GridConfig
-from .staging import stage
+from .staging import folder, stage
 
 CONFIG = GridConfig(parts=10, models=16, sigma=8, page_size=50)
 CONFIG3 = GridConfig(dims=3, parts=6, models=16, sigma=8, page_size=50)
@@ -262,6 +264,45 @@ def _q_delete_near(s, d):
     return dml.delete(ev(s, d), near.unionByName(far), XY, tolerance=1e-7).select("pid")
 
 
+def _reloaded(s, d):
+    path = folder(s, "index")
+    Index.build(ev(s, d), CONFIG).save(path)
+    return Index.load(s, path)
+
+
+def _q_index_update(s, d):
+    grown = _reloaded(s, d).insert(_batch(s, d))
+    return grown.delete(ev(s, d).where("pid % 10 = 4").select(*XY)).box(boxes(s, d, 100.0)).select("qid", "n")
+
+
+def _q_knn_radius(s, d):
+    fitted = lattice.cached_radius_model(ev(s, d), XY, K, 8, 0.0, HI, folder(s, "lattice"), per_node=5)
+    return lattice.knn_by_radius(ev(s, d), centers(s, d), K, XY, fitted, 8, 0.0, HI).select("qid", "rank", "pid", *_r("dist"))
+
+
+def _q_csv(s, d):
+    path = folder(s, "csv")
+    metrics.write_csv(ev(s, d).select(*XY), path)
+    return sources.read_csv(s, path).select(*_r(*XY))
+
+
+def _q_boxes_text(s, d):
+    path, names = folder(s, "boxes"), ["lo1", "lo2", "hi1", "hi2"]
+    metrics.write_text(boxes(s, d), names, path)
+    return files.read_boxes(s, path, 2).select(*_r(*names, digits=4))
+
+
+def _q_map(s, d):
+    path = folder(s, "map")
+    files.write_map(_read(s, d, "nation").select(F.col("n_nationkey").alias("key"), F.col("n_name").alias("value")), path)
+    return files.read_map(s, path, key="long", turned=True)
+
+
+def _q_bootstrap(s, d):
+    own = prep.bootstrap(ev(s, d), 500, XY, jitter=0.0)
+    return own.join(ev(s, d).select(*XY).distinct(), XY).agg(F.count("*").alias("n"))
+
+
 BOXES_4D = [
     (k, *(float(v) for v in line.split()))
     # The example query boxes, lows then highs
@@ -339,6 +380,15 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "insert_then_range": _q_insert_range,
         "insert_placed": _q_placed,
         "insert_shards": _q_insert_shards,
+        "index_reload_range": lambda s, d: _reloaded(s, d).box(boxes(s, d, 100.0)),
+        "index_update_range": _q_index_update,
+        "knn_by_radius": _q_knn_radius,
+        "dominance_check": lambda s, d: order.count_dominated(b(s, d).ranks, ["rank"], XY),
+        "split_order_check": lambda s, d: order.count_flat_splits(grid.build_grid(ev(s, d), CONFIG).splits),
+        "csv_points": _q_csv,
+        "text_boxes": _q_boxes_text,
+        "text_map": _q_map,
+        "bootstrap_points": _q_bootstrap,
         "delete_tolerance": _q_delete_near,
         "delete_batch": lambda s, d: dml.delete(ev(s, d), ev(s, d).where("pid % 10 = 4"), XY).groupBy(*(F.round(c, 6).alias(c) for c in XY)).agg(F.count("*").alias("n")),
         "delete_batch_dups": lambda s, d: dml.delete(ev(s, d), _targets(s, d), XY).select("pid"),

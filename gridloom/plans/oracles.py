@@ -179,6 +179,14 @@ def oracle_sql() -> dict[str, str]:
         "lookup_exact": _q([EV, SHARDS], "SELECT pid, shard_id FROM sharded"),
         "page_lookup": _q([EV, SHARDS, _PAGES], "SELECT p.pid, max(b.page_no) AS page_no FROM paged p JOIN page_bounds b ON b.shard_id = p.shard_id AND b.k_low <= p.key GROUP BY p.pid"),
         "range_by_index": _q([EV, ORD, _boxes(100.0), SHARDS, _PAGES, _INTERVALS, _VISITED, "held AS (SELECT qid, count(x1) AS n FROM boxes LEFT JOIN ev ON " + IN_BOX + " GROUP BY qid)"], "SELECT qid, any_value(n) AS n, count(page_no) AS n_pages FROM held LEFT JOIN visited USING (qid) GROUP BY qid"),
+        "index_reload_range": _q([EV, ORD, _boxes(100.0), SHARDS, _PAGES, _INTERVALS, _VISITED, "held AS (SELECT qid, count(x1) AS n FROM boxes LEFT JOIN ev ON " + IN_BOX + " GROUP BY qid)"], "SELECT qid, any_value(n) AS n, count(page_no) AS n_pages FROM held LEFT JOIN visited USING (qid) GROUP BY qid"),
+        "index_update_range": _q([EV, ORD, _BATCH, _boxes(100.0), "left_over AS (SELECT x1, x2 FROM ev UNION ALL SELECT x1, x2 FROM batch EXCEPT ALL SELECT x1, x2 FROM ev WHERE pid % 10 = 4)"], _COUNTS.format(pts="left_over")),
+        "knn_by_radius": _q([ORD, EV, _centers()], f"SELECT qid, rank, pid, round(dist, 6) AS dist FROM ({_TOP.format(pts='ev')}) WHERE rank <= 10"),
+        "dominance_check": _q([EV, RANKS], "SELECT count(*) FILTER (WHERE x1 <= b1 AND x2 <= b2 AND (x1 < b1 OR x2 < b2)) AS n_dominated FROM (SELECT x1, x2, lag(x1) OVER o AS b1, lag(x2) OVER o AS b2 FROM ranks WINDOW o AS (ORDER BY rank))"),
+        "split_order_check": _q([EV, SPLITS], "SELECT count(*) FILTER (WHERE ub <= before) AS n_flat FROM (SELECT ub, lag(ub) OVER (ORDER BY part) AS before FROM splits)"),
+        "csv_points": _q([EV], f"SELECT {_r('x1', 'x2')} FROM ev"),
+        "text_boxes": _q([ORD, _boxes(50.0)], f"SELECT {_r('lo1', 'lo2', 'hi1', 'hi2', digits=4)} FROM boxes"),
+        "text_map": "SELECT n_name AS key, n_nationkey::BIGINT AS value FROM nation",
         "pages_in_intervals": _q([EV, ORD, _boxes(100.0), SHARDS, _PAGES, _INTERVALS, _VISITED], "SELECT qid, page_no FROM visited"),
         "range_cell_intervals": _q([EV, ORD, _boxes(100.0), SPLITS, _INTERVALS], f"SELECT qid, cell, {_r('low', 'high')} FROM intervals"),
         "interval_union": _q(

@@ -12,18 +12,24 @@ from pyspark.sql import DataFrame, SparkSession
 _staged: list[tuple[SparkSession, str]] = []
 
 
-def stage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the folder in ``spark.checkpoint.dir`` and read it again. Where that is unset, a local session (tests) gets a
-    folder of its own; on a cluster that would be a folder of one machine, so it is an error."""
-    spark = df.sparkSession
+def folder(spark: SparkSession, name: str) -> str:
+    """A new folder in the one that ``spark.checkpoint.dir`` names. Where that is unset, a local session (tests) gets a folder of its
+    own; on a cluster that would be a folder of one machine, so it is an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="gridloom-")
         spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base}/stage-{uuid.uuid4().hex}"
+    path = f"{base}/{name}-{uuid.uuid4().hex}"
     _staged.append((spark, path))
+    return path
+
+
+def stage(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared folder and read it again."""
+    spark = df.sparkSession
+    path = folder(spark, "stage")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -31,11 +31,16 @@ def skewed(spark: SparkSession, n: int, dims: int = 2, lo: float = 0.0, hi: floa
 
 
 def zipf(spark: SparkSession, n: int, dims: int = 2, hi: int = 10000, exponent: float = 1.001, seed: int = 42) -> DataFrame:
-    """Up to ``n`` distinct integer points whose coordinates follow a power law, by inverting its continuous form."""
+    """``n`` distinct integer points whose coordinates follow a power law, by inverting its continuous form: draws double until
+    there are enough; fewer only where the domain has not as many points."""
     e = 1.0 - exponent
     draw = lambda k: F.floor(F.pow(1 + F.rand(seed + k) * (float(hi) ** e - 1), F.lit(1 / e))).cast("double")
-    many = spark.range(4 * n).select(*(F.least(draw(k), F.lit(float(hi - 1))).alias(c) for k, c in enumerate(axes(dims)))).distinct()
-    return many.limit(n).select(F.monotonically_increasing_id().alias("pid"), *axes(dims))
+    drawn, room = 2 * n, float(hi - 1) ** dims
+    while True:
+        many = spark.range(drawn).select(*(F.least(draw(k), F.lit(float(hi - 1))).alias(c) for k, c in enumerate(axes(dims)))).distinct()
+        if many.limit(n).count() >= min(n, room) or drawn > 1000 * room:
+            return many.limit(n).select(F.monotonically_increasing_id().alias("pid"), *axes(dims))
+        drawn *= 2
 
 
 def _with_ids(df: DataFrame, columns: list[Column]) -> DataFrame:
@@ -43,14 +48,19 @@ def _with_ids(df: DataFrame, columns: list[Column]) -> DataFrame:
 
 
 def read_csv(spark: SparkSession, path: str, columns: tuple[int, ...] = (0, 1), header: bool = True, sep: str = ",", quote: str = '"') -> DataFrame:
-    """Numeric columns of a delimited file by position."""
-    raw = spark.read.option("header", False).option("sep", sep).option("quote", quote).option("mode", "DROPMALFORMED").csv(path)
-    if header:
-        # the first row of each file
-        raw = raw.where(F.expr(" or ".join(f"try_cast(`_c{c}` as double) is not null" for c in columns)))
+    """Numeric columns of a delimited file by position; ``header``: the first row of each file is no point. A value that is no
+    number is null: :func:`malformed` counts such rows, ``drop_missing`` drops them."""
+    raw = spark.read.option("header", header).option("enforceSchema", True).option("sep", sep).option("quote", quote)
+    raw = raw.schema(", ".join(f"_c{k} string" for k in range(max(columns) + 1))).csv(path)
     return _with_ids(raw, [F.expr(f"try_cast(trim(`_c{c}`) as double)") for c in columns])
 
 
+def malformed(points: DataFrame) -> DataFrame:
+    """One row: how many points there are and how many lack a coordinate."""
+    lacks = " or ".join(f"{c} is null or isnan({c})" for c in points.columns if c != "pid")
+    return points.agg(F.count("*").alias("n"), F.count_if(F.expr(lacks)).alias("n_malformed"))
+
+
 def read_npy(spark: SparkSession, path: str, dims: int = 2) -> DataFrame:
     """The first columns of a two-dimensional array file, which the driver reads: for files that fit there."""
     import numpy as np
@@ -104,12 +114,15 @@ def from_table(table: DataFrame, key: str, columns: list[str]) -> DataFrame:
 
 
 def load_points(spark: SparkSession, spec: str, n: int = 100_000, lo: float = 0.0, hi: float = 10000.0, dims: int = 2, seed: int = 42) -> DataFrame:
-    """A point set by name: uniform, skewed, zipf, csv:PATH, npy:PATH, cities:PATH, geonames:PATH; files are rescaled."""
+    """A point set by name: uniform, skewed, zipf, csv:PATH, npy:PATH, cities:PATH, geonames:PATH, pixels:PATH; files are rescaled,
+    all but the pixels, which have a scale of their own."""
     kind, _, path = spec.partition(":")
     if spec in ("uniform", "skewed"):
         return {"uniform": uniform, "skewed": skewed}[spec](spark, n, dims, lo, hi, seed)
     if spec == "zipf":
         return zipf(spark, n, dims, int(hi), seed=seed)
+    if kind == "pixels" and path:
+        return pixels(spark, path)
     readers = {"csv": read_csv, "npy": read_npy, "cities": cities, "geonames": geonames}
     if kind not in readers or not path:
         raise ValueError(f"unknown point source {spec!r}")

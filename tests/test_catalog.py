@@ -11,7 +11,7 @@ from gridloom.plans import catalog, oracles
 DIR = "/root/testdata/sf0.001"
 SQL = oracles.oracle_sql()
 #: Queries of fitted models and rounding: no SQL.
-FITTED = {"lookup_float_mismatch", "cdf_train", "lattice_train", "mlp_train"}
+FITTED = {"lookup_float_mismatch", "cdf_train", "lattice_train", "mlp_train", "bootstrap_points"}
 
 
 @pytest.fixture(scope="module")
@@ -39,6 +39,7 @@ def test_fitted_queries(spark):
     assert one.rate < 0.02 and one.max_diff <= 1
     assert all(r.valid and r.loss <= r.base * 1.0001 + 1e-6 for r in q["cdf_train"](spark, DIR).collect())
     assert all(r.n_parameters == 97 and r.loss >= 0 for r in q["mlp_train"](spark, DIR).collect())
+    assert q["bootstrap_points"](spark, DIR).first().n == 500
     lattice = q["lattice_train"](spark, DIR).collect()
     assert len(lattice) == 1000 and sum(r.y > 0 for r in lattice) > 900
 

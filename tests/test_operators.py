@@ -7,7 +7,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gridloom.operators import columns, dml, grid, knn, layout, order, ranges
+from gridloom.operators import columns, dml, grid, knn, lattice, layout, order, ranges
+from gridloom.operators.index import Index
+from gridloom.plans import harness
 from gridloom.plans.config import GridConfig
 from gridloom.sources import files, points
 from gridloom.streaming.inserts import insert_stream
@@ -173,6 +175,10 @@ def test_sources(spark, tmp_path):
         points.load_points(spark, "nothing")
     (tmp_path / "a.csv").write_text('lon,lat\n1.5,2\n"3",4.5\nbad,row\n')
     assert sorted((r.x1, r.x2) for r in points.read_csv(spark, f"{tmp_path}/a.csv").dropna().collect()) == [(1.5, 2.0), (3.0, 4.5)]
+    assert points.malformed(points.read_csv(spark, f"{tmp_path}/a.csv")).first()[:] == (3, 1)
+    (tmp_path / "n.csv").write_text("1,2\n3,4\n")
+    assert [(r.x1, r.x2) for r in points.read_csv(spark, f"{tmp_path}/n.csv").collect()] == [(3.0, 4.0)]
+    assert points.zipf(spark, 400, hi=30, exponent=1.5).count() == 400
     np.save(tmp_path / "a.npy", np.array([[0, 1, 7], [2, 3, 8.0]]))
     assert sorted((r.x1, r.x2) for r in points.load_points(spark, f"npy:{tmp_path}/a.npy").collect()) == [(0.0, 0.0), (10000.0, 10000.0)]
     (tmp_path / "g.txt").write_text("1\ta\tb\tc\t5.5\t6.5\n2\ta\tb\tc\tx\t6\n")
@@ -194,9 +200,47 @@ def test_index_round_trip_and_stream(spark, tmp_path):
     ranks = grid.ordered(g.keyed(pts))
     starts = columns.boundaries(ranks, config)
     placed = columns.with_columns_of(ranks, starts)
-    layout.save(placed, spark.range(1), spark.range(1), g.splits, f"{tmp_path}/index")
-    assert layout.load(spark, f"{tmp_path}/index")["points"].count() == 300
+    index = Index.build(pts, config)
+    index.save(f"{tmp_path}/index")
+    again = Index.load(spark, f"{tmp_path}/index")
+    asked = box_frame(spark, [(100, 100, 400, 900), (0, 0, 1000, 1000), (5, 5, 4, 9)])
+    want = {0: sum(100 <= x <= 400 and 100 <= y <= 900 for x, y in cloud(300)), 1: 300, 2: 0}
+    assert {r.qid: r.n for r in again.box(asked).collect()} == want
+    page = {r.pid: r.page_no for r in index.points.collect()}
+    assert {r.pid: r.page_no for r in again.find(again.points.select("pid", "key")).collect()} == page
+    more = frame(spark, cloud(200, seed=8).tolist()).withColumn("pid", F.col("pid") + 1000)
+    grown = again.insert(more)
+    assert grown.box(asked).where("qid = 1").first().n == 500 and grown.bounds.agg(F.max("n")).first()[0] <= 20
+    less = grown.delete(more)
+    assert {r.qid: r.n for r in less.box(asked).collect()} == want and sorted(r.pid for r in less.points.collect()) == list(range(300))
     frame(spark, cloud(50, seed=7).tolist()).write.parquet(f"{tmp_path}/in")
     stream = spark.readStream.schema(pts.schema).parquet(f"{tmp_path}/in")
     insert_stream(stream, g, starts, f"{tmp_path}/out", f"{tmp_path}/state").awaitTermination()
     assert spark.read.parquet(f"{tmp_path}/out/*").count() == 50
+
+
+def test_sparse_and_dense_systems_agree(monkeypatch):
+    g = np.random.default_rng(3)
+    a = g.normal(size=(30, 30))
+    a = a @ a.T + np.eye(30)
+    i, j = np.nonzero(a)
+    right = g.normal(size=30)
+    assert np.allclose(lattice._sparse(i, j, a[i, j], right), lattice._dense(i, j, a[i, j], right), atol=1e-6)
+
+
+def test_harness_isolates_what_fails(spark, tmp_path):
+    config = GridConfig(parts=5, models=4, sigma=4, page_size=20, hi=1000.0)
+    pts = frame(spark, cloud(200).tolist())
+    asked = box_frame(spark, [(100, 100, 400, 900), (0, 0, 1000, 1000)])
+
+    def broken(points, config):
+        raise ValueError("no")
+
+    runs = harness.run(spark, {200: pts}, config, {"boxes": lambda p, c: harness.boxes(p, c, asked), "broken": broken, "lookup": lambda p, c: harness.lookup(p, c, 100), "batches": lambda p, c: harness.batches(p, c, (50,))})
+    got = {(r.part, r.metric): r.value for r in runs.collect()}
+    assert got["boxes", "differ"] == 0 and got["lookup", "exact"] == 1 and got["batches", "differ_50"] == 0
+    assert got["broken", "failed: ValueError"] == -1
+    harness.write_long(runs, config, f"{tmp_path}/long")
+    lines = [r.value for r in spark.read.text(f"{tmp_path}/long").collect()]
+    assert lines[0].startswith("# spark") and "200,broken,failed: ValueError," in lines
+    assert harness.speedups(runs, "seconds_brute", "seconds_index").where("ratio > 0").count() == 1
