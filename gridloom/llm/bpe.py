@@ -55,7 +55,7 @@ WITH RECURSIVE state(word, pos, id, live) AS (
 )
 SELECT word, id FROM state WHERE NOT live ORDER BY pos
 """
-DECODE = "SELECT doc, string_agg(bytes, '' ORDER BY pos) AS text FROM coded JOIN vocabulary USING (id) GROUP BY doc"
+DECODE = "SELECT doc, array_to_string(list(bytes ORDER BY pos), '') AS text FROM coded JOIN vocabulary USING (id) GROUP BY doc"
 
 
 def read_ranks(path: str) -> bytes:
@@ -177,7 +177,7 @@ class Codec:
     def _decode(self, coded: list[bytes]) -> list[bytes]:
         n = np.array([len(x) // 4 for x in coded], np.int64)
         ids = np.frombuffer(b"".join(coded), "<u4").astype(np.int32)
-        self.db.register("coded", pa.table({"doc": np.repeat(np.arange(len(n), dtype=np.int32), n), "pos": np.arange(len(ids)), "id": ids}))
+        self.db.register("coded", pa.table({"doc": np.repeat(np.arange(len(n), dtype=np.int32), n), "pos": np.arange(len(ids), dtype=np.int32), "id": ids}))
         out = self.db.sql(DECODE).to_arrow_table()
         texts = [b""] * len(coded)
         for d, t in zip(out.column(0).to_pylist(), out.column(1).to_pylist()):
