@@ -95,8 +95,9 @@ def hashes(table: DataFrame, key: str, text: str = "text", size: int = WINDOW, e
     columns = [F.col(key), F.split(canonical(text), " ").alias("tokens")]
     if exact:
         columns.append(F.transform(F.split(F.trim(F.coalesce(F.col(text), F.lit("")), F.lit(space)), r"[\x20\x09-\x0D]+"), lambda w: F.lower(F.trim(w, F.lit(OUTER)))).alias("low"))
-    # places are told from the size behind the explode: a filter before it would canonicalise twice
-    each = table.select(*columns).select("*", F.posexplode("tokens").alias("pos", "token")).where(F.col("pos") + (size - 1) < F.size("tokens"))
+    # places are told from the size behind the explode, and that is an outer one: a filter before it, one's own or the one that is
+    # inferred from an inner explode, would canonicalise twice
+    each = table.select(*columns).select("*", F.posexplode_outer("tokens").alias("pos", "token")).where(F.col("pos") + (size - 1) < F.size("tokens"))
     hashed = _window("tokens", F.col("pos"), size)
     if exact:
         marks = sum((F.get("tokens", F.col("pos") + k).isin(*PLACEHOLDERS).cast("int") for k in range(size)), F.lit(0))
