@@ -195,7 +195,8 @@ def _found(docs: DataFrame, benchmark: DataFrame, coverage: float, most: int) ->
     likely = likely.agg(F.count("*").alias("n_matched"), F.count_if(~F.col("dense")).alias("n_alike")).join(total.hint(hint), "item_id")
     likely = write(likely.where(_held(coverage, "n_matched", "n_alike")).select("row", "item_id"), "likely")
 
-    again = docs.join(likely.select("row").distinct(), "row", "left_semi")
+    # written: filters on the words would move below the join and look at all texts
+    again = write(docs.join(likely.select("row").distinct(), "row", "left_semi"), "again")
     found = windows(again, "row", exact=exact).join(items.hint(hint), "hash").join(likely, ["row", "item_id"])
     found = found.withColumn("slots", F.array_compact("slots")).where((F.size("slots") == F.size("item_slots")) & (F.size("names") == F.size("item_names")))
     zipped = lambda a, b: F.zip_with(a, b, lambda x, y: F.struct(x.alias("a"), y.alias("v")))
