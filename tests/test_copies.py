@@ -1,5 +1,8 @@
 """Searches over tables with many rows at one place, and how many rows their plans make for them."""
 
+import math
+
+import pytest
 from pyspark.sql import functions as F
 
 from gridloom.operators import knn
@@ -34,8 +37,45 @@ def copies(spark, side, times):
     return ids.select("pid", *((F.floor(F.col("pid") % (side * side) / d) % side * 10.0).cast("double").alias(c) for c, d in (("x1", 1), ("x2", side))))
 
 
+def asked(spark, points, n):
+    return points.where(F.col("pid") < n).select(F.col("pid").alias("qid"), F.col("x1").alias("c1"), (F.col("x2") + 1.0).alias("c2"))
+
+
+def brute(points, queries, k, ok=lambda p, q: True):
+    rows = [(r.pid, r.x1, r.x2) for r in points.collect()]
+    found = {}
+    for q in queries.collect():
+        near = {p: d for p, x, y in rows if (d := math.sqrt((x - q.c1) * (x - q.c1) + (y - q.c2) * (y - q.c2))) < 40 and ok((x, y), q)}
+        found |= {(q.qid, n + 1): (p, near[p]) for n, p in enumerate(sorted(near, key=lambda p: (near[p], p))[:k])}
+    return found
+
+
 def test_kth_radius_meets_places_once(spark):
     points = copies(spark, 20, 30)
     got, most = most_rows(spark, lambda: knn.kth_radius(points, points.where("pid % 6 = 0"), 5, XY).collect())
     assert len(got) == 2000 and all(r.radius == 0 for r in got)
     assert most < 50_000
+
+
+@pytest.mark.parametrize("k", [4, 40])
+def test_knn_meets_places_once(spark, k):
+    points = copies(spark, 20, 30)
+    queries = asked(spark, points, 1200)
+    got, most = most_rows(spark, lambda: {(r.qid, r["rank"]): (r.pid, r.dist) for r in knn.knn(points, queries, k, XY).collect()})
+    assert len(got) == 1200 * k
+    assert {q: v for q, v in got.items() if q[0] < 60} == brute(points, queries.where("qid < 60"), k)
+    assert most < 130_000
+
+
+def test_knn_of_distinct_points_meets_few(spark):
+    points = copies(spark, 150, 1)
+    got, most = most_rows(spark, lambda: knn.knn(points, asked(spark, points, 3000), 3, XY).count())
+    assert got == 9000 and most < 600_000
+
+
+def test_knn_of_few_places_and_missing_coordinates(spark):
+    points = spark.createDataFrame([(1, 0.0, 0.0), (2, None, 1.0), (3, float("nan"), 1.0), (4, -0.0, 0.0), (5, 9.0, 0.0)], "pid long, x1 double, x2 double")
+    queries = spark.createDataFrame([(1, 0.0, 0.0), (2, None, 0.0), (3, 1e9, -1e9)], "qid long, c1 double, c2 double")
+    got = sorted((r.qid, r["rank"], r.pid) for r in knn.knn(points, queries, 9, XY).collect())
+    assert got == [(1, 1, 1), (1, 2, 4), (1, 3, 5), (3, 1, 5), (3, 2, 1), (3, 3, 4)]
+    assert knn.knn(points.limit(0), queries, 2, XY).count() == 0
