@@ -5,13 +5,14 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from gridloom.operators import knn
+from gridloom.operators import knn, lattice, ranges
+from gridloom.plans import catalog
 
 XY = ["x1", "x2"]
 
 
-def most_rows(spark, run):
-    """The result of ``run`` and the most rows that a node of its plans has made."""
+def most_rows(spark, run, node=""):
+    """The result of ``run`` and the most rows that a node of its plans, of that name, has made."""
     store = spark._jsparkSession.sharedState().statusStore()
     spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
     before = store.executionsCount()
@@ -26,7 +27,7 @@ def most_rows(spark, run):
             for j in range(metrics.size()):
                 m = metrics.apply(j)
                 found = values.get(m.accumulatorId())
-                if m.name() == "number of output rows" and found.isDefined():
+                if node in nodes.apply(i).name() and m.name() == "number of output rows" and found.isDefined():
                     most = max(most, int(found.get().replace(",", "")))
     return out, most
 
@@ -41,11 +42,11 @@ def asked(spark, points, n):
     return points.where(F.col("pid") < n).select(F.col("pid").alias("qid"), F.col("x1").alias("c1"), (F.col("x2") + 1.0).alias("c2"))
 
 
-def brute(points, queries, k, ok=lambda p, q: True):
+def brute(points, queries, k):
     rows = [(r.pid, r.x1, r.x2) for r in points.collect()]
     found = {}
     for q in queries.collect():
-        near = {p: d for p, x, y in rows if (d := math.sqrt((x - q.c1) * (x - q.c1) + (y - q.c2) * (y - q.c2))) < 40 and ok((x, y), q)}
+        near = {p: d for p, x, y in rows if (d := math.sqrt((x - q.c1) * (x - q.c1) + (y - q.c2) * (y - q.c2))) < 40}
         found |= {(q.qid, n + 1): (p, near[p]) for n, p in enumerate(sorted(near, key=lambda p: (near[p], p))[:k])}
     return found
 
@@ -79,3 +80,19 @@ def test_knn_of_few_places_and_missing_coordinates(spark):
     got = sorted((r.qid, r["rank"], r.pid) for r in knn.knn(points, queries, 9, XY).collect())
     assert got == [(1, 1, 1), (1, 2, 4), (1, 3, 5), (3, 1, 5), (3, 2, 1), (3, 3, 4)]
     assert knn.knn(points.limit(0), queries, 2, XY).count() == 0
+
+
+@pytest.mark.parametrize("start", [2.0, 9.5, 10.0])
+def test_box_variant_meets_places_once(spark, start):
+    points = copies(spark, 20, 30)
+    queries = asked(spark, points, 1200)
+    got, most = most_rows(spark, lambda: {(r.qid, r["rank"]): r.dist for r in knn.knn_box(points, queries, 40, XY, start, rounds=4).collect()})
+    rows, want = [(r.pid, r.x1, r.x2) for r in points.collect()], {}
+    for q in queries.where("qid in (0, 7, 21, 399, 405)").collect():
+        for r in (start, start * 2, start * 4, start * 8):
+            held = sorted((math.sqrt((x - q.c1) * (x - q.c1) + (y - q.c2) * (y - q.c2)), p) for p, x, y in rows if abs(x - q.c1) <= r and abs(y - q.c2) <= r)
+            if len(held) >= 40:
+                break
+        want |= {(q.qid, n + 1): held[n][0] if len(held) >= 40 else None for n in range(40)}
+    assert len(got) == 1200 * 40 and {x: got[x] for x in want} == want
+    assert most < 130_000
