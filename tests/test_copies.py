@@ -96,3 +96,12 @@ def test_box_variant_meets_places_once(spark, start):
         want |= {(q.qid, n + 1): held[n][0] if len(held) >= 40 else None for n in range(40)}
     assert len(got) == 1200 * 40 and {x: got[x] for x in want} == want
     assert most < 130_000
+
+
+def test_predicted_radii_meet_places_once(spark):
+    points = copies(spark, 20, 30)
+    queries = asked(spark, points, 1200)
+    fitted = lattice.nodes(spark, 4, 2, 0.0, 190.0).select("node_id", F.when(F.col("c1") < 100, 35.0).otherwise(1.0).alias("b"))
+    got, most = most_rows(spark, lambda: {(r.qid, r["rank"]): (r.pid, r.dist) for r in lattice.knn_by_radius(points, queries, 40, XY, fitted, 4, 0.0, 190.0).collect()})
+    assert len(got) == 1200 * 40 and {q: v for q, v in got.items() if q[0] < 60} == brute(points, queries.where("qid < 60"), 40)
+    assert most < 130_000
