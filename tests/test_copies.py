@@ -105,3 +105,13 @@ def test_predicted_radii_meet_places_once(spark):
     got, most = most_rows(spark, lambda: {(r.qid, r["rank"]): (r.pid, r.dist) for r in lattice.knn_by_radius(points, queries, 40, XY, fitted, 4, 0.0, 190.0).collect()})
     assert len(got) == 1200 * 40 and {q: v for q, v in got.items() if q[0] < 60} == brute(points, queries.where("qid < 60"), 40)
     assert most < 130_000
+
+
+def test_brute_counts_meet_places_once(spark):
+    points = copies(spark, 20, 30)
+    boxes = points.where("pid < 1200").select(F.col("pid").alias("qid"), *(e.alias(f"{s}{k}") for k in (1, 2) for s, e in (("lo", F.col(f"x{k}") - 10), ("hi", F.col(f"x{k}") + 10))))
+    boxes = boxes.withColumn("hi1", F.when(F.col("qid") == 5, None).when(F.col("qid") == 6, -99.0).otherwise(F.col("hi1")))
+    got, most = most_rows(spark, lambda: {r.qid: r.n for r in ranges.brute_counts(points, boxes, XY).collect()})
+    side = lambda v: 2 if v in (0, 19) else 3
+    assert got == {q: 0 if q in (5, 6) else 30 * side(q % 20) * side(q // 20 % 20) for q in range(1200)}
+    assert most <= 12_000
