@@ -115,3 +115,19 @@ def test_brute_counts_meet_places_once(spark):
     side = lambda v: 2 if v in (0, 19) else 3
     assert got == {q: 0 if q in (5, 6) else 30 * side(q % 20) * side(q // 20 % 20) for q in range(1200)}
     assert most <= 12_000
+
+
+def test_spheres_meet_places_once(spark, monkeypatch):
+    from gridloom.operators import places
+
+    points = copies(spark, 20, 30).withColumn("name", F.lit("a"))
+    spheres = asked(spark, points, 1200).withColumn("r", F.when(F.col("qid") == 3, None).otherwise(10.0))
+    for chunk in (places.CHUNK, 7):
+        monkeypatch.setattr(places, "CHUNK", chunk)
+        got, most = most_rows(spark, lambda: [tuple(r) for r in ranges.sphere_rows(points, spheres, XY, digits=2).select("qid", "pid", "x1", "x2", "name", "dist").collect()], "Join")
+        want = {(q, p): (p % 20 * 10.0, p // 20 % 20 * 10.0) for q in range(1200) for p in range(12_000) if q != 3 and p % 20 == q % 20 and p // 20 % 20 - q // 20 % 20 in (0, 1)}
+        assert len(got) == len(want) and {(q, p): (x, y) for q, p, x, y, _, _ in got} == want
+        assert all(n == "a" and d in (1.0, 9.0) for *_, n, d in got)
+        assert most < 12_000
+    assert {r.qid: r.n for r in ranges.sphere_counts(points, spheres, XY).collect()} == {q: 0 if q == 3 else 60 if q // 20 % 20 < 19 else 30 for q in range(1200)}
+    assert ranges.sphere_rows(points.select(*XY), spheres.where("qid = 0"), XY).count() == 60
