@@ -131,3 +131,12 @@ def test_spheres_meet_places_once(spark, monkeypatch):
         assert most < 12_000
     assert {r.qid: r.n for r in ranges.sphere_counts(points, spheres, XY).collect()} == {q: 0 if q == 3 else 60 if q // 20 % 20 < 19 else 30 for q in range(1200)}
     assert ranges.sphere_rows(points.select(*XY), spheres.where("qid = 0"), XY).count() == 60
+
+
+def test_brute_neighbours_meet_places_once(spark):
+    points = copies(spark, 20, 30)
+    queries = asked(spark, points, 1200)
+    got, most = most_rows(spark, lambda: {(r.qid, r["rank"]): (r.pid, r.dist) for r in knn.brute(points, queries, 40, XY).collect()})
+    assert len(got) == 1200 * 40 and {q: v for q, v in got.items() if q[0] < 60} == brute(points, queries.where("qid < 60"), 40)
+    assert most < 200_000
+    assert knn.brute(points, queries.where("qid = 1"), 20_000, XY).count() == 12_000 and knn.brute(points.limit(0), queries, 3, XY).count() == 0
