@@ -140,3 +140,11 @@ def test_brute_neighbours_meet_places_once(spark):
     assert len(got) == 1200 * 40 and {q: v for q, v in got.items() if q[0] < 60} == brute(points, queries.where("qid < 60"), 40)
     assert most < 200_000
     assert knn.brute(points, queries.where("qid = 1"), 20_000, XY).count() == 12_000 and knn.brute(points.limit(0), queries, 3, XY).count() == 0
+
+
+def test_within_looks_for_k_only(spark):
+    points = copies(spark, 20, 30)
+    spheres = asked(spark, points, 1200).withColumn("r", F.when(F.col("qid") < 600, 25.0).otherwise(0.9))
+    got, most = most_rows(spark, lambda: [(r.qid, r["rank"], r.dist) for r in knn.within(points, spheres, 5, XY).collect()])
+    assert sorted(got) == [(q, n, 1.0) for q in range(600) for n in range(1, 6)] + [(q, n, None) for q in range(600, 1200) for n in range(1, 6)]
+    assert most < 20_000
