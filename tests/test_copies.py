@@ -148,3 +148,12 @@ def test_within_looks_for_k_only(spark):
     got, most = most_rows(spark, lambda: [(r.qid, r["rank"], r.dist) for r in knn.within(points, spheres, 5, XY).collect()])
     assert sorted(got) == [(q, n, 1.0) for q in range(600) for n in range(1, 6)] + [(q, n, None) for q in range(600, 1200) for n in range(1, 6)]
     assert most < 20_000
+
+
+def test_recall_meets_places_once(spark, tmp_path):
+    for name, key in (("events", "event_id"), ("orders", "o_orderkey")):
+        own = spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet")
+        own.crossJoin(spark.range(40)).withColumn(key, F.col(key) + F.col("id") * 100_000).drop("id").write.parquet(f"{tmp_path}/{name}.parquet")
+    got, most = most_rows(spark, lambda: catalog.queries()["recall_at_k"](spark, str(tmp_path)).collect())
+    assert len(got) == 1 and got[0].recall > 0.9
+    assert most < 100_000
