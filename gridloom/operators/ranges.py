@@ -187,6 +187,31 @@ def sphere_counts(points: DataFrame, spheres: DataFrame, dims: list[str]) -> Dat
 
 
 def dominated_counts(points: DataFrame, corners: DataFrame, dims: list[str]) -> DataFrame:
-    """(qid, n): points at or below each corner (qid, hi1..) in every dimension: boxes without a lower end."""
-    open_ = corners.withColumns({f"lo{k}": F.lit(float("-inf")) for k in range(1, len(dims) + 1)})
-    return range_counts(points, open_.select("qid", *(f"lo{k}" for k in range(1, len(dims) + 1)), *(f"hi{k}" for k in range(1, len(dims) + 1))), dims)
+    """(qid, n): points at or below each corner (qid, hi1..) in every dimension.
+
+    In two dimensions nothing is joined but the strip of the first one that a corner lies in: of every strip before it the points
+    at or below the corner are its rank by the second dimension. Strips come in blocks, so a corner asks for two square roots of
+    their number. In other numbers of dimensions, corners are boxes without a lower end, which meet every point they hold.
+    """
+    if len(dims) != 2:
+        open_ = corners.withColumns({f"lo{k}": F.lit(float("-inf")) for k in range(1, len(dims) + 1)})
+        return range_counts(points, open_.select("qid", *(f"lo{k}" for k in range(1, len(dims) + 1)), *(f"hi{k}" for k in range(1, len(dims) + 1))), dims)
+    x, y = dims
+    spots = stage(counted(points, dims))
+    strips = Strips.of(spots, x)
+    wide = math.ceil(math.sqrt(strips.count))
+    placed = spots.withColumn("__s", strips.at(x))
+    asked = stage(known(corners, ["hi1", "hi2"]).select("hi1", "hi2").distinct().withColumn("__s", strips.at("hi1")))
+    block = F.floor(F.col("__s") / wide).cast("int")
+    upto = lambda a, b: F.explode(F.filter(F.sequence(a, F.greatest(a, b)), lambda v: v <= b))
+    none = F.lit(None).cast("double")
+    ranked = None
+    for level, of, first, last in ((0, block, F.lit(0), block - 1), (1, F.col("__s"), block * wide, F.col("__s") - 1 + F.col("__s") % 2)):
+        held = placed.select(F.lit(level).alias("level"), of.alias("strip"), F.col(y).alias("at"), F.lit(0).alias("kind"), "n", none.alias("hi1"), none.alias("hi2"))
+        wanted = asked.select(F.lit(level).alias("level"), upto(first, last).alias("strip"), F.col("hi2").alias("at"), F.lit(1).alias("kind"), F.lit(0).cast("long").alias("n"), "hi1", "hi2")
+        ranked = held.unionByName(wanted) if ranked is None else ranked.unionByName(held).unionByName(wanted)
+    w = Window.partitionBy("level", "strip").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = ranked.withColumn("n", F.sum("n").over(w)).where("kind = 1").select("hi1", "hi2", "n")
+    own = placed.where("__s % 2 = 0").join(asked, "__s").where((F.col(x) <= F.col("hi1")) & (F.col(y) <= F.col("hi2"))).select("hi1", "hi2", "n")
+    found = before.unionByName(own).groupBy("hi1", "hi2").agg(F.sum("n").alias("n"))
+    return corners.join(found, ["hi1", "hi2"], "left").select("qid", F.coalesce("n", F.lit(0).cast("long")).alias("n"))

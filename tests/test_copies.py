@@ -157,3 +157,14 @@ def test_recall_meets_places_once(spark, tmp_path):
     got, most = most_rows(spark, lambda: catalog.queries()["recall_at_k"](spark, str(tmp_path)).collect())
     assert len(got) == 1 and got[0].recall > 0.9
     assert most < 100_000
+
+
+def test_corners_meet_their_strip_only(spark):
+    points = copies(spark, 40, 8).withColumn("x1", F.when(F.col("pid") % 3 == 0, 100.0).otherwise(F.col("x1")))
+    corners = points.where("pid < 1600").select(F.col("pid").alias("qid"), F.col("x1").alias("hi1"), (F.col("x2") + 5).alias("hi2"))
+    corners = corners.unionByName(spark.createDataFrame([(9001, -1.0, 1e9), (9002, 1e9, 1e9), (9003, None, 1.0), (9004, 105.0, 25.0)], corners.schema))
+    got, most = most_rows(spark, lambda: {r.qid: r.n for r in ranges.dominated_counts(points, corners, XY).collect()})
+    rows = [(r.x1, r.x2) for r in points.collect()]
+    some = [(r.qid, r.hi1, r.hi2) for r in corners.where("qid % 37 = 0 or qid > 9000").collect()]
+    assert len(got) == 1604 and {q: got[q] for q, _, _ in some} == {q: sum(x <= a and y <= b for x, y in rows) if a is not None else 0 for q, a, b in some}
+    assert most < 200_000
