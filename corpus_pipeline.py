@@ -32,8 +32,8 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least id of each group of near-duplicates: 5-word shingles, Jaccard similarity 0.8 or more. One row of
-    each group stays, of equal ids the first, null ids last; empty and null texts are copies of each other."""
+    """The document with the least id of each group of near-duplicates. Candidates are the documents that op7's fingerprints link, and
+    others by minima; both are verified: 5-word shingles, Jaccard similarity 0.8 or more. One row of each group stays, of equal ids the first, null ids last; empty and null texts are copies of each other."""
     return near_copies.keep_one(docs.select(COLUMNS))
 
 

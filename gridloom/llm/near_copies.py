@@ -1,12 +1,14 @@
 """Near-duplicates by exact Jaccard similarity: the near-dedup stage of the pipeline.
 
-Two texts are copies if the sets of their ``WIDTH``-word shingles have a Jaccard similarity of ``SIMILAR`` or more. No radius of
-64-bit fingerprints holds such pairs (at 0.8 they differ in 10 bits and more), so candidates come from ``BANDS`` bands of
-``ROWS`` minima of the shingle hashes: a pair at 0.8 shares a band with probability 0.998. Every candidate is
-verified by the shingle sets of both whole texts. Texts with equal sets are one node from the start.
-
-Inside a band, members meet the least one first. Only members that are then in different components meet each other, so a
-large group of copies costs as many pairs as it has members.
+Two texts are copies if the sets of their ``WIDTH``-word shingles have a Jaccard similarity of ``SIMILAR`` or more. Candidates are
+the components of ``simhash.near_duplicates``, over all rows. No radius of 64-bit fingerprints that can be searched holds all
+such pairs (at 0.8 they differ in 10 bits and more), so more candidates come from ``BANDS`` bands of ``ROWS`` minima of the shingle
+hashes: a pair at 0.8 shares a band with probability 0.998. Every candidate, of either kind, is verified by the shingle sets of
+both whole texts. Texts with equal sets are one node from the start.
+
+Inside a band or a component of fingerprints, members meet the least one first. In a band, those that are then in different groups
+meet each other too, so a large group of copies costs as many pairs as it has members. In a component, which chains link, they do
+not: that would be the square of its size.
 """
 
 from __future__ import annotations
@@ -19,7 +21,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._base import components, slices, write
+from . import simhash
+from ._base import components, slices, trimmed, write
 from .simhash import shingle_hashes
 
 WIDTH = 5
@@ -87,7 +90,19 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     left = texts.select(F.col("row").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("row").alias("b"), F.col("text").alias("text_b"))
     both = pairs.join(right.hint("merge"), "b").join(left.hint("merge"), "a").select("a", "b", "text_a", "text_b")
-    return write(both.mapInArrow(_verify, "a long, b long"), "alike")
+    return write(both.mapInArrow(trimmed(_verify), "a long, b long"), "alike")
+
+
+def by_minima(sets: DataFrame) -> DataFrame:
+    """(node, band): candidates by bands of minima."""
+    return sets.select("node", F.explode("bands").alias("band"))
+
+
+def by_fingerprint(rows: DataFrame, described: DataFrame, sets: DataFrame) -> DataFrame:
+    """(node, band): candidates by components of linked fingerprints; a node is in those of all its rows."""
+    found = simhash.near_duplicates(rows, id_col="row").select(F.col("doc_id").alias("row"), "component_id")
+    each = described.select("row", "same").join(found, "row").select("same", "component_id").distinct()
+    return write(each.join(sets.select("same", "node"), "same").select("node", F.xxhash64(F.lit("simhash"), "component_id").alias("band")).distinct(), "linked")
 
 
 def groups(rows: DataFrame) -> DataFrame:
@@ -97,10 +112,10 @@ def groups(rows: DataFrame) -> DataFrame:
     ``WIDTH`` words is one shingle. An empty table gives an empty one.
     """
     plain = rows.select("row", "text")
-    described = write(plain.mapInArrow(_describe, "row long, same binary, bands array<long>"), "described")
+    described = write(plain.mapInArrow(trimmed(_describe), "row long, same binary, bands array<long>"), "described")
     # one row for equal sets; all of them have the same bands
     sets = write(described.groupBy("same").agg(F.min("row").alias("node"), F.first("bands").alias("bands")), "sets")
-    banded = sets.select("node", F.explode("bands").alias("band"))
+    banded = by_minima(sets).withColumn("every", F.lit(True)).union(by_fingerprint(plain, described, sets).withColumn("every", F.lit(False)))
     leads = write(banded.groupBy("band").agg(F.min("node").alias("lead"), F.count("*").alias("n")).where("n > 1").drop("n"), "leads")
     met = write(banded.join(leads, "band"), "met")
     star = write(met.where("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
@@ -108,7 +123,7 @@ def groups(rows: DataFrame) -> DataFrame:
     texts = write(plain.join(wanted.hint("shuffle_hash"), "row", "left_semi"), "texts")
     edges = _verified(star, texts)
     roots = write(components(edges), "roots")
-    tagged = write(met.join(roots, "node", "left").select("band", "node", F.coalesce("root", "node").alias("root")), "tagged")
+    tagged = write(met.where("every").join(roots, "node", "left").select("band", "node", F.coalesce("root", "node").alias("root")), "tagged")
     split = write(tagged.groupBy("band").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("band"), "split")
     mixed = write(tagged.join(split, "band"), "mixed")
     one, two = mixed.toDF("band", "a", "ra"), mixed.toDF("band", "b", "rb")

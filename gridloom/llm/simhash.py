@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._base import Table, components, slices, write
+from ._base import Table, components, slices, trimmed, write
 
 SEED = 42
 #: Passes over the variant space.
@@ -102,7 +102,7 @@ def fingerprints(docs: DataFrame, width: int = 4, id_col: str = "doc_id", text_c
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(_majority(hashes, counts).view(np.int64))], names=["doc_id", "fp"])
 
     plain = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return plain.mapInArrow(run, f"doc_id {dict(plain.dtypes)['doc_id']}, fp long")
+    return plain.mapInArrow(trimmed(run), f"doc_id {dict(plain.dtypes)['doc_id']}, fp long")
 
 
 def _emit(half: int, passes: int, turn: int, buckets: int):
@@ -204,8 +204,8 @@ def links(distinct: DataFrame, half: int = 2, passes: int = PASSES) -> DataFrame
     even = table.df.repartition(parts)  # few bytes, much work: the files alone would make too few tasks
     found = None
     for turn in range(passes):
-        sent = even.mapInArrow(_emit(half, passes, turn, buckets), "bucket int, variants binary, masks binary")
-        met = sent.repartition(min(buckets, parts), "bucket").sortWithinPartitions("bucket").mapInArrow(_meet(half), "a long, b long")
+        sent = even.mapInArrow(trimmed(_emit(half, passes, turn, buckets)), "bucket int, variants binary, masks binary")
+        met = sent.repartition(min(buckets, parts), "bucket").sortWithinPartitions("bucket").mapInArrow(trimmed(_meet(half)), "a long, b long")
         part = write(met, "links")
         found = part if found is None else found.union(part)
     table.drop()
