@@ -8,7 +8,8 @@ both whole texts. Texts with equal sets are one node from the start.
 
 Inside a band or a component of fingerprints, members meet the least one first. In a band, those that are then in different groups
 meet each other too, so a large group of copies costs as many pairs as it has members. In a component, which chains link, they do
-not: that would be the square of its size.
+not: that would be the square of its size. Bands of more than ``PAIRED`` members are not spelled out as pairs of texts: their members
+are dealt into blocks, and a task compares two blocks, each text read once, and reports a forest of links.
 """
 
 from __future__ import annotations
@@ -22,8 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import simhash
-from ._base import components, slices, trimmed, write
-from .simhash import shingle_hashes
+from ._base import _conf, components, slices, trimmed, write
+from .simhash import _forest, shingle_hashes
 
 WIDTH = 5
 SIMILAR = 0.8
@@ -31,6 +32,10 @@ BANDS = 20
 #: Minima in a band: 1 - (1 - 0.8 ** 6) ** 20 = 0.998.
 ROWS = 6
 CHUNK_BYTES = 4 << 20
+#: Members of a band that meet as pairs of texts; those of larger ones meet in blocks of about so many members and shingles.
+PAIRED, MEMBERS, SHINGLES = 32, 512, 1 << 20
+#: Rows with texts that Spark and a worker hold at once: the same long text may stand in all of them.
+TEXTS = {"spark.sql.execution.arrow.maxRecordsPerBatch": "256"}
 #: Shingles whose hashes are mixed at once.
 BLOCK = 2048
 _SEEDS = np.random.default_rng(5).integers(0, 1 << 63, (2, BANDS * ROWS, 1), dtype=np.uint64)
@@ -64,12 +69,13 @@ def band_keys(hashes: np.ndarray) -> list[int]:
 
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in slices(batches, "text", CHUNK_BYTES):
-        keys, bands = [], []
+        keys, bands, sizes = [], [], []
         for text in part.column("text").to_pylist():
             own = shingle_set(text)
             keys.append(xxhash.xxh3_128_digest(own.tobytes()))
             bands.append(np.array(band_keys(own), np.uint64).view(np.int64))
-        yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], names=["row", "same", "bands"])
+            sizes.append(len(own))
+        yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sizes, pa.int64())], names=["row", "same", "bands", "size"])
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -90,7 +96,61 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     left = texts.select(F.col("row").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("row").alias("b"), F.col("text").alias("text_b"))
     both = pairs.join(right.hint("merge"), "b").join(left.hint("merge"), "a").select("a", "b", "text_a", "text_b")
-    return write(both.mapInArrow(trimmed(_verify), "a long, b long"), "alike")
+    with _conf(pairs.sparkSession, **TEXTS):
+        return write(both.mapInArrow(trimmed(_verify), "a long, b long"), "alike")
+
+
+def _links(sets: list[np.ndarray], nodes: np.ndarray, roots: np.ndarray, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A forest of the similar pairs of different roots, of two blocks or inside one; no set is empty."""
+    sizes = np.array([len(x) for x in sets])
+    ends = np.cumsum(sizes)
+    starts = ends - sizes
+    distinct, at = np.unique(np.concatenate(sets), return_inverse=True)
+    mark, inside = np.zeros(len(distinct), np.int32), (blocks == blocks[0]).all()
+    a, b = [], []
+    for x in range(len(sets) - 1):
+        others = x + 1 + np.flatnonzero((roots[x + 1 :] != roots[x]) & (inside | (blocks[x + 1 :] != blocks[x])))
+        if len(others):
+            own = at[starts[x] : ends[x]]
+            mark[own] = 1
+            both = np.add.reduceat(mark[at], starts)[others]
+            mark[own] = 0
+            near = others[both / (sizes[x] + sizes[others] - both) >= SIMILAR]
+            a.append(np.full(len(near), nodes[x]))
+            b.append(nodes[near])
+    return _forest(np.concatenate(a), np.concatenate(b)) if sum(map(len, a)) else (nodes[:0], nodes[:0])
+
+
+def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links of each cell (band, i, j), whose rows follow one another; sets are held, texts are not."""
+    cell, held = None, []
+
+    def close() -> pa.RecordBatch:
+        a, b = _links([x[0] for x in held], *(np.array(x, np.int64) for x in list(zip(*held))[1:]))
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    for batch in batches:
+        texts = batch.column("text")
+        for i, (band, x, y, *rest) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("band", "i", "j", "node", "root", "block")))):
+            if (band, x, y) != cell and held:
+                yield close()
+                held.clear()
+            cell = (band, x, y)
+            held.append((shingle_set(texts[i].as_py()), *rest))
+    if held:
+        yield close()
+
+
+def _crowded(members: DataFrame, sets: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links (a, b) with the components of all similar pairs of different roots in one band, from members (band, node, root)."""
+    sized = write(members.join(sets.select("node", "size"), "node"), "crowd")
+    parts = sized.groupBy("band").agg(F.greatest(F.ceil(F.count("*") / MEMBERS), F.ceil(F.sum("size") / SHINGLES)).cast("int").alias("parts"))
+    dealt = sized.join(parts, "band").withColumn("block", F.pmod(F.xxhash64("node", "band"), "parts").cast("int"))
+    each = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    cells = each.select("band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "root", "block")
+    read = cells.join(texts.select(F.col("row").alias("node"), "text"), "node").repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
+    with _conf(members.sparkSession, **TEXTS):
+        return write(read.mapInArrow(trimmed(_compare), "a long, b long"), "crowded")
 
 
 def by_minima(sets: DataFrame) -> DataFrame:
@@ -112,9 +172,10 @@ def groups(rows: DataFrame) -> DataFrame:
     ``WIDTH`` words is one shingle. An empty table gives an empty one.
     """
     plain = rows.select("row", "text")
-    described = write(plain.mapInArrow(trimmed(_describe), "row long, same binary, bands array<long>"), "described")
+    with _conf(rows.sparkSession, **TEXTS):
+        described = write(plain.mapInArrow(trimmed(_describe), "row long, same binary, bands array<long>, size long"), "described")
     # one row for equal sets; all of them have the same bands
-    sets = write(described.groupBy("same").agg(F.min("row").alias("node"), F.first("bands").alias("bands")), "sets")
+    sets = write(described.groupBy("same").agg(F.min("row").alias("node"), F.first("bands").alias("bands"), F.first("size").alias("size")), "sets")
     banded = by_minima(sets).withColumn("every", F.lit(True)).union(by_fingerprint(plain, described, sets).withColumn("every", F.lit(False)))
     leads = write(banded.groupBy("band").agg(F.min("node").alias("lead"), F.count("*").alias("n")).where("n > 1").drop("n"), "leads")
     met = write(banded.join(leads, "band"), "met")
@@ -124,11 +185,12 @@ def groups(rows: DataFrame) -> DataFrame:
     edges = _verified(star, texts)
     roots = write(components(edges), "roots")
     tagged = write(met.where("every").join(roots, "node", "left").select("band", "node", F.coalesce("root", "node").alias("root")), "tagged")
-    split = write(tagged.groupBy("band").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("band"), "split")
+    split = write(tagged.groupBy("band").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("n")).where("x <> y").select("band", "n"), "split")
     mixed = write(tagged.join(split, "band"), "mixed")
-    one, two = mixed.toDF("band", "a", "ra"), mixed.toDF("band", "b", "rb")
+    few = mixed.where(F.col("n") <= PAIRED).drop("n")
+    one, two = few.toDF("band", "a", "ra"), few.toDF("band", "b", "rb")
     rest = one.join(two, "band").where("a < b and ra <> rb").select("a", "b").distinct().join(star, ["a", "b"], "left_anti")
-    edges = edges.union(_verified(write(rest, "rest"), texts))
+    edges = edges.union(_verified(write(rest, "rest"), texts)).union(_crowded(mixed.where(F.col("n") > PAIRED).drop("n"), sets, texts))
     roots = write(components(edges), "roots")
     named = sets.join(roots, "node", "left").select("same", F.coalesce("root", "node").alias("root"))
     return described.select("row", "same").join(write(named, "named"), "same").select("row", "root")
