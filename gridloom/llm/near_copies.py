@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import simhash
-from ._base import _conf, components, slices, trimmed, write
+from ._base import TEXTS, _conf, components, slices, trimmed, write
 from .simhash import _forest, shingle_hashes
 
 WIDTH = 5
@@ -34,8 +34,6 @@ ROWS = 6
 CHUNK_BYTES = 4 << 20
 #: Members of a band that meet as pairs of texts; those of larger ones meet in blocks of about so many members and shingles.
 PAIRED, MEMBERS, SHINGLES = 32, 512, 1 << 20
-#: Rows with texts that Spark and a worker hold at once: the same long text may stand in all of them.
-TEXTS = {"spark.sql.execution.arrow.maxRecordsPerBatch": "256"}
 #: Shingles whose hashes are mixed at once.
 BLOCK = 2048
 _SEEDS = np.random.default_rng(5).integers(0, 1 << 63, (2, BANDS * ROWS, 1), dtype=np.uint64)

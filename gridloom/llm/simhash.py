@@ -20,19 +20,21 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._base import Table, components, slices, trimmed, write
+from ._base import TEXTS, Table, _conf, components, slices, trimmed, write
 
 SEED = 42
 #: Passes over the variant space.
 PASSES = 8
-#: Fingerprints in a block: 2,081 variants each at ``half`` 2, in memory at once.
+#: Fingerprints in a block, whose variants of one pass are in memory at once: an eighth of 2,081 each at ``half`` 2.
 BLOCK = 2048
+#: Fingerprints of a block whose variants of all passes are.
+SPREAD = 256
 #: Variants that one bucket of a pass should hold.
 BUCKET = 1 << 20
 MIX = np.uint64(0x9E3779B97F4A7C15)
-CHUNK_BYTES = 4 << 20
-#: Shingles of a long text that are hashed at once.
-SHINGLES = 1 << 18
+#: Text whose shingles are hashed at once: 64 bytes for the bits of each. A longer text goes in blocks of shingles.
+CHUNK_BYTES = 1 << 19
+SHINGLES = 1 << 16
 
 
 def _masks(half: int) -> np.ndarray:
@@ -73,15 +75,13 @@ def long_fingerprint(text: str, width: int) -> np.uint64:
 
 def _majority(hashes: list[int], counts: list[int]) -> np.ndarray:
     """A fingerprint for each run of ``counts`` hashes: bits set in over half of a run; an empty run: zero."""
-    out = np.zeros(len(counts), np.uint64)
     n = np.array(counts, np.int64)
-    full = np.flatnonzero(n)
-    if len(full):
-        bits = np.unpackbits(np.array(hashes, np.uint64).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        at = np.concatenate(([0], np.cumsum(n[full])[:-1]))
-        ones = np.add.reduceat(bits, at, axis=0, dtype=np.int32)
-        out[full] = np.packbits(2 * ones > n[full, None], axis=1, bitorder="little").reshape(-1).view(np.uint64)
-    return out
+    ones = np.zeros((len(n), 64), np.int64)
+    bits = np.unpackbits(np.array(hashes, np.uint64).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    ends = np.cumsum(n)
+    for k in np.flatnonzero(n).tolist():  # run by run: reduceat to a wider type copies all bits as that type
+        ones[k] = bits[ends[k] - n[k] : ends[k]].sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * ones > n[:, None], axis=1, bitorder="little").reshape(-1).view(np.uint64)
 
 
 def fingerprints(docs: DataFrame, width: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -113,16 +113,18 @@ def _emit(half: int, passes: int, turn: int, buckets: int):
         for batch in batches:
             fps = batch.column("fp").to_numpy().view(np.uint64)
             for i in range(0, len(fps), BLOCK):
-                variants = (fps[i : i + BLOCK, None] ^ masks[None, :]).reshape(-1)
-                mixed = (variants * MIX) >> np.uint64(32)
-                own = np.flatnonzero((mixed * np.uint64(passes)) >> np.uint64(32) == turn)
-                rest = (mixed[own] * np.uint64(passes)) & np.uint64(0xFFFFFFFF)
-                bucket = ((rest * np.uint64(buckets)) >> np.uint64(32)).astype(np.int32)
+                found = []
+                for few in np.split(block := fps[i : i + BLOCK], range(SPREAD, len(block), SPREAD)):
+                    variants = (few[:, None] ^ masks[None, :]).reshape(-1)
+                    mixed = ((variants * MIX) >> np.uint64(32)) * np.uint64(passes)
+                    own = np.flatnonzero(mixed >> np.uint64(32) == turn)
+                    rest = mixed[own] & np.uint64(0xFFFFFFFF)
+                    found.append((((rest * np.uint64(buckets)) >> np.uint64(32)).astype(np.int32), variants[own], (own % len(masks)).astype(np.uint16)))
+                bucket, what, mask = (np.concatenate(x) for x in zip(*found))
                 order = np.argsort(bucket, kind="stable")
-                own, bucket = own[order], bucket[order]
+                bucket, what, mask = bucket[order], what[order], mask[order]
                 cuts = np.flatnonzero(np.diff(bucket, prepend=-1))
                 ends = np.append(cuts[1:], len(bucket))
-                what, mask = variants[own], (own % len(masks)).astype(np.uint16)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(bucket[cuts]), pa.array([what[a:b].tobytes() for a, b in zip(cuts, ends)], pa.binary()), pa.array([mask[a:b].tobytes() for a, b in zip(cuts, ends)], pa.binary())],
                     names=["bucket", "variants", "masks"],
@@ -219,7 +221,8 @@ def near_duplicates(docs: DataFrame, width: int = 4, half: int = 2, id_col: str
     texts have fingerprint 0, linked like any other. Every input row gives one row; repeated rows repeat. A null id never
     names a component unless all its ids are null. Other columns of ``docs`` are ignored. An empty table gives an empty one.
     """
-    prints = write(fingerprints(docs, width, id_col, text_col), "fingerprints")
+    with _conf(docs.sparkSession, **TEXTS):
+        prints = write(fingerprints(docs, width, id_col, text_col), "fingerprints")
     distinct = write(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
     roots = write(components(links(distinct, half)), "roots")
     named = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
