@@ -45,3 +45,15 @@ def test_box_variant_takes_one_box_a_query(spark, top):
         assert [got[q.qid, n + 1] for n in range(6)] == (held[:6] if len(held) >= 6 else [None] * 6)
     assert len(got) == 300 * 6 and len(answered) >= 3
     assert runs <= 16
+
+
+def test_predicted_radii_too_wide_meet_few(spark):
+    from gridloom.operators import lattice
+
+    from .test_copies import most_rows
+
+    points = scattered(spark, 1500).localCheckpoint()
+    fitted = lattice.nodes(spark, 4, 2, 0.0, 1000.0).select("node_id", F.lit(900.0).alias("b"))
+    got, most = most_rows(spark, lambda: sorted(map(tuple, lattice.knn_by_radius(points, around(points), 6, XY, fitted, 4, 0.0, 1000.0).collect())))
+    assert got == sorted(map(tuple, knn.brute(points, around(points), 6, XY).collect()))
+    assert most < 100_000
