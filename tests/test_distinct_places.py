@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from gridloom.operators import knn, ranges
 
 from .test_copies import XY
+from .test_search_disk import plan
 
 
 def scattered(spark, n, wide=1000.0):
@@ -57,3 +58,13 @@ def test_predicted_radii_too_wide_meet_few(spark):
     got, most = most_rows(spark, lambda: sorted(map(tuple, lattice.knn_by_radius(points, around(points), 6, XY, fitted, 4, 0.0, 1000.0).collect())))
     assert got == sorted(map(tuple, knn.brute(points, around(points), 6, XY).collect()))
     assert most < 100_000
+
+
+def test_brute_counts_skip_blocks_out_of_reach(spark):
+    points = scattered(spark, 6000).localCheckpoint()
+    half = F.when(F.col("pid") % 100 == 0, 700.0).when(F.col("pid") % 777 == 0, None).otherwise(3.0)
+    boxes = points.where("pid % 2 = 0").select(F.col("pid").alias("qid"), *(e.alias(f"{s}{k}") for k in (1, 2) for s, e in (("lo", F.col(f"x{k}") - half), ("hi", F.col(f"x{k}") + half))))
+    counts = ranges.brute_counts(points, boxes, XY)
+    assert "NestedLoopJoin" not in plan(counts)
+    got = {r.qid: r.n for r in counts.collect()}
+    assert got == {r.qid: r.n for r in ranges.range_counts(points, boxes, XY).collect()} and len(got) == 3000
