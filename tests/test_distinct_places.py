@@ -68,3 +68,13 @@ def test_brute_counts_skip_blocks_out_of_reach(spark):
     assert "NestedLoopJoin" not in plan(counts)
     got = {r.qid: r.n for r in counts.collect()}
     assert got == {r.qid: r.n for r in ranges.range_counts(points, boxes, XY).collect()} and len(got) == 3000
+
+
+def test_brute_passes_on_what_lies_within_reach(spark):
+    from .test_copies import most_rows
+
+    points = scattered(spark, 20_000).localCheckpoint()
+    queries = around(points).where("qid % 10 = 0")
+    got, most = most_rows(spark, lambda: sorted(map(tuple, knn.brute(points, queries, 6, XY).collect())), "MapInArrow")
+    assert got == sorted(map(tuple, knn.knn(points, queries, 6, XY).collect())) and len(got) == 12_000
+    assert most < 40_000
